@@ -1,0 +1,4 @@
+"""All registered queries outside the corpus operators, with their SQL."""
+
+QUERIES: dict = {}
+SQL: dict = {}
