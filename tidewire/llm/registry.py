@@ -3,19 +3,25 @@
 from tidewire.llm.decontaminate import OP9_SQL, op9_decontaminate
 from tidewire.llm.embeddings import op7_embeddings
 from tidewire.llm.langid import op6_language
+from tidewire.llm.licenses import op4_licenses
+from tidewire.llm.linededup import op10_lines
 from tidewire.llm.mixing import OP3_SQL, op3_mixing
+from tidewire.llm.pii import op1_pii
 from tidewire.llm.quality import op8_quality
 from tidewire.llm.simhash import op2_simhash
 from tidewire.llm.tokens import op5_tokens
 
 QUERIES = {
+    "op1_pii": op1_pii,
     "op2_simhash": op2_simhash,
     "op3_mixing": op3_mixing,
+    "op4_licenses": op4_licenses,
     "op5_tokens": op5_tokens,
     "op6_language": op6_language,
     "op7_embeddings": op7_embeddings,
     "op8_quality": op8_quality,
     "op9_decontaminate": op9_decontaminate,
+    "op10_lines": op10_lines,
 }
 
 SQL = {"op3_mixing": OP3_SQL, "op9_decontaminate": OP9_SQL}
