@@ -61,12 +61,12 @@ def matches(text: str, pattern: str) -> Column:
     p = _quoted(pattern)
     return F.expr(f"""
       aggregate(
-        arrays_zip(split({text}, {p}, -1) AS piece, regexp_extract_all({text}, {p}, 0) AS found),
+        arrays_zip(split({text}, {p}, -1), regexp_extract_all({text}, {p}, 0)),
         named_struct('pos', 0, 'out', cast(array() AS {_SPAN})),
         (a, x) -> named_struct(
-          'pos', a.pos + length(x.piece) + coalesce(length(x.found), 0),
-          'out', if(x.found IS NULL, a.out, concat(a.out, array(named_struct(
-            'start', a.pos + length(x.piece), 'end', a.pos + length(x.piece) + length(x.found), 'm', x.found))))),
+          'pos', a.pos + length(x.`0`) + coalesce(length(x.`1`), 0),
+          'out', if(x.`1` IS NULL, a.out, concat(a.out, array(named_struct(
+            'start', a.pos + length(x.`0`), 'end', a.pos + length(x.`0`) + length(x.`1`), 'm', x.`1`))))),
         a -> a.out)""")
 
 
@@ -81,6 +81,11 @@ def luhn(m: Column) -> Column:
     return F.aggregate(each, F.lit(0), lambda a, x: a + x) % 10 == 0
 
 
+def _valid(found: Column, kind: int, holds) -> Column:
+    good = F.filter(found, lambda s: holds(s["m"]))
+    return F.transform(good, lambda s: F.struct(s["start"].alias("start"), F.lit(kind).alias("kind"), s["end"].alias("end"), s["m"].alias("m")))
+
+
 def base_spans(text: str) -> Column:
     """(start, kind, end, m) of the plain patterns, by start and then kind."""
     some = F.col(text)
@@ -94,9 +99,7 @@ def base_spans(text: str) -> Column:
     none = F.array().cast("array<struct<start:int,kind:int,end:int,m:string>>")
     parts = []
     for kind, (pattern, guard, holds) in enumerate(rules):
-        valid = F.filter(F.when(guard, matches(text, pattern)), lambda s, holds=holds: holds(s["m"]))
-        spans = F.transform(valid, lambda s, kind=kind: F.struct(s["start"].alias("start"), F.lit(kind).alias("kind"), s["end"].alias("end"), s["m"].alias("m")))
-        parts.append(F.coalesce(spans, none))
+        parts.append(F.coalesce(_valid(F.when(guard, matches(text, pattern)), kind, holds), none))
     return F.array_sort(F.concat(*parts))
 
 
