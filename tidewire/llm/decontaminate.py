@@ -88,9 +88,9 @@ class Index:
                 h = gram_hashes(ids, gram)
                 for p in winnow(h, self.span).tolist():
                     grams[int(h[p])].append((n, p))
-        #: by gram length: the sorted hashes, and their places in items
-        self.tables = [(gram, np.array(sorted(grams), np.uint64), dict(grams))] if grams else []
-        self.tables += [(k, np.array(sorted(t), np.uint64), dict(t)) for k, t in short.items()]
+        #: gram length, whether winnowed, the sorted hashes, and their places in items
+        self.tables = [(gram, True, np.array(sorted(grams), np.uint64), dict(grams))] if grams else []
+        self.tables += [(k, False, np.array(sorted(t), np.uint64), dict(t)) for k, t in short.items()]
 
     def find(self, words: list[bytes]) -> tuple[np.ndarray, set]:
         """Which words are hit, and the ids of the items that occur."""
@@ -101,11 +101,11 @@ class Index:
         get = self.vocab.get
         done: dict[tuple[int, int], int] = {}  # item and shift to the end of the span last extended there
         ids = np.fromiter((get(x, 0) for x in words), np.uint64, len(words))
-        for k, known, places in self.tables:
+        for k, winnowed, known, places in self.tables:
             h = gram_hashes(ids, k)
             if not len(h):
                 continue
-            at = winnow(h, self.span) if k == self.gram and len(words) >= self.window else np.arange(len(h))
+            at = winnow(h, self.span) if winnowed else np.arange(len(h))
             slot = np.minimum(np.searchsorted(known, h[at]), len(known) - 1)
             for p in at[known[slot] == h[at]].tolist():
                 for n, q in places[int(h[p])]:
