@@ -1,0 +1,156 @@
+import datetime as dt
+import itertools
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from tidewire.operators import dedupe, funnel, graph, ranking
+from tidewire.schema import RAW_ITEMS
+
+NOW = dt.datetime(2026, 7, 26, 12, tzinfo=dt.UTC)
+
+
+def now():
+    return F.lit("2026-07-26 12:00:00").cast("timestamp")
+
+
+def raw(slug, title=None, host="example.com", source="src-a", weight=5, age=1.0, excerpt="", category="大模型", official=False, role="trusted_media", verified=False):
+    return (source, source.title(), weight, title or slug, f"https://{host}/{slug}", NOW - dt.timedelta(hours=age), excerpt, category, official, role, verified)
+
+
+def candidates(spark, rows):
+    return funnel.to_candidates(spark.createDataFrame(rows, RAW_ITEMS))
+
+
+def urls_of(df):
+    return sorted(r.canonical_url.rsplit("/", 1)[1] for r in df.collect())
+
+
+def test_score_formula(spark):
+    df = candidates(spark, [raw("a", "Introducing X", weight=7, age=10, excerpt="x" * 640, official=True, role="primary")])
+    assert ranking.scored(df, now()).first()[["score"][0]] == 28 + 16 + 14 + 8 + 8 + 6
+
+
+def test_scarcity_follows_the_list(spark):
+    df = candidates(spark, [raw(f"m{i}") for i in range(4)] + [raw("t", category="AI 工具"), raw("c", category="Coding Agent"), raw("g", category="Agent"), raw("r", category="论文研究")])
+    got = {r.title: r.scarcity for r in ranking.scored(df, now()).collect()}
+    assert got == {"m0": 2, "m1": 2, "m2": 2, "m3": 2, "t": 5, "c": 4, "g": 4, "r": 0}
+
+
+def test_quotas(spark):
+    rows = [raw(f"o{i}", source="off", official=True, role="primary", age=i) for i in range(9)] + [raw(f"u{i}", source=f"un{i % 2}", age=i) for i in range(12)]
+    got = ranking.balanced(candidates(spark, rows), now(), 36, 6, 3).collect()
+    count = {s: sum(r.source_id == s for r in got) for s in ("off", "un0", "un1")}
+    assert count == {"off": 6, "un0": 3, "un1": 3} and [r["rank"] for r in got] == list(range(1, 13))
+    assert ranking.balanced(candidates(spark, rows), now(), 5, 6, 3).count() == 5
+    assert ranking.top(candidates(spark, rows), now(), 0).count() == 0
+    with pytest.raises(ValueError):
+        ranking.balanced(candidates(spark, rows), now(), -1)
+
+
+def test_diversity_floor(spark):
+    rows = [raw(f"a{i}", source="big", weight=10, age=i) for i in range(20)] + [raw(f"b{i}", source="small", weight=1, age=100) for i in range(4)]
+    got = ranking.diverse(candidates(spark, rows), now(), 10, 3).collect()
+    assert sum(r.source_id == "small" for r in got) == 3 and sum(r.source_id == "big" for r in got) == 7
+    assert [r["rank"] for r in got] == list(range(1, 11))
+
+
+def test_pages(spark):
+    d = ranking.paginated(spark.range(41), [F.col("id")])
+    assert [r["count"] for r in d.groupBy("page").count().orderBy("page").collect()] == [20, 20, 1]
+
+
+def test_exact_and_event_phases(spark):
+    rows = [
+        raw("a?utm_source=1", "Same title", weight=3), raw("a", "Other", weight=9), raw("b", "same  TITLE", weight=1), raw("c", "same title", host="other.org"),
+        raw("d", "Acme launches Nova 5", host="x.org"), raw("e", "Nova-5 is now available", host="y.org", weight=8),
+    ]
+    exact = dedupe.exact_winners(candidates(spark, rows))
+    assert urls_of(exact) == ["a", "c", "d", "e"]
+    assert [r.source_weight for r in exact.where("title = 'Other'").collect()] == [9]
+    assert urls_of(dedupe.event_winners(exact)) == ["a", "c", "e"]
+
+
+def test_similar_is_symmetric():
+    assert not dedupe.similar("bddbcbbabcac", "bddbcbbabacadc")
+    assert dedupe.similar("x", "x") and dedupe.similar("a" * 99 + "b", "a" * 99 + "c")
+
+
+def plain_fuzzy(rows):
+    groups = []
+    for r in rows:
+        t = r.title.casefold()[:256]
+        for g in groups:
+            if all(dedupe.similar(t, o) for o in g):
+                g.append(t)
+                break
+        else:
+            groups.append([t])
+            yield r.id
+
+
+def test_fuzzy_matches_greedy_grouping(spark):
+    rng = random.Random(9)
+    rows = []
+    for g in range(12):
+        base = [rng.choice("abcdefgh ") for _ in range(rng.choice([13, 40, 90]))]
+        for i in range(rng.randint(1, 6)):
+            t = list(base)
+            for _ in range(rng.randint(0, 4)):
+                t[rng.randrange(len(t))] = rng.choice("xyz")
+            rows.append(raw(f"p{g}-{i}", "T" + "".join(t).strip(), host=f"h{g}{i}.org", weight=rng.randint(1, 9)))
+    df = candidates(spark, rows)
+    want = sorted(plain_fuzzy(df.orderBy(*dedupe.preference()).collect()))
+    assert sorted(r.id for r in dedupe.fuzzy_winners(df).collect()) == want
+
+
+def test_order_does_not_matter(spark):
+    rows = [raw("a", "T one"), raw("b", "T one"), raw("b", "T two"), raw("c", "T two", weight=7)]
+    got = {tuple(urls_of(dedupe.exact_winners(candidates(spark, list(p))))) for p in list(itertools.permutations(rows))[::5]}
+    assert got == {("c",)}
+
+
+def test_history_and_guard(spark):
+    df = candidates(spark, [raw("a", "One thing"), raw("b", "Quite another matter")])
+    seen = spark.createDataFrame([("https://example.com/a",)], "canonical_url string")
+    assert urls_of(dedupe.deduplicate(df, seen)) == ["b"]
+    with pytest.raises(ValueError):
+        dedupe.deduplicate(df, seen, max_items=1)
+
+
+def test_window_is_inclusive(spark):
+    rows = [raw("old", age=120), raw("older", age=120.0001), raw("new", age=0), raw("future", age=-0.01)]
+    assert urls_of(funnel.recent(candidates(spark, rows), now())) == ["new", "old"]
+
+
+def test_funnel_and_snapshot(spark):
+    rows = [raw("a", source="s1"), raw("b", source="s1", age=200), raw("c", "Sponsored: x", source="s1"), raw("d", source="s1", age=-5), raw("e", source="s2")]
+    rows += [("s1", "S", 5, "t", "http://bad.example/x", NOW + dt.timedelta(hours=9), "", "Agent", False, "trusted_media", False)]
+    df = spark.createDataFrame(rows, RAW_ITEMS)
+    seen = spark.createDataFrame([("https://example.com/e",)], "canonical_url string")
+    counts = funnel.funnel_counts(df, seen, now())
+    got = {r.source_id: r for r in counts.collect()}
+    assert (got["s1"].recent_count, got["s1"].new_count, got["s1"].eligible_count) == (2, 2, 1)
+    assert (got["s2"].recent_count, got["s2"].new_count) == (1, 0)
+    assert got["s1"].latest_published_at == dt.datetime(2026, 7, 26, 21)
+    runs = spark.createDataFrame([("s1", "S1", True, 6, 1, None), ("s2", "S2", False, None, 1, "E"), ("s3", "S3", True, 0, 1, None)], "source_id string, source_name string, success boolean, item_count int, elapsed_ms int, error_type string")
+    snap = {r.source_id: r for r in funnel.source_run_snapshot(runs, counts, df.limit(0), None).collect()}
+    assert snap["s2"].recent_count is None and snap["s3"].recent_count == 0 and snap["s1"].selected_count is None and snap["s1"].candidate_count == 0
+    done = {r.source_id: r for r in funnel.source_run_snapshot(runs, counts, df.limit(0), df.limit(0)).collect()}
+    assert done["s1"].selected_count == 0 and done["s2"].selected_count is None
+
+
+def test_selection_end_to_end(spark):
+    rows = [raw(f"n{i}", f"Item number {i} about {'abcdefghij'[i] * 9}", source=f"s{i % 3}", age=i) for i in range(10)] + [raw("n0?ref=1", "Item zero again", source="s0")]
+    got = funnel.select_candidates(spark.createDataFrame(rows, RAW_ITEMS), spark.createDataFrame([], "canonical_url string"), now())
+    assert got.count() == 9 and got.where("source_id = 's0'").count() == 3
+
+
+def test_components_of_long_paths_and_hubs(spark):
+    path = [(i, i + 1) for i in range(300)]
+    hub = [(1000, 1001 + i) for i in range(500)]
+    df = spark.createDataFrame([*path, *hub, (5000, 5000), (None, 1)], "src long, dst long")
+    got = {r.node: r.component for r in graph.connected_components(df).collect()}
+    assert got == {**{i: 0 for i in range(301)}, **{i: 1000 for i in range(1000, 1501)}}
+    assert graph.connected_components(df.limit(0)).count() == 0

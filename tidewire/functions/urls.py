@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 TRACKING = ["utm_source", "utm_medium", "utm_campaign", "utm_term", "utm_content", "ref", "source"]
 PATH_SAFE = "/:@!$&'()*+,;=-._~"
 
-_SIMPLE = r"^(?i:https)://[A-Za-z0-9](?:[A-Za-z0-9.-]*[A-Za-z0-9])?\.?(?::443)?(?:/[A-Za-z0-9/:@!$&'()*+,;=._~-]*)?(?:\?[A-Za-z0-9._~+=&-]*)?(?:#[\x21-\x7E]*)?$"
+_SIMPLE = r"^(?i:https)://[A-Za-z0-9](?:[A-Za-z0-9.-]*[A-Za-z0-9])?\.?(?::443)?(?:/[A-Za-z0-9/:@!$&'()*+,;=._~-]*)?(?:\?[A-Za-z0-9._~+-]*(?:=[A-Za-z0-9._~+-]*)?(?:&[A-Za-z0-9._~+-]*(?:=[A-Za-z0-9._~+-]*)?)*)?(?:#[\x21-\x7E]*)?$"
 _DOTS = r"^[^?#]*/\.{1,2}(?:/|\?|#|$)"
 _HTTP = r"^(?i:http)://[\x21-\x7E]*$"
 

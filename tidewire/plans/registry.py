@@ -561,12 +561,13 @@ def challenge_detect(spark, sf):
 
 @query(
     r"""WITH r AS (SELECT DISTINCT page_id, unnest(regexp_extract_all(html, '(?is)<[a-z][^>]*?\shref\s*=\s*["'']([^"'']*)["'']', 1)) AS ref FROM pages)
-SELECT page_id, ref FROM r WHERE ref LIKE 'http%' AND regexp_replace(ref, '#.*$', '') NOT IN (SELECT regexp_replace(url, '#.*$', '') FROM pages)"""
+SELECT page_id, ref FROM r WHERE ref LIKE '/%' AND NOT ref LIKE '//%' AND regexp_replace(ref, '#.*$', '') NOT IN (SELECT regexp_extract(url, '^[^:]+://[^/?#]*([^?#]*)', 1) FROM pages)"""
 )
 def page_link_integrity(spark, sf):
+    """Local links of pages to paths that no page has."""
     p = testbed.table(spark, sf, "pages")
-    refs = integrity.references(p.select(F.col("page_id").cast("string").alias("path"), "html")).where("ref LIKE 'http%'")
-    known = p.select(F.regexp_replace("url", "#.*$", "").alias("target")).distinct()
+    refs = integrity.references(p.select(F.col("page_id").cast("string").alias("path"), "html")).where("ref LIKE '/%' AND NOT ref LIKE '//%'")
+    known = p.select(F.regexp_extract("url", r"^[^:]+://[^/?#]*([^?#]*)", 1).alias("target")).distinct()
     return refs.join(known, "target", "left_anti").select(F.col("path").cast("long").alias("page_id"), "ref").distinct()
 
 
