@@ -59,13 +59,14 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
         if seen[0] == 0:
             break
         both = at.df.unionByName(at.df.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        # stored, so that both sides of the join are dealt anew and a hub's rows can be split over tasks
+        low = Stored(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "cc-low")
+        large = both.join(low.df, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         new = Stored(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "cc")
         now = _signature(new.df)
-        at.drop()
+        at.drop(), low.drop()
         at, done = new, now == seen
         seen = now
         if done:
