@@ -10,7 +10,8 @@ there word by word and the weight of all its words found in place reaches
 
 The plain phrases (``PHRASES``) are reported wherever their words stand one after
 another. The index is a constant, so nothing is shuffled: one scan splits the
-texts that hold a licence word, and the rest is arithmetic on that row.
+texts that hold a rare word beside its neighbour in a key phrase, which no
+accepted start lacks, and the rest is arithmetic on that row.
 
 Edge cases: null and empty texts have no words, no places and score 0; repeated
 notices count once as a label, each place of a phrase counts; a file may hold
@@ -78,12 +79,16 @@ class Index:
             at = next(i for i in range(len(words)) if words[i : i + len(key)] == key)
             self.keys.append((at, len(key)))
         self.postings: dict[str, list[tuple[int, int]]] = {}
+        #: neighbours of which every key phrase and plain phrase holds one
+        self.pairs = {tuple(p.split()[:2]) for p in PHRASES}
         for t, words in enumerate(self.words):
-            # the rarest word of the key phrase, and every word held by few notices
+            # the rarest word of the key phrase, and every rarer word held by few notices
             at, n = self.keys[t]
             best = max(range(at, at + n), key=lambda q: (self.idf[words[q]], -q))
+            first = best if best + 1 < at + n else best - 1
+            self.pairs.add((words[first], words[first + 1]))
             for q, w in enumerate(words):
-                if q == best or (held[w] <= rare_in and self.idf[w] >= self.idf[words[best]] - 1e-9):
+                if q == best or (held[w] <= rare_in and self.idf[w] > self.idf[words[best]] + 1e-9):
                     self.postings.setdefault(w, []).append((t, q))
 
 
@@ -142,10 +147,11 @@ def _notice_places(w, index: Index, min_cover: float):
 def scan(docs: DataFrame, notices=NOTICES, min_cover: float = MIN_COVER) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels and score of every document."""
     index = Index(notices)
-    firsts = {p.split()[0] for p in PHRASES} | set(index.postings)
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     edge = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
-    likely = text.rlike(rf"(?i)(?<!{edge})(?:{'|'.join(sorted(firsts))})(?!{edge})")
+    other = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]++"
+    pairs = "|".join(f"{a}{other}{b}" for a, b in sorted(index.pairs))
+    likely = text.rlike(rf"(?i)(?<!{edge})(?:{pairs})(?!{edge})")
     words = F.regexp_extract_all(F.translate(text, _UPPER, _LOWER), F.lit(WORD), F.lit(0))
     split = docs.select("doc_id", F.when(likely, words).alias("w"), F.when(~likely, F.regexp_count(text, F.lit(WORD))).cast("long").alias("n"))
     split = cut(split, "lic-words")
