@@ -40,18 +40,21 @@ def first_titles(candidates: DataFrame, hours: int = 120) -> DataFrame:
             return
         known = dict(zip(*state.get, strict=True)) if state.exists else {}
         out: dict[str, tuple] = {}
+        latest = state.getCurrentWatermarkMs()
         for pdf in batches:
+            latest = max(latest, int(pdf["published_at"].max().timestamp() * 1000))
             for row in pdf.sort_values(["source_weight", "id"], ascending=[False, True])[["id", "folded", "source_weight"]].itertuples(index=False):
                 if row.folded not in known or known[row.folded] < row.source_weight:
                     known[row.folded] = int(row.source_weight)
                     out[row.folded] = (key[0], row.id, row.folded, int(row.source_weight))
         state.update((list(known), list(known.values())))
-        state.setTimeoutDuration(hours * 3_600_000)
+        state.setTimeoutTimestamp(latest + hours * 3_600_000)
         yield pd.DataFrame(list(out.values()), columns=["host", "id", "folded", "source_weight"])
 
-    d = candidates.select(urls.host(F.col("canonical_url")).alias("host"), "id", "folded", "source_weight")
+    d = candidates.select(urls.host(F.col("canonical_url")).alias("host"), "id", "folded", "source_weight", "published_at")
+    d = d.withWatermark("published_at", f"{hours} hours")
     return d.groupBy("host").applyInPandasWithState(
-        step, "host string, id string, folded string, source_weight int", "titles array<string>, weights array<int>", "append", GroupStateTimeout.ProcessingTimeTimeout
+        step, "host string, id string, folded string, source_weight int", "titles array<string>, weights array<int>", "append", GroupStateTimeout.EventTimeTimeout
     )
 
 
