@@ -42,7 +42,10 @@ def day(c):
     return F.date_format(c, "yyyy-MM-dd")
 
 
-FOLD = text.fold_ascii(F.col("title"))
+def fold():
+    return text.fold_ascii(F.col("title"))
+
+
 STAMP = "strftime(published_at, '%Y-%m-%d %H:%M:%S')"
 
 
@@ -77,7 +80,7 @@ def host_extract(spark, sf):
 
 @query(f"WITH {CAND_SQL} SELECT doc_id, host || '|' || lower(title) AS title_key FROM cand")
 def title_key(spark, sf):
-    return testbed.candidates(spark, sf).select("doc_id", dedupe.title_key(FOLD).alias("title_key"))
+    return testbed.candidates(spark, sf).select("doc_id", dedupe.title_key(fold()).alias("title_key"))
 
 
 @query()
@@ -106,7 +109,7 @@ p AS (SELECT *, list_sort(list_distinct(list_filter(list_transform(vp, lambda x:
   THEN action || '|' || array_to_string(CASE WHEN len(products) > 0 THEN products ELSE words[1:2] END, '|') END AS event_key FROM p"""
 )
 def event_key(spark, sf):
-    return testbed.candidates(spark, sf).select("doc_id", rules.event_key(FOLD).alias("event_key"))
+    return testbed.candidates(spark, sf).select("doc_id", rules.event_key(fold()).alias("event_key"))
 
 
 # --- scores and selections --------------------------------------------------
@@ -124,12 +127,12 @@ def recency_score(spark, sf):
 
 @query(f"WITH {CAND_SQL} SELECT doc_id, {SCORE_SQL} AS score FROM cand")
 def candidate_score(spark, sf):
-    return testbed.candidates(spark, sf).select("doc_id", ranking.candidate_score(testbed.now(), FOLD).alias("score"))
+    return testbed.candidates(spark, sf).select("doc_id", ranking.candidate_score(testbed.now(), fold()).alias("score"))
 
 
 @query(f"WITH {CAND_SQL}, {ranked_sql('cand')} SELECT doc_id, score, scarcity, total FROM ranked")
 def scarcity_rank(spark, sf):
-    return ranking.scored(testbed.candidates(spark, sf), testbed.now(), FOLD).select("doc_id", "score", "scarcity", "total")
+    return ranking.scored(testbed.candidates(spark, sf), testbed.now(), fold()).select("doc_id", "score", "scarcity", "total")
 
 
 _RECENT = f"recent AS (SELECT * FROM cand WHERE published_at BETWEEN TIMESTAMP '{NOW}' - INTERVAL 120 HOURS AND TIMESTAMP '{NOW}')"
@@ -142,7 +145,7 @@ def _recent(spark, sf):
 
 @query(f"WITH {CAND_SQL}, {_RECENT}, {ranked_sql('recent')} SELECT id, total, row_number() OVER (ORDER BY {_ORDER}) AS rank FROM ranked ORDER BY {_ORDER} LIMIT 30")
 def topk_candidates(spark, sf):
-    return ranking.top(_recent(spark, sf), testbed.now(), 30, FOLD).select("id", "total", "rank")
+    return ranking.top(_recent(spark, sf), testbed.now(), 30, fold()).select("id", "total", "rank")
 
 
 @query(
@@ -151,7 +154,7 @@ q AS (SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY {_ORDER}) AS
 SELECT id, source_id, total, row_number() OVER (ORDER BY {_ORDER}) AS rank FROM q WHERE n <= CASE WHEN is_official_source THEN 6 ELSE 3 END ORDER BY {_ORDER} LIMIT 36"""
 )
 def balanced_topk(spark, sf):
-    return ranking.balanced(_recent(spark, sf), testbed.now(), 36, 6, 3, FOLD).select("id", "source_id", "total", "rank")
+    return ranking.balanced(_recent(spark, sf), testbed.now(), 36, 6, 3, fold()).select("id", "source_id", "total", "rank")
 
 
 @query(
@@ -161,7 +164,7 @@ k AS (SELECT * FROM q ORDER BY n > 6, {_ORDER} LIMIT 150)
 SELECT id, source_id, total, row_number() OVER (ORDER BY {_ORDER}) AS rank FROM k"""
 )
 def diversity_topk(spark, sf):
-    return ranking.diverse(_recent(spark, sf), testbed.now(), 150, 6, FOLD).select("id", "source_id", "total", "rank")
+    return ranking.diverse(_recent(spark, sf), testbed.now(), 150, 6, fold()).select("id", "source_id", "total", "rank")
 
 
 @query(f"WITH {CAND_SQL}, {_RECENT} SELECT doc_id, {STAMP} AS published FROM recent")
@@ -260,7 +263,7 @@ _EXACT_KEYS = "SELECT doc_id, '0|' || canonical_url AS key FROM cand UNION ALL S
 
 @query(f"WITH RECURSIVE {CAND_SQL}, {_components_sql(_EXACT_KEYS, 'cand')} SELECT doc_id, component FROM comp")
 def exact_components(spark, sf):
-    d = testbed.candidates(spark, sf).withColumn("folded", FOLD)
+    d = testbed.candidates(spark, sf).withColumn("folded", fold())
     return dedupe.components(d, "doc_id", [F.col("canonical_url"), dedupe.title_key(F.col("folded"))])
 
 
@@ -268,7 +271,7 @@ def exact_components(spark, sf):
     f"WITH RECURSIVE {CAND_SQL}, {_components_sql(_EXACT_KEYS, 'cand')}, w AS (SELECT *, row_number() OVER (PARTITION BY component ORDER BY {_PREF}) AS place FROM cand JOIN comp USING (doc_id)) SELECT id, source_id FROM w WHERE place = 1"
 )
 def exact_winners(spark, sf):
-    return dedupe.exact_winners(testbed.candidates(spark, sf), FOLD).select("id", "source_id")
+    return dedupe.exact_winners(testbed.candidates(spark, sf), fold()).select("id", "source_id")
 
 
 _EVENT_CTES = _EVENT.strip()[len("WITH ") :]
@@ -281,7 +284,7 @@ _EVENT_KEYS = (
 
 @query(f"WITH RECURSIVE {_EVENT_CTES}, {_components_sql(_EVENT_KEYS, 'cand')} SELECT doc_id, component FROM comp")
 def event_components(spark, sf):
-    d = testbed.candidates(spark, sf).withColumn("folded", FOLD)
+    d = testbed.candidates(spark, sf).withColumn("folded", fold())
     keys = [F.col("canonical_url"), dedupe.title_key(F.col("folded")), rules.event_key(F.col("folded"))]
     return dedupe.components(d, "doc_id", keys)
 
@@ -294,8 +297,8 @@ def firstwins_distinct(spark, sf):
 @query()
 def fuzzy_dedupe(spark, sf):
     """Winners of all three phases over every candidate."""
-    winners = dedupe.exact_winners(testbed.candidates(spark, sf), FOLD)
-    return dedupe.fuzzy_winners(dedupe.event_winners(winners, FOLD), FOLD).select("id", "source_id", "title")
+    winners = dedupe.exact_winners(testbed.candidates(spark, sf), fold())
+    return dedupe.fuzzy_winners(dedupe.event_winners(winners, fold()), fold()).select("id", "source_id", "title")
 
 
 @query()
