@@ -96,39 +96,36 @@ def _similar(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([similar(x, y) for x, y in zip(a, b, strict=True)], dtype=bool)
 
 
-def _signature(value: Column) -> Column:
-    """Every character with its number among its equals: a set whose overlap is that of the multisets."""
-    chars = F.filter(F.split(value, ""), lambda c: c != "")
-    ordered = F.array_sort(chars)
-    return F.transform(
-        ordered, lambda c, i: F.concat(c, (i - F.array_position(ordered, c).cast("int") + 1).cast("string"))
-    )
-
-
 def similar_pairs(titles: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(a, b) with a < b of (node, value) rows whose titles are similar but not equal.
 
-    Two titles can only match at the threshold t if their numbered characters
-    overlap in at least t * (|x| + |y|) / 2. Sorting these by rarity, some of the
-    first ``|x| - ceil(t / (2 - t) * |x|) + 1`` must be shared, so only those are
-    joined (a prefix filter, which loses no pair); lengths and overlap are
-    tested before the titles themselves.
+    Titles x and y match at the threshold t only if at most ``(1 - t)(|x| + |y|)``
+    characters stay unmatched, which is at most ``e = 2 |x| (1 - t) / t``. Each of
+    these spoils at most three of the title's numbered trigrams, so of its
+    ``3 e + 1`` rarest trigrams one must be among those of its partner: only these
+    are joined (a prefix filter, which loses no pair). Lengths and edit
+    distance are tested before the titles themselves.
     """
-    t = cut(titles.select("node", "value", F.length("value").alias("n"), _signature(F.col("value")).alias("marks")), "fz-titles")
-    each = t.select("node", "n", F.explode("marks").alias("m"))
-    df = cut(each.groupBy("m").agg(F.count("*").alias("df")), "fz-df")
-    ranked = each.join(df, "m").withColumn("place", F.row_number().over(Window.partitionBy("node").orderBy("df", "m")))
-    least = threshold / (2 - threshold)
-    prefix = ranked.where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * F.lit(least) - 1e-9) + 1).select("node", "n", "m", "place")
-    prefix = cut(prefix, "fz-prefix")
-    a = prefix.select(F.col("node").alias("a"), F.col("n").alias("na"), "m")
-    b = prefix.select(F.col("node").alias("b"), F.col("n").alias("nb"), "m")
+    t = cut(titles.select("node", "value", F.length("value").alias("n")), "fz-titles")
+    at = F.explode(F.when(F.col("n") > 2, F.sequence(F.lit(1), F.col("n") - 2)))
+    each = t.select("node", "n", "value", at.alias("i")).groupBy("node", "n", F.expr("substring(value, i, 3)").alias("g")).agg(F.count("*").alias("c"))
+    each = each.select("node", "n", "g", F.explode(F.sequence(F.lit(1), F.col("c").cast("int"))).alias("k")).select("node", "n", F.xxhash64("g", "k").alias("g"))
+    df = cut(each.groupBy("g").agg(F.count("*").alias("df")).where("df > 1"), "fz-df")
+    # a trigram of one title joins nothing but takes its place among the rarest
+    ranked = each.join(df, "g", "left").withColumn("df", F.coalesce("df", F.lit(1)))
+    ranked = ranked.withColumn("place", F.row_number().over(Window.partitionBy("node").orderBy("df", "g")))
+    spoiled = 3 * F.floor(F.col("n") * F.lit(2 * (1 - threshold) / threshold) + 1e-9)
+    prefix = cut(ranked.where((F.col("place") <= spoiled + 1) & (F.col("df") > 1)).select("node", "n", "g"), "fz-prefix")
+    a = prefix.select(F.col("node").alias("a"), F.col("n").alias("na"), "g")
+    b = prefix.select(F.col("node").alias("b"), F.col("n").alias("nb"), "g")
     fits = 2 * F.least("na", "nb") >= F.lit(threshold) * (F.col("na") + F.col("nb")) - 1e-9
-    pairs = a.join(b, "m").where((F.col("a") < F.col("b")) & fits).select("a", "b").distinct()
-    left, right = (t.select(F.col("node").alias(x), F.col("value").alias(f"v{x}"), F.col("marks").alias(f"m{x}")) for x in "ab")
+    pairs = a.join(b, "g").where((F.col("a") < F.col("b")) & fits).select("a", "b").distinct()
+    left, right = (t.select(F.col("node").alias(x), F.col("value").alias(f"v{x}")) for x in "ab")
     both = pairs.join(left, "a").join(right, "b")
-    shared = F.size(F.array_intersect("ma", "mb"))
-    both = both.where(2 * shared >= F.lit(threshold) * (F.length("va") + F.length("vb")) - 1e-9)
+    # unmatched characters on both sides are at least as many as edits
+    most = (1 - threshold) * 2 * TITLE_CHARS
+    edits = F.levenshtein("va", "vb", int(most) + 1)
+    both = both.where((edits >= 0) & (edits <= F.lit(1 - threshold) * (F.length("va") + F.length("vb")) + 1e-9))
     return both.where(_similar(F.col("va"), F.col("vb"))).select("a", "b")
 
 

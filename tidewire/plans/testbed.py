@@ -56,7 +56,7 @@ def specs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def raw_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     i, k = F.col("doc_id"), F.col("k")
     d = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.substring("source", 4, 9).cast("int").alias("k"))
-    plain = F.trim(F.regexp_replace(F.regexp_replace("text", r"[^ -~\n]", ""), r"\s+", " "))
+    plain = F.trim(F.regexp_replace(F.regexp_replace(F.substring("text", 1, 400), r"[^ -~\n]", ""), r"\s+", " "))
     words = F.array_join(F.slice(F.split(plain, " "), 1, 8), " ")
     page = F.when(i % 10 == 3, i - 2).otherwise(i)
     tail = F.when(i % 4 == 0, "?utm_source=x&b=2&a=1#f").when(i % 4 == 1, F.concat(F.lit("?b=2&a="), (page % 3).cast("string"))).when(i % 4 == 2, "?Ref=z&empty=").otherwise("")
@@ -144,7 +144,7 @@ _CATS = "['大模型', 'Agent', 'Coding Agent', 'AI 工具', '开源项目', '
 RAW_SQL = rf"""
 t_doc AS (SELECT doc_id, coalesce(text, '') AS text, substr(source, 4)::INT AS k FROM documents),
 t_word AS (
-  SELECT *, array_to_string(string_split(trim(regexp_replace(regexp_replace(text, '[^ -~\n]', '', 'g'), '\s+', ' ', 'g')), ' ')[1:8], ' ') AS w,
+  SELECT *, array_to_string(string_split(trim(regexp_replace(regexp_replace(substr(text, 1, 400), '[^ -~\n]', '', 'g'), '\s+', ' ', 'g')), ' ')[1:8], ' ') AS w,
          CASE WHEN doc_id % 10 = 3 THEN doc_id - 2 ELSE doc_id END AS page
   FROM t_doc),
 raw AS (
