@@ -50,6 +50,8 @@ CORES = {
     LOW_VALUE: ["小版本", "补丁", "修复连接器", "超时配置"],
     DEVELOPER: ["sdk", "api", "framework", "repository", "runtime", "developer", "接口协议", "开发框架", "仓库", "代码工具", "开源项目", "开发者"],
     CORPORATE: ["funding", "valuation", "executive", "appointed", "resigns", "acquisition", "investment", "融资", "估值", "募资", "高管", "任命", "离职", "收购", "投资"],
+    CONCRETE_IMPACT: ["free", "tier", "production", "enterprise", "availab", "access", "cost", "latency", "compatibility", "migration", "support", "configured", "产品", "功能", "套餐", "订阅", "价格", "免费", "开放", "上线", "发布", "推出", "用户", "客户", "消费者", "企业", "部署", "采用", "购物", "平台", "政策", "监管", "规则", "合规", "市场", "可用", "访问", "服务", "开发者"],
+    HIGH_IMPACT: ["security", "vulnerability", "outage", "performance", "latency", "adoption", "breaking change", "migration", "compatibility", "enterprise", "production", "availability", "gateway", "open model", "stability", "reliability", "major release", "漏洞", "重大故障", "中断", "大规模落地", "大规模采用", "生产部署", "成本", "性能提升", "重大版本", "架构变化", "可用范围", "访问门槛", "主流产品", "稳定性"],
     BENCHMARK_IMPACT: ["production", "adoption", "cost", "latency", "performance", "生产部署", "大规模采用", "性能提升"],
     TOPIC: ["ai", "artificial", "llm", "language model", "gpt", "claude", "gemini", "llama", "mistral", "deepseek", "copilot", "perplexity", "diffusion", "agent", "generative", "大模型", "人工智能", "生成式", "智能体", "豆包", "文心", "千问", "混元", "智谱", "minimax"],
 }
