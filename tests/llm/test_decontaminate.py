@@ -56,3 +56,5 @@ def test_empty_tables(spark):
     none = spark.createDataFrame([], "item_id long, text string")
     assert d.report(docs, none).collect()[0].contaminated is False
     assert d.report(docs.limit(0), none).count() == 0
+    clash = docs.selectExpr("doc_id", "text", "'h' AS _hit", "array(1) AS _items", "2 AS _0", "3 AS _1")
+    assert d.decontaminated(clash, none).collect() == clash.collect()

@@ -14,6 +14,10 @@ def test_align_is_a_common_subsequence():
     assert ld.align([9, 5, 6, 7, 8], [1, 5, 6, 2, 7]) == [(1, 1), (2, 2), (3, 4)]
 
 
+def kept_rows(ld, df):
+    return ld.deduplicated(df).collect()
+
+
 def test_planted_passages(spark):
     rng = random.Random(6)
     line = lambda n: " ".join(f"w{rng.randrange(5000)}" for _ in range(n))
@@ -46,3 +50,5 @@ def test_planted_passages(spark):
         assert (passage[0] in text) == (i == carries[0])
     assert ld.deduplicated(df, drop_emptied=False).count() == len(rows)
     assert ld.report(df.limit(0)).count() == 0
+    clash = df.selectExpr("doc_id", "text", "'h' AS _gone", "1 AS _id", "2 AS _key", "3 AS _row", "4 AS row_key")
+    assert ld.deduplicated(clash).columns == clash.columns and ld.deduplicated(clash).count() == len(kept_rows(ld, df))

@@ -38,6 +38,6 @@ def test_edges(spark):
     assert {round(r.score, 6) for r in quality.score(docs, f).collect()} == {0.5}
     one = spark.createDataFrame([(1, 1), (2, 1), (2, 1), (9, 1), (None, 1), (3, None)], "doc_id long, quality int")
     x, y = quality.training_set(docs, one, "quality")
-    assert len(y) == 3
+    assert len(y) == 2
     assert quality.score(docs, quality.Forest.fit(x, y)).where("score < 0.9").count() == 0
     assert quality.score(docs.limit(0), f).count() == 0

@@ -173,8 +173,10 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, extra: list[str] = (), windo
 def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents without any hit, with all their columns."""
     cols = docs.columns
-    others = [c for c in cols if c != "text"]
-    return overlaps(docs, benchmark, others).where(F.length("_hit") == 0).select(*cols)
+    spare = [f"_{i}" for i in range(len(cols))]  # no name of the table can clash with those used here
+    d = docs.toDF(*["text" if c == "text" else n for c, n in zip(cols, spare, strict=True)])
+    clean = overlaps(d, benchmark, [n for c, n in zip(cols, spare, strict=True) if c != "text"]).where(F.length("_hit") == 0)
+    return clean.select(*["text" if c == "text" else n for c, n in zip(cols, spare, strict=True)]).toDF(*cols)
 
 
 def report(docs: DataFrame, benchmark: DataFrame, block_items: int = BLOCK_ITEMS) -> DataFrame:

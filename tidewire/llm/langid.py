@@ -52,7 +52,7 @@ def train_dictionaries(
     place = F.pmod(F.xxhash64(F.col("doc_id"), F.lit("langid")), F.lit(1 << 30)) / float(1 << 30)
     picked = known.where(place < F.element_at(share, F.col("lang"))).select(
         "lang", place.alias("place"), F.substring("text", 1, snippet).alias("text")
-    )
+    ).distinct()  # copies of a row count once
     parts: dict[str, list[bytes]] = {k: [] for k in sorted(counts, key=lambda k: (-counts[k], k))}
     for r in sorted(picked.collect(), key=lambda r: (r["place"], r["text"])):
         if len(parts[r["lang"]]) < sample_docs:

@@ -167,6 +167,9 @@ def deduplicated(docs: DataFrame, min_words: int = MIN_WORDS, drop_emptied: bool
 
     Documents that this leaves without any word are dropped, unless ``drop_emptied`` is false.
     """
+    used = ("doc_id", "text", "n_chars")
+    names = [c if c in used else f"_{i}" for i, c in enumerate(docs.columns)]  # no name can clash with those used here
+    columns, docs = docs.columns, docs.toDF(*names)
     _, found = deletions(docs, min_words)
     found = found.select(F.col("doc_id").alias("_id"), F.col("row_key").alias("_key"), F.col("gone").alias("_gone"))
     d = docs.withColumn("_row", row_key())
@@ -178,7 +181,7 @@ def deduplicated(docs: DataFrame, min_words: int = MIN_WORDS, drop_emptied: bool
         d = d.where(~cut_ | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
     if "n_chars" in docs.columns:
         d = d.withColumn("n_chars", F.when(F.col("_gone").isNotNull(), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return d.select(*docs.columns)
+    return d.select(*names).toDF(*columns)
 
 
 def report(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:

@@ -10,7 +10,7 @@ their id; the label table is cut down first, so documents are never shuffled.
 Scoring reads every document.
 
 Edge cases: null and empty texts are scored as texts of no words; documents with
-several labels count once for each; without labels, or with one class only, the
+several labels count once for each, repeated rows once in training; without labels, or with one class only, the
 score is that class's share (0.5 without any); repeated rows get equal scores; an
 empty table gives an empty result; other columns are ignored.
 """
@@ -154,7 +154,7 @@ def matrix(texts: pa.Array) -> np.ndarray:
 
 def training_set(docs: DataFrame, labels: DataFrame, label: str, sample: int = SAMPLE) -> tuple[np.ndarray, np.ndarray]:
     """Statistics and labels of at most about ``sample`` labelled documents."""
-    known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", F.col(label).cast("double").alias("y"))
+    known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", F.col(label).cast("double").alias("y")).distinct()
     n = known.count()
     if not n:
         return np.zeros((0, N_STATS)), np.zeros(0)
@@ -167,7 +167,8 @@ def training_set(docs: DataFrame, labels: DataFrame, label: str, sample: int = S
             rows = [x.astype("<f4").tobytes() for x in matrix(b.column(1))]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(rows, pa.binary()), b.column(2)], ["doc_id", "x", "y"])
 
-    rows = few.mapInArrow(run, "doc_id long, x binary, y double").toArrow()
+    # rows of one id count once, however often they are repeated
+    rows = few.mapInArrow(run, "doc_id long, x binary, y double").groupBy("doc_id", "y").agg(F.min("x").alias("x")).toArrow()
     order = np.lexsort((rows["y"].to_numpy(), rows["doc_id"].to_numpy()))
     x = np.frombuffer(b"".join(rows["x"].to_pylist()), "<f4").reshape(-1, N_STATS).astype(float)
     return x[order], rows["y"].to_numpy()[order]
