@@ -667,3 +667,117 @@ def stream_dedupe(spark, sf):
     w = stream.writeStream.format("parquet").option("path", out + "/data").option("checkpointLocation", out + "/state").outputMode("append").trigger(availableNow=True)
     w.start().awaitTermination()
     return spark.read.schema(src.df.schema).parquet(out + "/data").select("id", "canonical_url")
+
+
+# --- further rows of the inventory ------------------------------------------
+
+
+@query(f"WITH {CAND_SQL} SELECT doc_id, regexp_matches(lower(title), '\\b(?:release|launch|introducing)\\b') AS keyword FROM cand")
+def keyword_flag(spark, sf):
+    return testbed.candidates(spark, sf).select("doc_id", rules.has_keyword(fold()).alias("keyword"))
+
+
+@query(f"WITH {CAND_SQL} SELECT doc_id, least(12, length(trim(excerpt, E' \\t\\n\\r')) // 80)::BIGINT AS completeness FROM cand")
+def excerpt_completeness(spark, sf):
+    return testbed.candidates(spark, sf).select("doc_id", ranking.completeness(F.col("excerpt")).alias("completeness"))
+
+
+@query(f"WITH {_PUB} SELECT id, report_date::VARCHAR AS report_date, channel, name, '/days/' || report_date || '/#item-' || id || '-' || report_date AS url FROM pub LEFT JOIN names USING (channel)")
+def channel_of_items(spark, sf):
+    slug = readmodels.channel(F.col("category"), F.col("editorial_lane"))
+    d = testbed.items(spark, sf).withColumn("channel", slug)
+    return d.select("id", day("report_date").alias("report_date"), "channel", readmodels.channel_name(F.col("channel")).alias("name"), readmodels.day_url(F.col("id"), F.col("report_date")).alias("url"))
+
+
+@query("SELECT event_id, strftime(ts + INTERVAL 8 HOURS, '%Y-%m-%d %H:%M') AS local FROM events")
+def site_time(spark, sf):
+    return testbed.table(spark, sf, "events").select("event_id", times.site_time(F.col("ts").cast("timestamp")).alias("local"))
+
+
+@query(f"WITH {CAND_SQL} SELECT category_hint, CASE WHEN category_hint = 'Coding Agent' THEN 'Agent' WHEN category_hint <> '论文研究' THEN category_hint END AS channel, count(*) AS n FROM cand GROUP BY category_hint")
+def channel_histogram(spark, sf):
+    d = testbed.candidates(spark, sf).withColumn("channel", ranking.channel_key(F.col("category_hint")))
+    return d.groupBy("category_hint", "channel").agg(F.count("*").alias("n"))
+
+
+@query(
+    """WITH e AS (SELECT doc_id, substr(source, 4)::INT AS k, length(substr(coalesce(text, ''), 1, (doc_id % 160)::INT)) AS n FROM documents),
+i AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY doc_id) - 1 AS pos FROM e),
+s AS (SELECT *, row_number() OVER (PARTITION BY k, n < 80 ORDER BY pos) AS r FROM i WHERE pos < 30)
+SELECT doc_id, CASE WHEN n < 80 THEN 'detail' ELSE 'index' END AS excerpt_from FROM s WHERE n >= 80 OR (r <= 8 AND doc_id % 2 = 0)"""
+)
+def detail_page_quota(spark, sf):
+    """Index entries per source: the first thirty, of which eight short ones may take their excerpt from a detail page."""
+    i = F.col("doc_id")
+    d = testbed.table(spark, sf, "documents").select("doc_id", F.substring("source", 4, 9).alias("k"), F.substring(F.coalesce("text", F.lit("")), F.lit(1), (i % 160).cast("int")).alias("excerpt"))
+    pos = F.row_number().over(Window.partitionBy("k").orderBy("doc_id")) - 1
+    sources = testbed.specs(spark, sf).select("id", F.regexp_extract("name", r"(\d+)", 1).alias("k"))
+    entries = d.withColumn("pos", pos).join(sources, "k").select(F.col("id").alias("source_id"), "pos", F.concat(F.lit("Doc "), i.cast("string")).alias("title"), F.concat(F.lit("https://d.example.com/"), i.cast("string")).alias("url"), testbed.now().alias("published_at"), "excerpt", F.lit(None).cast("string").alias("error"))
+    article = F.when(i % 2 == 0, F.concat(F.lit("<article><p>"), F.repeat(F.lit("words of it "), 10), F.lit("</p></article>"))).otherwise("<p>access denied</p>")
+    details = testbed.table(spark, sf, "documents").select(F.concat(F.lit("https://d.example.com/"), i.cast("string")).alias("url"), article.alias("payload"))
+    out = pages.page_items(entries, details, testbed.specs(spark, sf))
+    return out.select(F.regexp_extract("url", r"(\d+)$", 1).cast("long").alias("doc_id"), F.when(F.col("excerpt").startswith("words of it"), "detail").otherwise("index").alias("excerpt_from"))
+
+
+@query(
+    f"""WITH {CAND_SQL}, l AS (SELECT doc_id, canonical_url, host, CASE WHEN doc_id % 2 = 0 THEN 0 ELSE 1 END AS f FROM cand WHERE regexp_replace(host, '^www\\.', '') IN ('h1.example.com', 'h2.example.com', 'h3.example.com')),
+u AS (SELECT *, row_number() OVER (PARTITION BY canonical_url ORDER BY f, doc_id) AS r FROM l), o AS (SELECT *, row_number() OVER (ORDER BY f, doc_id) AS place FROM u WHERE r = 1)
+SELECT doc_id, place FROM o WHERE place <= 8"""
+)
+def lead_choice(spark, sf):
+    """Leads of two feeds on allowed hosts: each address once, the first eight."""
+    d = testbed.candidates(spark, sf).select(F.lit("com").alias("source_id"), F.col("doc_id").alias("pos"), F.lit("c").alias("community"), F.col("doc_id").cast("string").alias("post_id"), "title", F.col("canonical_url").alias("external_url"), F.col("published_at").alias("posted_at"))
+    domains = spark.createDataFrame([("h1.example.com",), ("h2.example.com",), ("www.h3.example.com",)], "domain string")
+    out = feeds.choose_leads(d.where("pos % 2 = 0"), d.where("pos % 2 = 1"), domains)
+    return out.select(F.col("post_id").cast("long").alias("doc_id"), "place")
+
+
+@query(
+    r"""SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace('- **Bold** [label](https://x.org/a_b) `code` > q ' || substr(coalesce(text, ''), 1, 200), '\[([^\]]+)\]\([^)]+\)', '\1', 'g'), '(?m)^\s*[-+]\s*', '', 'g'), '[*_`#>]', ' ', 'g'), '\s+', ' ', 'g')) AS plain FROM documents"""
+)
+def markdown_plain(spark, sf):
+    t = F.concat(F.lit("- **Bold** [label](https://x.org/a_b) `code` > q "), F.substring(F.coalesce("text", F.lit("")), 1, 200))
+    return testbed.table(spark, sf, "documents").select("doc_id", text.markdown_text(t).alias("plain"))
+
+
+@query("SELECT p_partkey, 'https://api.github.com/repos/' || replace(replace(p_brand, '#', '%23'), ' ', '%20') || '/' || replace(p_name, ' ', '%20') || '/releases?per_page=10' AS url FROM part")
+def release_urls(spark, sf):
+    d = testbed.table(spark, sf, "part")
+    return d.select("p_partkey", urls.releases_url(F.concat_ws("/", "p_brand", "p_name")).alias("url"))
+
+
+@query(f"WITH {_RUNS} SELECT 'src' || k AS source_id, 'Source ' || k AS source_name FROM rn GROUP BY k")
+def fallback_specs(spark, sf):
+    return readmodels.fallback_specs(testbed.runs(spark, sf)).select("source_id", "source_name")
+
+
+@query(f"WITH {_RUNS} SELECT date::VARCHAR AS date, count(*) AS sources, count(*) FILTER (success) AS ok_sources, sum(CASE WHEN success THEN n ELSE 0 END)::BIGINT AS items, count(*) FILTER (success AND known AND n > 0) AS fresh FROM rn GROUP BY date")
+def report_headers(spark, sf):
+    d = testbed.runs(spark, sf).groupBy("date").agg(
+        F.count("*").alias("sources"), F.count_if("success").alias("ok_sources"), F.sum(F.coalesce("item_count", F.lit(0))).alias("items"), F.count_if(F.coalesce("recent_count", F.lit(0)) > 0).alias("fresh")
+    )
+    return d.select(day("date").alias("date"), "sources", "ok_sources", "items", "fresh")
+
+
+@query(f"WITH {_PUB} SELECT id, count(*) AS n FROM pub GROUP BY id HAVING count(*) > 1")
+def repeated_items(spark, sf):
+    return testbed.items(spark, sf).groupBy("id").agg(F.count("*").alias("n")).where("n > 1")
+
+
+@query(f"WITH {_ITEMS_SQL} SELECT doc_id FROM it WHERE NOT (source_role <> 'primary' AND risk = 'high')")
+def marketing_filter(spark, sf):
+    d = testbed.candidates(spark, sf).join(testbed.analyses(spark, sf).select("id", "marketing_risk"), "id")
+    return d.where((F.col("source_role") == "primary") | (F.col("marketing_risk") != "high")).select("doc_id")
+
+
+@query()
+def search_text_nfkc(spark, sf):
+    """Text that searches compare, for documents in any script."""
+    return testbed.table(spark, sf, "documents").select("doc_id", text.search_text(F.substring(F.coalesce("text", F.lit("")), 1, 300), F.col("source")).alias("folded"))
+
+
+@query("WITH r AS (SELECT l_orderkey FROM lineitem WHERE l_quantity >= 45), k AS (SELECT DISTINCT o_orderkey FROM orders WHERE o_totalprice > 200000) SELECT DISTINCT l_orderkey FROM r WHERE l_orderkey NOT IN (SELECT o_orderkey FROM k)")
+def key_difference(spark, sf):
+    """Set difference of keys as an anti-join: orders with large items that are not large themselves."""
+    items_, orders = testbed.table(spark, sf, "lineitem"), testbed.table(spark, sf, "orders")
+    return items_.where("l_quantity >= 45").select("l_orderkey").distinct().join(orders.where("o_totalprice > 200000"), F.col("l_orderkey") == F.col("o_orderkey"), "left_anti")
