@@ -25,19 +25,32 @@ def shared_dir(spark: SparkSession) -> str:
     return _OWN[app]
 
 
+def own_dir(spark: SparkSession) -> str:
+    """This application's folder in the shared one."""
+    return f"{shared_dir(spark)}/tidewire/{spark.sparkContext.applicationId}"
+
+
+def _delete(spark: SparkSession, where: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(where)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete all intermediate tables of this application; results that read them must be stored by then."""
+    _delete(spark, own_dir(spark))
+
+
 class Stored:
     """A table in the shared folder: ``df`` reads it, ``drop`` deletes it."""
 
     def __init__(self, df: DataFrame, name: str = "t"):
         self.spark = df.sparkSession
-        self.path = f"{shared_dir(self.spark)}/tidewire/{name}-{uuid.uuid4().hex}"
+        self.path = f"{own_dir(self.spark)}/{name}-{uuid.uuid4().hex}"
         df.write.parquet(self.path)
         self.df = self.spark.read.schema(df.schema).parquet(self.path)
 
     def drop(self) -> None:
-        jvm = self.spark._jvm
-        path = jvm.org.apache.hadoop.fs.Path(self.path)
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        _delete(self.spark, self.path)
 
 
 def cut(df: DataFrame, name: str = "t") -> DataFrame:

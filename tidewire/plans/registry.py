@@ -658,11 +658,11 @@ def stream_dedupe(spark, sf):
     """Candidates through the stream: written to a table in the shared folder, then read as a stream into another."""
     import uuid
 
-    from tidewire.plans.materialize import Stored, shared_dir
+    from tidewire.plans.materialize import Stored, own_dir
     from tidewire.streaming.dedupe import admit
 
     src = Stored(testbed.candidates(spark, sf).select("id", "canonical_url", "source_id", "source_weight", "published_at"), "st-in")
-    out = f"{shared_dir(spark)}/tidewire/st-out-{uuid.uuid4().hex}"
+    out = f"{own_dir(spark)}/st-out-{uuid.uuid4().hex}"
     stream = admit(spark.readStream.schema(src.df.schema).parquet(src.path))
     w = stream.writeStream.format("parquet").option("path", out + "/data").option("checkpointLocation", out + "/state").outputMode("append").trigger(availableNow=True)
     w.start().awaitTermination()
