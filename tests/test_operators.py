@@ -154,3 +154,9 @@ def test_components_of_long_paths_and_hubs(spark):
     got = {r.node: r.component for r in graph.connected_components(df).collect()}
     assert got == {**{i: 0 for i in range(301)}, **{i: 1000 for i in range(1000, 1501)}}
     assert graph.connected_components(df.limit(0)).count() == 0
+
+
+def test_a_title_that_most_rows_share(spark):
+    rows = [raw(f"c{i}", "The very same headline about things", host=f"h{i}.org", weight=1 + i % 7) for i in range(300)]
+    rows += [raw("x", "The very same headline about thing", host="x.org", weight=9), raw("y", "Something else entirely", host="y.org")]
+    assert urls_of(dedupe.fuzzy_winners(candidates(spark, rows))) == ["x", "y"]

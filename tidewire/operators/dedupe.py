@@ -132,46 +132,33 @@ def similar_pairs(titles: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 def fuzzy_winners(winners: DataFrame, folded: Column | None = None, threshold: float = THRESHOLD) -> DataFrame:
     """Third phase: rows join, in order of preference, the first group all of whose titles are similar.
 
-    Equal titles are alike in every comparison, so distinct titles are paired;
-    only rows of one component of similar titles can share a group, and the
-    greedy grouping runs on each component by itself.
+    A later row of a title always ends in the group of the first, so each title is
+    first cut down to its preferred row; a title that a third of all rows share is
+    one row from then on. Only titles of one component of similar ones can share a
+    group, and the greedy grouping runs on each component by itself.
     """
     folded = text.fold_title(F.col("title")) if folded is None else folded
-    rows = _numbered(winners.withColumn("_folded", F.substring(folded, 1, TITLE_CHARS)))
-    names = rows.groupBy(F.col("_folded").alias("value")).agg(F.min("_row").alias("node"), F.count("*").alias("held"))
-    names = cut(names, "fz-names")
-    parts = connected_components(similar_pairs(names, threshold), "a", "b")
-    names = names.join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    rows = rows.join(names.select(F.col("value").alias("_folded"), "component"), "_folded")
-    big = rows.groupBy("component").agg(F.count_distinct("_folded").alias("titles")).where("titles > 1").select("component")
-    # one title only: the preferred row is the group's winner, whatever its size
-    single = preferred(rows.join(big, "component", "left_anti"), "component")
-    mixed = rows.join(big, "component").withColumn("_order", F.row_number().over(Window.partitionBy("component").orderBy(*preference())))
-    keep = ["component", "_row", "_folded", "_order"]
+    rows = cut(preferred(_numbered(winners.withColumn("_folded", F.substring(folded, 1, TITLE_CHARS))), "_folded"), "fz-rows")
+    pairs = similar_pairs(rows.select(F.col("_row").alias("node"), F.col("_folded").alias("value")), threshold)
+    parts = cut(connected_components(pairs, "a", "b"), "fz-parts").withColumnRenamed("node", "_row")
+    alone = rows.join(parts, "_row", "left_anti")
+    mixed = rows.join(parts, "_row").withColumn("_order", F.row_number().over(Window.partitionBy("component").orderBy(*preference())))
 
     def group(pdf: pd.DataFrame) -> pd.DataFrame:
-        known: dict[tuple[str, str], bool] = {}
-
-        def alike(a: str, b: str) -> bool:
-            if (a, b) not in known:
-                known[a, b] = known[b, a] = similar(a, b, threshold)
-            return known[a, b]
-
-        groups: list[dict[str, None]] = []
+        groups: list[list[str]] = []
         out = []
         for row, value in pdf.sort_values("_order")[["_row", "_folded"]].itertuples(index=False):
             for g in groups:
-                if value in g or all(alike(value, other) for other in g):
-                    g[value] = None
+                if all(similar(value, other, threshold) for other in g):
+                    g.append(value)
                     break
             else:
-                groups.append({value: None})
+                groups.append([value])
                 out.append(row)
         return pd.DataFrame({"_row": out})
 
-    heads = mixed.select(*keep).groupBy("component").applyInPandas(group, "_row long")
-    mixed = rows.join(heads, "_row", "left_semi")
-    return single.unionByName(mixed.select(*single.columns)).drop("_row", "component", "_folded")
+    heads = mixed.select("component", "_row", "_folded", "_order").groupBy("component").applyInPandas(group, "_row long")
+    return alone.unionByName(rows.join(heads, "_row", "left_semi").select(*alone.columns)).drop("_row", "_folded")
 
 
 def deduplicate(candidates: DataFrame, history: DataFrame, max_items: int | None = None, folded: Column | None = None) -> DataFrame:
