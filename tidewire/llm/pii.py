@@ -41,7 +41,7 @@ OCTET = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[0-9]{1,2})"
 
 #: Strings that look like an identifier but need not be one.
 NUMBER = r"(?<![0-9A-Za-z])[+(]?[0-9][0-9().\x20/-]{5,}[0-9](?![0-9A-Za-z])"
-SPELLED = r"(?i)[a-z0-9._%+-]++\x20?[\[({]at[\])}]\x20?[a-z0-9-]++(?:\x20?(?:[\[({]dot[\])}]|\.)\x20?[a-z0-9-]++)++"
+SPELLED = r"(?i)(?<![a-z0-9._%+-])[a-z0-9._%+-]++\x20?[\[({]at[\])}]\x20?[a-z0-9-]++(?:\x20?(?:[\[({]dot[\])}]|\.)\x20?[a-z0-9-]++)++"
 
 MIN_SEEDS = 5
 MIN_CONFIDENCE = 0.6
