@@ -21,6 +21,8 @@ result; other columns are ignored.
 
 import math
 from collections import Counter
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -81,6 +83,8 @@ class Index:
         self.postings: dict[str, list[tuple[int, int]]] = {}
         #: neighbours of which every key phrase and plain phrase holds one
         self.pairs = {tuple(p.split()[:2]) for p in PHRASES}
+        #: words of which every key phrase and plain phrase holds one
+        self.cores = {max(p, key=len) for p in [*keys, *(p.split() for p in PHRASES)]}
         for t, words in enumerate(self.words):
             # the rarest word of the key phrase, and every rarer word held by few notices
             at, n = self.keys[t]
@@ -151,7 +155,10 @@ def scan(docs: DataFrame, notices=NOTICES, min_cover: float = MIN_COVER) -> Data
     edge = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
     other = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]++"
     pairs = "|".join(f"{a}{other}{b}" for a, b in sorted(index.pairs))
-    likely = text.rlike(rf"(?i)(?<!{edge})(?:{pairs})(?!{edge})")
+    beside = rf"(?i)(?<!{edge})(?:{pairs})(?!{edge})"
+    # a plain search for one word of each phrase passes over most texts; arrays of one bind a value once
+    some = lambda low: reduce(or_, [low.contains(core) for core in sorted(index.cores)])
+    likely = F.exists(F.array(text), lambda t: F.exists(F.array(F.lower(t)), some) & t.rlike(beside))
     words = F.regexp_extract_all(F.translate(text, _UPPER, _LOWER), F.lit(WORD), F.lit(0))
     split = docs.select("doc_id", F.when(likely, words).alias("w"), F.when(~likely, F.regexp_count(text, F.lit(WORD))).cast("long").alias("n"))
     split = cut(split, "lic-words")
