@@ -62,7 +62,7 @@ MIN_COVER = 0.7
 RARE_IN = 6
 
 #: A word in a text that is not lower-cased yet.
-WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+WORD = r"[0-9A-Za-z\x{80}-\x{10FFFF}]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -152,7 +152,7 @@ def scan(docs: DataFrame, notices=NOTICES, min_cover: float = MIN_COVER) -> Data
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels and score of every document."""
     index = Index(notices)
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    edge = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
+    edge = r"[0-9A-Za-z\x{80}-\x{10FFFF}]"
     other = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]++"
     pairs = "|".join(f"{a}{other}{b}" for a, b in sorted(index.pairs))
     beside = rf"(?i)(?<!{edge})(?:{pairs})(?!{edge})"
