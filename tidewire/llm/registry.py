@@ -1,7 +1,7 @@
 """The corpus operators' queries and their SQL."""
 
 from tidewire.llm.decontaminate import OP9_SQL, op9_decontaminate
-from tidewire.llm.embeddings import op7_embeddings
+from tidewire.llm.embeddings import OP7_SQL, op7_embeddings
 from tidewire.llm.langid import op6_language
 from tidewire.llm.licenses import op4_licenses
 from tidewire.llm.linededup import op10_lines
@@ -24,4 +24,4 @@ QUERIES = {
     "op10_lines": op10_lines,
 }
 
-SQL = {"op3_mixing": OP3_SQL, "op9_decontaminate": OP9_SQL}
+SQL = {"op3_mixing": OP3_SQL, "op7_embeddings": OP7_SQL, "op9_decontaminate": OP9_SQL}
