@@ -21,7 +21,8 @@ stars instead of by all its pairs.
 
 Edge cases: a null or blank text has fingerprint zero and is linked like any
 other; fewer words than a shingle give one shingle of all words; repeated rows
-share a component; an empty table gives an empty result; extra columns are
+share a component; a row without an id gets the component of its fingerprint, or
+null where no row with an id has that, and is never dropped; an empty table gives an empty result; extra columns are
 ignored.
 """
 
