@@ -350,7 +350,7 @@ SELECT doc_id, substr(trim(regexp_replace(substr(coalesce(text, ''), 1, 200), '\
 )
 def analysis_normalize(spark, sf):
     i = F.col("doc_id")
-    title = F.regexp_replace(F.substring(F.coalesce("text", F.lit("")), 1, 200), r"\s+", " ")
+    title = F.regexp_replace(F.coalesce("text", F.lit("")), r"\s+", " ")
     row = F.struct(
         F.lit("0").alias("id"), F.concat(F.lit("  "), title, F.lit(" ")).alias("title"), F.concat(F.lit(" "), (i % 12).cast("string")).alias("importance"),
         F.when(i % 2 == 0, " True").otherwise("FALSE ").alias("is_official"), F.array(F.lit(" a"), F.lit("b "), F.lit("a"), F.repeat(F.lit("x"), 51), F.when(i % 3 == 0, "b").otherwise("c"), F.lit("")).alias("tags"),
@@ -773,7 +773,7 @@ def marketing_filter(spark, sf):
 @query()
 def search_text_nfkc(spark, sf):
     """Text that searches compare, for documents in any script."""
-    return testbed.table(spark, sf, "documents").select("doc_id", text.search_text(F.substring(F.coalesce("text", F.lit("")), 1, 300), F.col("source")).alias("folded"))
+    return testbed.table(spark, sf, "documents").select("doc_id", text.search_text(F.coalesce("text", F.lit("")), F.col("source")).alias("folded"))
 
 
 @query("WITH r AS (SELECT l_orderkey FROM lineitem WHERE l_quantity >= 45), k AS (SELECT DISTINCT o_orderkey FROM orders WHERE o_totalprice > 200000) SELECT DISTINCT l_orderkey FROM r WHERE l_orderkey NOT IN (SELECT o_orderkey FROM k)")
