@@ -50,3 +50,12 @@ def test_patterns_discover_unseen_identifiers(spark):
     assert got[100].spans == "phone:22:34" and got[100].n_phone == 0 and got[100].n_added == 1
     assert got[101].spans == "" and got[300].spans == "email:16:43"
     assert all(got[i].n_added == 0 for i in range(30))
+
+
+def test_found_values_lead_to_further_patterns(spark):
+    rows = [(i, f"note {i}: please call extension +1 (55{i % 10}) 555-{1000 + i * 7} today") for i in range(30)]
+    rows += [(100 + i, f"please call extension 555-867-{5300 + i} today") for i in range(10)]
+    rows += [(200 + i, f"leave word at desk line 555-867-{5300 + i} overnight") for i in range(10)]
+    rows += [(300, "leave word at desk line 555-444-1234 overnight"), (301, "row 8675309123 of the table")]
+    got = {r.doc_id: r for r in pii.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[300].spans == "phone:24:36" and got[300].n_phone == 0 and got[301].spans == ""

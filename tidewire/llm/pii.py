@@ -12,8 +12,9 @@ surround form a bipartite graph, scored in rounds:
   all the confident patterns around it are wrong.
 
 Values of high score become spans of that kind; the seeds' spans always stay.
-Only patterns around ``MIN_SEEDS`` or more distinct seeds take part, so the graph
-is small against the text, and its sums are combined before each shuffle.
+In each round the patterns around ``MIN_SEEDS`` or more distinct values that are
+seeds or of high score by then take part, so values found in one round lead to
+patterns in the next. Sums are combined before each shuffle.
 
 Offsets are in code points, end exclusive. They come from splitting a text at a
 pattern's matches: pieces and matches alternate, so lengths add up to places.
@@ -149,8 +150,7 @@ def discover(found: DataFrame) -> DataFrame:
     """(doc_id, row_key, start, kind, end) of the spans that the patterns add."""
     nodes = cut(found.select("doc_id", "row_key", F.explode("nodes").alias("n")).select("doc_id", "row_key", "n.*"), "pii-nodes")
     edges = nodes.select("value", "kind", "spelled", "digits", F.explode("patterns").alias("pattern")).distinct()
-    seeded = edges.where("kind >= 0").groupBy("pattern").agg(F.count_distinct("value").alias("n")).where(F.col("n") >= MIN_SEEDS).select("pattern")
-    edges = cut(edges.join(seeded, "pattern"), "pii-edges")
+    edges = cut(edges, "pii-edges")
     size = cut(edges.groupBy("pattern").agg(F.count_distinct("value").alias("around")), "pii-size")
     allowed = F.when(F.col("kind") >= 0, F.array("kind")).when(F.col("spelled"), F.array(F.lit(0))).otherwise(
         F.filter(F.array(F.when(F.col("digits").between(12, 19), F.lit(2)), F.when(F.col("digits").between(7, 15), F.lit(3))), lambda x: x.isNotNull())
@@ -159,8 +159,11 @@ def discover(found: DataFrame) -> DataFrame:
     scores = links.where("seed").select("value", "k").distinct().withColumn("score", F.lit(1.0))
     fixed = scores
     for _ in range(ROUNDS):
+        strong = scores.where(F.col("score") >= MIN_SCORE).select("value").distinct()
+        held = links.join(strong, "value").select("pattern", "value").distinct().groupBy("pattern").agg(F.count("*").alias("n"))
+        held = held.where(F.col("n") >= MIN_SEEDS).select("pattern")
         weight = links.join(scores, ["value", "k"]).select("pattern", "value", "k", "score").distinct().groupBy("pattern", "k").agg(F.sum("score").alias("weight"))
-        trusted = weight.join(size, "pattern").withColumn("confidence", F.col("weight") / (F.col("around") + 1.0))
+        trusted = weight.join(held, "pattern").join(size, "pattern").withColumn("confidence", F.col("weight") / (F.col("around") + 1.0))
         trusted = trusted.where(F.col("confidence") >= MIN_CONFIDENCE).select("pattern", "k", "confidence")
         reached = links.where("not seed").join(trusted, ["pattern", "k"]).groupBy("value", "k")
         new = reached.agg((1 - F.exp(F.sum(F.log(1 - F.least("confidence", F.lit(0.999)))))).alias("score"))
