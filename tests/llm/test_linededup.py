@@ -52,3 +52,70 @@ def test_planted_passages(spark):
     assert ld.report(df.limit(0)).count() == 0
     clash = df.selectExpr("doc_id", "text", "'h' AS _gone", "1 AS _id", "2 AS _key", "3 AS _row", "4 AS row_key")
     assert ld.deduplicated(clash).columns == clash.columns and ld.deduplicated(clash).count() == len(kept_rows(ld, df))
+
+
+def brute(rows, min_words):
+    """Line numbers that lie in a run of min_words words that a document of smaller id holds, over all pairs."""
+    lines = {}
+    for i, t in rows:
+        lines[i] = [(no, x.strip(" \t\x0b\x0c\r"), len(x.split())) for no, x in enumerate((t or "").split("\n")) if x.split()]
+    out = {}
+    for i, a in lines.items():
+        gone = set()
+        for j, b in lines.items():
+            if j >= i:
+                continue
+            for x in range(len(a)):
+                for y in range(len(b)):
+                    n = 0
+                    while x + n < len(a) and y + n < len(b) and a[x + n][1] == b[y + n][1]:
+                        n += 1
+                    if sum(k[2] for k in a[x : x + n]) >= min_words:
+                        gone |= set(range(x, x + n))
+        full = set()
+        for k in gone:
+            full |= set(range(a[k][0], a[k + 1][0])) if k + 1 in gone else {a[k][0]}
+        out[i] = ",".join(map(str, sorted(full)))
+    return out
+
+
+def test_equals_all_pairs(spark):
+    rng = random.Random(12)
+    pool = [" ".join(f"p{k}x{n}" for n in range(rng.randrange(1, 14))) for k in range(24)]
+    rows = []
+    for i in range(240):  # passages moved, repeated, chained, cut short, and split over several earlier documents
+        at, t = rng.randrange(24), []
+        for _ in range(rng.randrange(9)):
+            t.append(rng.choice(["", " ", pool[at % 24], pool[at % 24] + "\t", f"own {i} {rng.random()}"]))
+            at += rng.choice([1, 1, 1, 1, 7, -3])
+        rows.append((i, "\n".join(t)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.deleted_lines for r in ld.report(df, 12).collect()}
+    want = brute(rows, 12)
+    assert sum(bool(x) for x in want.values()) > 40
+    assert got == want
+
+
+def test_passages_whose_lines_were_seen_elsewhere(spark):
+    line = lambda c, n=12: " ".join(f"{c}{k}" for k in range(n))
+    x, y, z = map(line, "xyz")
+    rows = [(0, f"{x}\n{y}"), (1, f"{y}\n{z}"), (2, f"{x}\n{y}\n{z}"), (3, f"{x}\n{y}\n{z}")]
+    eight = [line(f"e{k}q", 7) for k in range(8)]
+    rows += [(10 + k, f"{eight[k]}\n{eight[k + 1]}") for k in range(7)] + [(20, "\n".join(eight)), (21, "head\n" + "\n".join(eight))]
+    a, b = "\n".join(line(f"a{k}q") for k in range(5)), "\n".join(line(f"b{k}q") for k in range(5))
+    rows += [(30, f"{a}\n{a}\n{b}\nmid"), (31, f"top\n{b}\n{a}"), (32, f"{a}\nend")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.n_deleted_lines for r in ld.report(df).collect()}
+    assert got[2] == 0 and got[3] == 3 and got[20] == 0 and got[21] == 8 and got[31] == 10 and got[32] == 5
+
+
+def test_repeated_and_very_long_rows(spark):
+    passage = "\n".join(f"w{k} of the passage that is shared" for k in range(8))
+    rows = [(1, passage)] * 300 + [(2, "x\n" + passage)] * 300 + [(1, f"other text {k}\n{passage}") for k in range(20)]
+    rows += [(3, "\n".join(f"line {k % 40000} of a very long text" for k in range(120_000)) + "\n" + passage), (4, "a\n" * 50_000 + passage)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = ld.report(df).collect()
+    assert len(got) == len(rows)
+    assert {r.n_deleted_lines for r in got if r.doc_id == 1} == {0} and {r.n_deleted_lines for r in got if r.doc_id != 1} == {8}
+    left = {r.doc_id: r.text for r in ld.deduplicated(df).where("doc_id > 2").collect()}
+    assert left[4] == "\n".join(["a"] * 50_000) and left[3].count("\n") == 119_999

@@ -1,33 +1,43 @@
 """Line dedup by pairwise alignment.
 
-Documents that share lines are found through the lines' hashes: every line, and
-every two neighbouring lines, that more than one document holds point to the
-first document (smallest id) that holds them, and every later holder is paired
-with that one. A line in a third of all documents thus makes one pair per
-document, never all pairs of its holders; pairs whose shared lines cannot add up
-to ``min_words`` words are dropped at once. Common short lines alone, which are
-anything but rare, so lead nowhere.
-
-Each pair is aligned with patience diff: common ends first, then the lines that
-are unique on both sides, in their longest common order, and so on in the gaps.
-Runs of aligned lines of at least ``min_words`` words are deleted from the later
-document. The first holder of a line keeps it.
-
-Lines are compared without white space at their ends; blank lines take part in
-runs but weigh nothing.
+Lines are compared by the hash of their text without white space at its ends;
+blank lines part nothing and weigh nothing. A run of neighbouring lines is one
+*block* if its words reach ``min_words``. Single lines may be common, so the index
+holds runs that are long enough to be rare: for every line the shortest run of
+``min_words`` words that begins there, and the shortest that ends there. Every line
+of a common block, however long, lies in such a run inside that block: two
+documents share a block if and only if they share a run's hash, and no line of a
+common block is outside all shared runs.
+
+Each later holder of a run is paired with the run's first holder (smallest id).
+A passage in a third of all documents thus makes one pair per document, never all
+pairs of its holders. Of a paired document only the lines inside shared runs
+travel on, so a long first holder costs no more than what it shares.
+
+A pair is aligned with patience diff: common ends first, then the lines that are
+unique on both sides, in their longest common order, and so on in the gaps.
+Aligned blocks are deleted from the later document. An alignment keeps the order
+and needs a unique line to hold on to, so blocks that were moved, or that the
+earlier document repeats, are then looked up by the pair's shared runs. The
+outcome is exact: a line goes if and only if it lies in a block that a document
+of smaller id holds too. Each deleted line is left in the first document that
+has it.
 
 Edge cases: null and empty texts have no lines to lose; rows without an id, and
 rows of equal id against each other, are not compared; repeated rows lose the
-same lines; a document whose every line is in earlier ones is left with an empty
-text; documents are never compared by anything but their text; an empty table
-gives an empty result; extra columns are passed on by ``deduplicated``.
+same lines and are aligned once; blank lines between deleted neighbours go with
+them; a document whose every line is in earlier ones is left with an empty text;
+documents are never compared by anything but their text; an empty table gives an
+empty result; extra columns are passed on by ``deduplicated``.
 """
 
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -86,79 +96,151 @@ def align(a: list, b: list) -> list[tuple[int, int]]:
     return sorted(out)
 
 
-def common_lines(later: list, earlier: list, words: list[int], min_words: int) -> list[int]:
-    """Positions in ``later`` of the aligned runs of at least ``min_words`` words."""
-    out: list[int] = []
-    run: list[int] = []
-    last = (-2, -2)
-    for i, j in [*align(later, earlier), (-1, -1)]:
-        if (i, j) != (last[0] + 1, last[1] + 1):
-            if sum(words[x] for x in run) >= min_words:
-                out += run
-            run = []
-        run.append(i)
-        last = (i, j)
-    return out
+def aligned_blocks(pos: np.ndarray, later: list, words: np.ndarray, pos_b: np.ndarray, earlier: list, min_words: int) -> np.ndarray:
+    """Which of the later lines are in aligned blocks; ``pos`` tells which lines are neighbours."""
+    hit = np.zeros(len(later), bool)
+    found = align(later, earlier)
+    if not found:
+        return hit
+    i, j = np.array(found).T
+    run = np.concatenate([[0], np.cumsum((np.diff(pos[i]) != 1) | (np.diff(pos_b[j]) != 1))])
+    hit[i] = np.bincount(run, words[i])[run] >= min_words
+    return hit
 
 
-def _clean(line):
-    return F.regexp_replace(line, r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$", "")
+def lines_of(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """The hash and the number of words of every line; blank lines have neither."""
+    lines = [x.strip() for x in raw.split(b"\n")]
+    words = np.fromiter((len(x.split()) for x in lines), np.int32, len(lines))
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, lines), np.uint64, len(lines)).view(np.int64), words
+
+
+def runs(hashes: np.ndarray, words: np.ndarray, min_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(begin, end, hash) of the shortest runs of ``min_words`` words from and up to every line, of lines with words."""
+    total = np.concatenate([[0], np.cumsum(words, dtype=np.int64)])
+    n = len(words)
+    begin = np.arange(n)
+    end = np.searchsorted(total, total[:-1] + min_words)
+    ok = end <= n
+    stop = np.arange(1, n + 1)
+    start = np.searchsorted(total, total[1:] - min_words, side="right") - 1
+    back = start >= 0
+    both = np.unique(np.concatenate([begin[ok] * (n + 1) + end[ok], start[back] * (n + 1) + stop[back]]))
+    a, b = both // (n + 1), both % (n + 1)
+    raw = np.ascontiguousarray(hashes).tobytes()
+    return a, b, np.fromiter((xxhash.xxh3_64_intdigest(raw[8 * x : 8 * y]) for x, y in zip(a.tolist(), b.tolist(), strict=True)), np.uint64, len(a)).view(np.int64)
+
+
+def _ints(values, kind=None):
+    return pa.array(values, pa.list_(kind or pa.int32()))
 
 
 def line_table(docs: DataFrame) -> DataFrame:
     """(doc_id, row_key, hashes, words): one row per document."""
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    lines = F.transform(F.split(text, "\n", -1), _clean)
-    return docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"),
-        row_key().alias("row_key"),
-        F.transform(lines, lambda x: F.xxhash64(x)).alias("hashes"),
-        F.transform(lines, lambda x: F.regexp_count(x, F.lit(r"[^\x20\x09-\x0D]+"))).alias("words"),
-    )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [lines_of(t.as_py()) for t in b.column(2)]
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), b.column(1), _ints([h for h, _ in found], pa.int64()), _ints([w for _, w in found])], ["doc_id", "row_key", "hashes", "words"]
+            )
+
+    text = F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")
+    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key().alias("row_key"), text.alias("text"))
+    return d.mapInArrow(run, "doc_id long, row_key long, hashes array<long>, words array<int>")
 
 
 def row_key():
     return F.xxhash64(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")))
 
 
-def _pairs(table: DataFrame, min_words: int) -> DataFrame:
-    """(later, earlier) documents whose shared lines may add up to ``min_words``."""
-    n = F.size("hashes")
-    at = F.sequence(F.lit(0), n - 1)
-    one = F.transform(at, lambda i: F.struct(F.get("hashes", i).alias("h"), F.get("words", i).alias("w")))
-    two = F.transform(
-        F.slice(at, 1, n - 1),
-        lambda i: F.struct(F.xxhash64(F.get("hashes", i), F.get("hashes", i + 1)).alias("h"), (F.get("words", i) + F.get("words", i + 1)).alias("w")),
-    )
-    held = table.where("doc_id is not null").select("doc_id", F.explode(F.array_distinct(F.concat(one, two))).alias("x"))
-    held = cut(held.select("doc_id", "x.h", "x.w").where("w > 0"), "ld-held")
-    first = held.groupBy("h").agg(F.min("doc_id").alias("earlier"), F.max("doc_id").alias("last")).where("earlier < last")
-    first = cut(first.select("h", "earlier"), "ld-first")
-    pairs = held.join(first, "h").where(F.col("doc_id") > F.col("earlier"))
-    pairs = pairs.groupBy(F.col("doc_id").alias("later"), "earlier").agg(F.sum("w").alias("w"))
-    return pairs.where(F.col("w") >= min_words).select("later", "earlier")
+def _worded(hashes, words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Numbers, hashes and sizes of the lines that have words."""
+    h, w = hashes.values.to_numpy(), words.values.to_numpy()
+    no = np.flatnonzero(w)
+    return no, h[no], w[no]
+
+
+def _shared_runs(table: DataFrame, min_words: int) -> DataFrame:
+    """(doc_id, row_key, h, earlier, earlier_row): the runs that several documents hold, with their first holder."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keys = [np.unique(runs(*_worded(h, w)[1:], min_words)[2]) for h, w in zip(b.column(2), b.column(3), strict=True)]
+            own = np.repeat(np.arange(b.num_rows), [len(x) for x in keys])
+            flat = np.concatenate([np.zeros(0, np.int64), *keys])
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(own)), b.column(1).take(pa.array(own)), pa.array(flat)], ["doc_id", "row_key", "h"])
+
+    held = cut(table.where("doc_id is not null").mapInArrow(run, "doc_id long, row_key long, h long"), "ld-held")
+    first = held.groupBy("h").agg(F.min("doc_id").alias("earlier"), F.min_by("row_key", "doc_id").alias("earlier_row"), F.max("doc_id").alias("last"))
+    first = cut(first.where("earlier < last").select("h", "earlier", "earlier_row"), "ld-first")
+    return cut(held.join(first, "h").select("doc_id", "row_key", "h", "earlier", "earlier_row"), "ld-shared-runs")
+
+
+def _shared_lines(table: DataFrame, shared: DataFrame, min_words: int) -> DataFrame:
+    """One row per distinct document with shared runs: its lines inside them (place, number, hash, words) and the runs."""
+    keys = shared.groupBy("doc_id", "row_key").agg(F.collect_set("h").alias("keys"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for i in range(b.num_rows):
+                no, h, w = _worded(b.column(2)[i], b.column(3)[i])
+                begin, end, key = runs(h, w, min_words)
+                keep = np.isin(key, b.column(4)[i].values.to_numpy())
+                begin, end, key = begin[keep], end[keep], key[keep]
+                pos = np.flatnonzero(np.cumsum(np.bincount(begin, minlength=len(h) + 1) - np.bincount(end, minlength=len(h) + 1))[:-1])
+                out.append((pos, no[pos], h[pos], w[pos], begin, end, key))
+            kinds = (None, None, pa.int64(), None, None, None, pa.int64())
+            cols = [_ints([x[k].astype(np.int64 if kind else np.int32) for x in out], kind) for k, kind in enumerate(kinds)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *cols], ["doc_id", "row_key", "pos", "no", "hash", "words", "begin", "end", "key"])
+
+    # rows that repeat each other are one, whatever their number
+    whole = table.join(keys, ["doc_id", "row_key"]).groupBy("doc_id", "row_key").agg(*[F.first(c).alias(c) for c in ("hashes", "words", "keys")])
+    schema = "doc_id long, row_key long, pos array<int>, no array<int>, hash array<long>, words array<int>, begin array<int>, end array<int>, key array<long>"
+    return cut(whole.mapInArrow(run, schema), "ld-shared-lines")
 
 
 def deletions(docs: DataFrame, min_words: int = MIN_WORDS) -> tuple[DataFrame, DataFrame]:
-    """The line table, and (doc_id, row_key, gone, earlier): deleted line numbers and the documents that keep them."""
+    """The line table, and (doc_id, row_key, gone, mask, earlier): deleted lines, as numbers and as flags, and the documents that keep them."""
     table = cut(line_table(docs), "ld-lines")
-    pairs = cut(_pairs(table, min_words), "ld-pairs")
-    left = table.select(F.col("doc_id").alias("later"), "row_key", "hashes", "words")
-    right = table.select(F.col("doc_id").alias("earlier"), F.col("hashes").alias("other"))
+    shared = _shared_runs(table, min_words)
+    lines = _shared_lines(table, shared, min_words)
+    pairs = shared.where("doc_id > earlier").select(F.col("doc_id").alias("later"), F.col("row_key").alias("later_row"), "earlier", "earlier_row").distinct()
+    left = lines.select(F.col("doc_id").alias("later"), F.col("row_key").alias("later_row"), "pos", "no", "hash", "words", "begin", "end", "key")
+    right = lines.select(F.col("doc_id").alias("earlier"), F.col("row_key").alias("earlier_row"), F.col("pos").alias("pos_b"), F.col("hash").alias("hash_b"), F.col("key").alias("key_b"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            a, w, o = (b.column(i).to_pylist() for i in (2, 3, 5))
-            gone = [common_lines(x, z, y, min_words) for x, y, z in zip(a, w, o, strict=True)]
-            keep = pa.array([bool(x) for x in gone], pa.bool_())
-            out = [b.column(0), b.column(1), b.column(4), pa.array(gone, pa.list_(pa.int32()))]
-            yield pa.RecordBatch.from_arrays(out, ["doc_id", "row_key", "earlier", "gone"]).filter(keep)
-
-    both = pairs.join(left, "later").join(right, "earlier").select("later", "row_key", "hashes", "words", "earlier", "other")
-    found = both.mapInArrow(run, "doc_id long, row_key long, earlier long, gone array<int>")
-    found = found.groupBy("doc_id", "row_key").agg(
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("gone")))).alias("gone"), F.array_sort(F.collect_set("earlier")).alias("earlier")
-    )
+            gone = []
+            for i in range(b.num_rows):
+                pos, no, h, w, begin, end, key, pos_b, h_b, key_b = (b.column(c)[i].values.to_numpy() for c in range(3, 13))
+                hit = aligned_blocks(pos, h.tolist(), w, pos_b, h_b.tolist(), min_words)
+                more = np.isin(key, key_b)  # blocks out of order, or without a unique line in the earlier document
+                first, past = (np.searchsorted(pos, x[more]) for x in (begin, end))
+                hit |= np.cumsum(np.bincount(first, minlength=len(h) + 1) - np.bincount(past, minlength=len(h) + 1))[:-1] > 0
+                gone.append((pos[hit].astype(np.int64) << 32) + no[hit])
+            keep = pa.array([len(x) > 0 for x in gone], pa.bool_())
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in range(3)), _ints(gone, pa.int64())], ["doc_id", "row_key", "earlier", "gone"]).filter(keep)
+
+    def union(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            numbers, masks = [], []
+            for x in b.column(2):
+                at = np.unique(x.values.flatten().to_numpy())
+                pos, no = at >> 32, at & (1 << 32) - 1
+                mask = np.zeros(int(no[-1]) + 1, bool)
+                mask[no] = True
+                for k in np.flatnonzero((np.diff(pos) == 1) & (np.diff(no) > 1)).tolist():
+                    mask[no[k] : no[k + 1]] = True
+                numbers.append(np.flatnonzero(mask).astype(np.int32)), masks.append(mask)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), _ints(numbers), _ints(masks, pa.bool_()), b.column(3)], ["doc_id", "row_key", "gone", "mask", "earlier"])
+
+    both = pairs.join(left, ["later", "later_row"]).join(right, ["earlier", "earlier_row"])
+    both = both.select("later", "later_row", "earlier", "pos", "no", "hash", "words", "begin", "end", "key", "pos_b", "hash_b", "key_b")
+    found = both.mapInArrow(run, "doc_id long, row_key long, earlier long, gone array<long>")
+    found = found.groupBy("doc_id", "row_key").agg(F.collect_list("gone").alias("gone"), F.array_sort(F.collect_set("earlier")).alias("earlier"))
+    found = found.mapInArrow(union, "doc_id long, row_key long, gone array<int>, mask array<boolean>, earlier array<long>")
     return table, cut(found, "ld-gone")
 
 
@@ -171,10 +253,10 @@ def deduplicated(docs: DataFrame, min_words: int = MIN_WORDS, drop_emptied: bool
     names = [c if c in used else f"_{i}" for i, c in enumerate(docs.columns)]  # no name can clash with those used here
     columns, docs = docs.columns, docs.toDF(*names)
     _, found = deletions(docs, min_words)
-    found = found.select(F.col("doc_id").alias("_id"), F.col("row_key").alias("_key"), F.col("gone").alias("_gone"))
+    found = found.select(F.col("doc_id").alias("_id"), F.col("row_key").alias("_key"), F.col("mask").alias("_gone"))
     d = docs.withColumn("_row", row_key())
-    d = d.join(found.hint("shuffle_hash"), (F.col("doc_id").cast("long") == F.col("_id")) & (F.col("_row") == F.col("_key")), "left")
-    left = F.array_join(F.filter(F.split("text", "\n", -1), lambda x, i: ~F.array_contains(F.col("_gone"), i)), "\n")
+    d = d.join(found, (F.col("doc_id").cast("long") == F.col("_id")) & (F.col("_row") == F.col("_key")), "left")
+    left = F.array_join(F.filter(F.split("text", "\n", -1), lambda x, i: ~F.coalesce(F.get("_gone", i), F.lit(False))), "\n")
     cut_ = F.col("_gone").isNotNull()
     d = d.withColumn("text", F.when(cut_, left).otherwise(F.col("text")))
     if drop_emptied:
@@ -188,7 +270,7 @@ def report(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """One row per document: lines and words, those deleted, their numbers, and the documents that keep them."""
     table, found = deletions(docs, min_words)
     total = lambda a: F.aggregate(a, F.lit(0), lambda s, x: s + x).cast("long")
-    d = table.join(found, ["doc_id", "row_key"], "left")
+    d = table.join(found.drop("mask"), ["doc_id", "row_key"], "left")
     gone = F.coalesce("gone", F.array().cast("array<int>"))
     return d.select(
         "doc_id",
