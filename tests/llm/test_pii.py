@@ -59,3 +59,23 @@ def test_found_values_lead_to_further_patterns(spark):
     rows += [(300, "leave word at desk line 555-444-1234 overnight"), (301, "row 8675309123 of the table")]
     got = {r.doc_id: r for r in pii.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got[300].spans == "phone:24:36" and got[300].n_phone == 0 and got[301].spans == ""
+
+
+def test_defanged_addresses_are_reached(spark):
+    rows = [(i, f"note: login from host 10.0.{i}.7 was refused") for i in range(12)] + [(100, "login from host 10[.]9[.]8[.]7 was refused"), (101, "see 10[.]9[.]8[.]7")]
+    rows += [(200, "part 1 [dot] 2 [dot] 3 [dot] 4 of it")]
+    got = {r.doc_id: r for r in pii.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[100].spans == "ip:16:30" and got[100].n_ip == 0 and got[101].spans == "ip:4:18" and got[200].spans == ""
+
+
+def test_many_matches_in_one_text(spark):
+    import time
+
+    parts = [f"user{i}@mail.org 10.0.{i % 256}.1 call 555-{i:07d} " for i in range(50_000)]
+    text = "".join(parts)
+    df = spark.createDataFrame([(1, text), (1, text), (2, "a@b.c")], "doc_id long, text string")
+    begin = time.perf_counter()
+    got = pii.scan(df).orderBy("doc_id").collect()
+    assert time.perf_counter() - begin < 60
+    assert got[0].n_email == got[0].n_ip == 50_000 and got[0].base_sha256 == hashlib.sha256(listed(brute(text)).encode()).hexdigest()
+    assert got[0] == got[1] and got[2].spans == "email:0:5"
