@@ -24,3 +24,26 @@ def test_edges(spark):
     assert langid.identify(df, {}).where("lang_pred <> 'und'").count() == 0
     empty = df.limit(0)
     assert langid.train_dictionaries(empty) == {} and langid.identify(empty, dicts).count() == 0
+
+
+def test_und_exactly_without_letters(spark):
+    import unicodedata
+
+    odd = [chr(c) for c in range(0x110000) if unicodedata.category(chr(c)) not in ("Cs", "Cn")]  # unassigned ones may be letters of a later standard
+    for c in odd:
+        assert bool(langid.letters(c)) == any(unicodedata.category(x).startswith("L") for x in c.lower()), hex(ord(c))
+    rows = [(i, t, None) for i, t in enumerate(["½ ① ²", "Ⅳ ★ \u0301", "हिन्दी में", "ภาษาไทย", "ª", "_9"])] + [(10 + i, t, l) for i in range(3) for t, l in (("the cat and dog", "en"), ("नमस्ते दुनिया में", "hi"))]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r.doc_id: r.lang_pred for r in langid.identify(df, langid.train_dictionaries(df)).collect()}
+    assert [got[i] == "und" for i in range(6)] == [True, True, False, False, False, True] and got[2] == "hi"
+    assert "हिन्दी में".encode() == langid.letters("हिन्दी, में!")
+
+
+def test_ties_and_whole_training_texts(spark):
+    rows = [(i, "same words here", "bb") for i in range(3)] + [(10 + i, "same words here", "aa") for i in range(3)] + [(20, "x" * 70_000, "zz")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    dicts = langid.train_dictionaries(df)
+    assert list(dicts) == ["aa", "bb"] and dicts["aa"] == dicts["bb"]
+    assert {(r.lang_pred, r.rejected) for r in langid.identify(df, dicts).collect()} == {("aa", True)}
+    long = spark.createDataFrame([(1, "word " * 9000 + "ending", "en")], "doc_id long, text string, lang string")
+    assert langid.train_dictionaries(long)["en"].endswith(b"ending")

@@ -51,3 +51,18 @@ def test_mix_edges_and_sql(spark):
 
 def test_empty(spark):
     assert mixing.mix(spark.createDataFrame([], "doc_id long, text string, source string")).count() == 0
+
+
+def test_buckets_are_even_whatever_the_weights(spark):
+    digits = spark.range(20_000).selectExpr("id AS doc_id", "repeat('12 ', 3) AS text", "'a' AS source")
+    prose = spark.range(20_000).selectExpr("id AS doc_id", "repeat('ab ', 3) AS text", "'a' AS source")
+    for df in (digits, prose):
+        most = mixing.sized(df).groupBy("bucket").count().agg({"count": "max"}).first()[0]
+        assert most < 20
+
+
+def test_rows_of_one_id_have_an_order(spark):
+    rows = [(i % 2 or None, " ".join(["ab"] * (1 + i % 7)) + " " * (i % 3), "s") for i in range(60)] + [(5, "ab " * 200_000, "s")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    key = lambda d: sorted((r.doc_id or -1, r.size, r.taken) for r in mixing.mix(d).collect())
+    assert key(df) == key(df.orderBy(df.text.desc()).repartition(5))

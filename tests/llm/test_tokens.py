@@ -29,3 +29,24 @@ def test_cache_is_used_and_appended(spark, tmp_path, monkeypatch):
     assert spark.read.parquet(cache).count() == 5
     assert tokens.count_tokens(spark.createDataFrame([], "doc_id long, text string"), cache).count() == 0
     assert spark.read.parquet(cache).count() == 5
+
+
+def test_rows_of_one_content_are_encoded_once():
+    import pyarrow as pa
+
+    seen = []
+    b = pa.RecordBatch.from_arrays([pa.array([b"a", b"a", b"b", b"b"]), pa.array(["x", "x", "yy", "yy"])], ["content", "text"])
+    out = list(tokens.encoded(iter([b, b.slice(2)]), lambda t: seen.append(t) or len(t)))
+    assert seen == ["x", "yy"] and [x for o in out for x in o.column(1).to_pylist()] == [1, 1, 2, 2, 2, 2]
+
+
+def test_query_keeps_its_counts(spark, sf, monkeypatch, tmp_path):
+    monkeypatch.setattr(tokens, "cache_dir", lambda _: str(tmp_path / "counts"))
+    first = tokens.op5_tokens(spark, sf).collect()
+    n = spark.read.parquet(str(tmp_path / "counts")).count()
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    assert n == len(set(texts.values()))
+    whole = tokens.PieceCounter(tokens._model_path()).whole
+    assert all(r.n_tokens == whole(texts[r.doc_id]) and r.n_bytes == len(texts[r.doc_id].encode()) and r.over_limit == (r.n_tokens > 4096) for r in first)
+    again = tokens.op5_tokens(spark, sf).collect()
+    assert sorted(again) == sorted(first) and spark.read.parquet(str(tmp_path / "counts")).count() == n  # nothing was encoded

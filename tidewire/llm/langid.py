@@ -3,61 +3,70 @@
 Each language has a raw-content zstandard dictionary made from sample texts of
 its own; a text is encoded with every dictionary and the language whose
 dictionary gives the smallest encoding wins. Texts are lower-cased and reduced to
-their letters first, and encoded in chunks, so that a long text is measured
+their letters and the marks on them first, and encoded in chunks, so that a long text is measured
 against the dictionary rather than against its own beginning. Where the runner-up comes closer
 than ``margin`` (a share of the smallest encoding) the document is rejected.
 
-The sample is bounded: per language about ``sample_docs`` documents, picked by a
-hash of their id, of which the first ``snippet`` characters go into a dictionary of at
-most ``dict_bytes``. Prediction encodes whole texts.
+The sample is bounded: per language about ``sample_docs`` documents of at most
+``doc_chars`` characters, picked by a hash of their id and used whole, until a
+dictionary holds ``dict_chars`` characters. Prediction encodes whole texts.
 
-Edge cases: a null text, or one without letters, is ``und`` with score 0 and is
-rejected; equal sizes go to the language with more sample documents, then by
+Edge cases: a null text, or one without letters (Unicode category L), is ``und``
+with score 0 and is rejected; a language all of whose labelled documents are
+longer than ``doc_chars`` is not learned; equal sizes go to the language with more sample documents, then by
 name; without any labelled row every text is ``und``; repeated rows get equal
 results; an empty table gives an empty result; other columns are ignored.
 """
 
 import math
-import re
 from collections.abc import Iterator
 
 import pyarrow as pa
+import regex
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SAMPLE_DOCS = 400
-SNIPPET = 1024
-DICT_BYTES = 400_000
+DOC_CHARS = 65_536
+DICT_CHARS = 400_000
 LEVEL = 6
 CHUNK = 2048
 MARGIN = 0.002
-OTHER = re.compile(r"[\W\d_]+")
+LETTER = regex.compile(r"\p{L}")
+OTHER = regex.compile(r"[^\p{L}\p{M}]+")
+ASCII_OTHER = regex.compile(r"[^a-z]+")
 
 
 def letters(text: str) -> bytes:
-    """Lower-cased words of letters alone, a space between them."""
-    return OTHER.sub(" ", text.lower()).strip().encode("utf-8", "replace")
+    """Lower-cased words of letters and their marks alone, a space between them; empty without any letter."""
+    low = text.lower()
+    if low.isascii():
+        return ASCII_OTHER.sub(" ", low).strip().encode()
+    return OTHER.sub(" ", low).strip().encode("utf-8", "replace") if LETTER.search(low) else b""
 
 
 def train_dictionaries(
-    labelled: DataFrame, sample_docs: int = SAMPLE_DOCS, snippet: int = SNIPPET, dict_bytes: int = DICT_BYTES
+    labelled: DataFrame, sample_docs: int = SAMPLE_DOCS, doc_chars: int = DOC_CHARS, dict_chars: int = DICT_CHARS
 ) -> dict[str, bytes]:
     """Language to dictionary content, most frequent language first, from (doc_id, text, lang) rows."""
-    known = labelled.where("lang is not null and text is not null")
+    known = labelled.where(F.col("lang").isNotNull() & (F.length("text") <= doc_chars))
     counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not counts:
         return {}
     share = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, 1.25 * sample_docs / n))])
     place = F.pmod(F.xxhash64(F.col("doc_id"), F.lit("langid")), F.lit(1 << 30)) / float(1 << 30)
     picked = known.where(place < F.element_at(share, F.col("lang"))).select(
-        "lang", place.alias("place"), F.substring("text", 1, snippet).alias("text")
+        "lang", place.alias("place"), F.col("text").cast("string").alias("text")
     ).distinct()  # copies of a row count once
     parts: dict[str, list[bytes]] = {k: [] for k in sorted(counts, key=lambda k: (-counts[k], k))}
+    size = dict.fromkeys(parts, 0)
     for r in sorted(picked.collect(), key=lambda r: (r["place"], r["text"])):
-        if len(parts[r["lang"]]) < sample_docs:
-            parts[r["lang"]].append(letters(r["text"]))
-    return {k: b" ".join(v)[-dict_bytes:] for k, v in parts.items() if v}
+        lang, text = r["lang"], r["text"]
+        if len(parts[lang]) < sample_docs and size[lang] + len(text) <= max(dict_chars, len(text)):
+            parts[lang].append(letters(text))
+            size[lang] += len(text)
+    return {k: b" ".join(v) for k, v in parts.items() if v}
 
 
 class Coders:

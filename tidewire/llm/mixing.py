@@ -9,13 +9,18 @@ with the documents of the smallest exponential keys ``-ln(u) / w``, where ``u``
 is a hash of the id (reruns agree) and ``w`` a quality weight, the share of
 letters in the text. The prefix sum along the keys is built in two levels: sums
 of key buckets per source, and running sums inside a bucket. A source that holds
-a third of all rows is thus spread over thousands of buckets. The document at the
-cut is taken if that brings the source nearer to its target.
+a third of all rows is thus spread over thousands of buckets. Buckets are steps of
+the logarithm of the key: a weight only shifts it, so whatever the weights, no
+bucket is expected to hold more than 1 / (e * ``buckets``) of a source's rows. The document
+at the cut is taken if that brings the source nearer to its target.
 
 Edge cases: null text has size 0 and weight of the least quality; a null source
 is a source of its own and sorts last; sources of size 0 get target 0; ties of
-keys follow the id; a repeated row is drawn on its own; an empty table gives an
-empty result; other columns are ignored.
+keys follow the id, then the size, then a hash of the text, so rows of one id (or
+none) come in a fixed order, and rows that are alike in all of these are exchangeable;
+a repeated row is drawn on its own; very long texts are one row like any other;
+an empty table gives an empty result; other columns are ignored. Sources are
+ranked in one task, a row each.
 """
 
 from pyspark.sql import DataFrame, Window
@@ -32,14 +37,15 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def sized(docs: DataFrame, buckets: int = BUCKETS) -> DataFrame:
-    """(doc_id, source, size, key, bucket) of every document."""
+    """(doc_id, source, size, tie, key, bucket) of every document."""
     text = F.coalesce(F.col("text"), F.lit(""))
     letters = F.length(F.regexp_replace(text, r"[^\p{L}]+", ""))
     weight = F.greatest(F.lit(0.05), letters / F.greatest(F.length(text), F.lit(1)))
     digest = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
     u = (F.conv(F.substring(digest, 1, 12), 16, 10).cast("long") + F.lit(0.5)) / F.lit(float(1 << 48))
-    out = docs.select("doc_id", "source", F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"), (-F.log(u) / weight).alias("key"))
-    return out.withColumn("bucket", F.floor((1 - F.exp(-F.col("key"))) * buckets))
+    size = F.regexp_count(text, F.lit(WORD)).cast("long")
+    out = docs.select("doc_id", "source", size.alias("size"), F.xxhash64(text).alias("tie"), (-F.log(u) / weight).alias("key"))
+    return out.withColumn("bucket", F.floor(F.log("key") * buckets))
 
 
 def _tag(source):
@@ -74,7 +80,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: float = CAP
     goal = targets(part.groupBy("tag").agg(F.sum("bucket_size").alias("source_size")), weights, share, cap)
     ahead = F.sum("bucket_size").over(Window.partitionBy("tag").orderBy("bucket")) - F.col("bucket_size")
     part = cut(part.select("tag", "bucket", ahead.alias("ahead")).join(goal, "tag"), "mix-goals")
-    within = Window.partitionBy("tag", "bucket").orderBy("key", "doc_id").rowsBetween(Window.unboundedPreceding, 0)
+    within = Window.partitionBy("tag", "bucket").orderBy("key", "doc_id", "size", "tie").rowsBetween(Window.unboundedPreceding, 0)
     d = d.withColumn("run", F.sum("size").over(within)).join(part, ["tag", "bucket"])
     chosen = (F.col("ahead") + F.col("run") - F.col("size") / 2.0 < F.col("rest")) & (F.col("size") > 0)
     copies = F.col("epochs") + F.when(chosen, 1).otherwise(0)

@@ -7,9 +7,15 @@ cache and joins them back. Copies are thus encoded once, and a later run over a
 grown corpus encodes only what is new.
 
 The normalised content is the text with null read as empty: nothing more may be
-changed, as white space and case alter the count. Only (digest, row key) is
+changed, as white space and case alter the count. Only (digest, id) is
 aggregated, so the copies of one text never meet in a task; texts travel once,
-and only those that represent a missing digest.
+and only those that represent a missing digest are encoded, rows that repeat each
+other once.
+
+The cache is a table of Parquet files that runs append to. Two runs at a time may
+both append a digest; it is read as one count. The registered query keeps its
+cache in the shared folder, so that a second run over the same texts encodes
+nothing.
 
 ``PieceCounter`` encodes a text in pieces. This model never merges a space into
 the end of a piece, adds one space in front of a text and does no further
@@ -31,10 +37,10 @@ import sentencepiece
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewire.plans.materialize import cut
+from tidewire.plans.materialize import cut, shared_dir
 
 LIMIT = 4096
-CACHE_SCHEMA = "content string, tokenizer string, n_tokens long"
+CACHE_SCHEMA = "content binary, tokenizer string, n_tokens long"
 
 
 def _model_path() -> str:
@@ -103,17 +109,25 @@ def tokenizer_digest(path: str) -> str:
         return hashlib.sha256(f.read() + sentencepiece.__version__.encode() + b"|plain").hexdigest()
 
 
+def encoded(batches: Iterator[pa.RecordBatch], count: Callable[[str], int]) -> Iterator[pa.RecordBatch]:
+    """(content, text) batches to (content, n_tokens); neighbouring rows of one content are counted once."""
+    last, n = None, 0
+    for b in batches:
+        out = []
+        for content, text in zip(b.column(0), b.column(1), strict=True):
+            if (content := content.as_py()) != last:
+                last, n = content, count(text.as_py())
+            out.append(n)
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.int64())], ["content", "n_tokens"])
+
+
 def encode_counts(texts: DataFrame, path: Callable[[], str]) -> DataFrame:
     """(content, text) rows to (content, n_tokens)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = None
-        for b in batches:
-            counter = counter or PieceCounter(path())
-            n = [counter.count(t.as_py()) for t in b.column(1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64())], ["content", "n_tokens"])
+        yield from encoded(batches, PieceCounter(path()).count)
 
-    return texts.select("content", "text").mapInArrow(run, "content string, n_tokens long")
+    return texts.select("content", "text").mapInArrow(run, "content binary, n_tokens long")
 
 
 def read_cache(spark: SparkSession, cache: str | None) -> DataFrame | None:
@@ -131,7 +145,7 @@ def count_tokens(docs: DataFrame, cache: str | None = None, path: Callable[[], s
     spark = docs.sparkSession
     version = tokenizer_digest(path())
     rows = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    rows = rows.withColumn("content", F.sha2(F.encode("text", "utf-8"), 256))
+    rows = rows.withColumn("content", F.unhex(F.sha2(F.encode("text", "utf-8"), 256)))
     keys = cut(rows.select("doc_id", "content", F.octet_length("text").cast("long").alias("n_bytes")), "tok-keys")
     stored = read_cache(spark, cache)
     wanted = keys
@@ -139,7 +153,7 @@ def count_tokens(docs: DataFrame, cache: str | None = None, path: Callable[[], s
         stored = stored.where(F.col("tokenizer") == version).groupBy("content").agg(F.max("n_tokens").alias("n_tokens"))
         wanted = keys.join(stored, "content", "left_anti")
     pick = wanted.groupBy("content").agg(F.min(F.coalesce("doc_id", F.lit(0))).alias("pick"))
-    misses = rows.withColumn("pick", F.coalesce("doc_id", F.lit(0))).join(pick.hint("shuffle_hash"), ["content", "pick"], "left_semi")
+    misses = rows.withColumn("pick", F.coalesce("doc_id", F.lit(0))).join(pick, ["content", "pick"], "left_semi")
     new = encode_counts(misses, path).groupBy("content").agg(F.max("n_tokens").alias("n_tokens"))
     fresh = new.select("content", F.lit(version).alias("tokenizer"), "n_tokens")
     fresh = cut(fresh, "tok-new")
@@ -151,6 +165,11 @@ def count_tokens(docs: DataFrame, cache: str | None = None, path: Callable[[], s
     return keys.join(counts, "content", "left").select("doc_id", "n_bytes", "n_tokens")
 
 
+def cache_dir(spark: SparkSession) -> str:
+    """Where the registered query keeps its counts."""
+    return f"{shared_dir(spark)}/tidewire/token-counts"
+
+
 def op5_tokens(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return count_tokens(docs).withColumn("over_limit", F.col("n_tokens") > LIMIT)
+    return count_tokens(docs, cache_dir(spark)).withColumn("over_limit", F.col("n_tokens") > LIMIT)
