@@ -1,5 +1,7 @@
 from pathlib import Path
 
+import pytest
+
 from tidewire.plans import materialize
 
 
@@ -11,3 +13,30 @@ def test_tables_are_stored_and_cleared(spark):
     assert materialize.cut(spark.range(0)).count() == 0
     materialize.clear(spark)
     assert not Path(materialize.own_dir(spark)).exists()
+
+
+def test_only_the_result_of_a_step_stays(spark):
+    made = []
+
+    def build():
+        made.append(materialize.Stored(spark.range(3), "inner"))
+        return made[0].df.where("id > 0")
+
+    assert materialize.settled(build, "step").count() == 2
+    assert not Path(made[0].path).exists()
+
+
+def test_a_cluster_must_name_its_folder():
+    class Conf:
+        def get(self, *_):
+            return None
+
+    class Session:
+        conf = Conf()
+
+        class sparkContext:  # noqa: N801
+            master = "spark://host:7077"
+            getConf = staticmethod(Conf)
+
+    with pytest.raises(RuntimeError):
+        materialize.shared_dir(Session())

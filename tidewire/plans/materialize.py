@@ -6,19 +6,28 @@ again. Such files outlive any executor, carry exact sizes for the planner and
 keep the lineage of a loop short.
 """
 
+import re
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 _OWN: dict[str, str] = {}
+_SCOPES: list[list["Stored"]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; a temporary one only where that is unset."""
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    """The folder named by ``spark.checkpoint.dir``.
+
+    Only a session that runs in one process may leave that unset and gets a
+    temporary folder; on a cluster a driver's folder is no place for tables.
+    """
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
+    if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
     app = spark.sparkContext.applicationId
     if app not in _OWN:
         _OWN[app] = tempfile.mkdtemp(prefix="tidewire-")
@@ -47,6 +56,8 @@ class Stored:
         self.spark = df.sparkSession
         self.path = f"{own_dir(self.spark)}/{name}-{uuid.uuid4().hex}"
         df.write.parquet(self.path)
+        if _SCOPES:
+            _SCOPES[-1].append(self)
         self.df = self.spark.read.schema(df.schema).parquet(self.path)
 
     def drop(self) -> None:
@@ -56,3 +67,18 @@ class Stored:
 def cut(df: DataFrame, name: str = "t") -> DataFrame:
     """Write ``df`` to the shared folder and return a reader of it."""
     return Stored(df, name).df
+
+
+def settled(build: Callable[[], DataFrame], name: str = "t") -> DataFrame:
+    """Store what ``build`` returns, delete all other tables that it stored on the way, and return a reader."""
+    _SCOPES.append([])
+    try:
+        result = Stored(build(), name)
+    finally:
+        own = _SCOPES.pop()
+    for table in own:
+        if table is not result:
+            table.drop()
+    if _SCOPES:
+        _SCOPES[-1].append(result)
+    return result.df

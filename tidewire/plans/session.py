@@ -1,5 +1,7 @@
 """Session factory for tests and the benchmark; a cluster brings its own session."""
 
+import tempfile
+
 from pyspark.sql import SparkSession
 
 
@@ -15,6 +17,7 @@ def local_session(cpus: int | str = 8, partitions: int = 8, memory: str = "8g",
         "spark.ui.enabled": "false",
         "spark.ui.showConsoleProgress": "false",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        "spark.checkpoint.dir": tempfile.mkdtemp(prefix="tidewire-"),
     } | {k.replace("__", "."): v for k, v in extra.items()}
     spark = SparkSession.builder.appName("tidewire").config(map=conf).getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
