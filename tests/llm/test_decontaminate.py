@@ -58,3 +58,34 @@ def test_empty_tables(spark):
     assert d.report(docs.limit(0), none).count() == 0
     clash = docs.selectExpr("doc_id", "text", "'h' AS _hit", "array(1) AS _items", "2 AS _0", "3 AS _1")
     assert d.decontaminated(clash, none).collect() == clash.collect()
+
+
+def test_shared_preamble_nameless_items_and_very_long_texts(spark):
+    import time
+
+    preamble = "please answer the question below in one short sentence and explain why"
+    items = [(i, f"{preamble} item number {i}") for i in range(20_000)]
+    begin = time.perf_counter()
+    index = d.Index(items)
+    built = time.perf_counter() - begin
+    words = d.words_of(f"{preamble} " * 25)
+    begin = time.perf_counter()
+    hit, (n, names) = index.find(words)
+    assert hit.all() and n == 20_000 and names.count("\0") == 19_999
+    for _ in range(20):
+        index.find(words)
+    assert time.perf_counter() - begin < 1 and built < 20
+    rows = [(1, "x " * 400_000 + preamble + " y" * 400_000), (2, f"say {preamble}"), (3, "clean words")]
+    bench = spark.createDataFrame([(None, preamble), (None, "two words"), (7, preamble), (8, None)], "item_id long, text string")
+    got = {r.doc_id: r for r in d.report(spark.createDataFrame(rows, "doc_id long, text string"), bench).collect()}
+    assert got[1].n_words == 800_012 and got[1].n_hit == 12 and got[1].n_items == got[2].n_items == 2
+    assert got[1].items_sha256 == hashlib.sha256(b"7").hexdigest() and not got[3].contaminated
+
+
+def test_blocks_list_equal_ids_once(spark):
+    text = "one two three four five six seven eight nine ten"
+    bench = spark.createDataFrame([(1, text), (2, text), (1, text), (None, text), (None, text)], "item_id long, text string")
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    for size in (1, 2, 10):
+        r = d.report(docs, bench, block_items=size).first()
+        assert r.n_items == 3 and r.items_sha256 == hashlib.sha256(b"1,2").hexdigest() and r.n_hit == 10
