@@ -41,7 +41,7 @@ def test_rows_of_one_content_are_encoded_once():
 
 
 def test_query_keeps_its_counts(spark, sf, monkeypatch, tmp_path):
-    monkeypatch.setattr(tokens, "cache_dir", lambda _: str(tmp_path / "counts"))
+    monkeypatch.setattr(tokens, "cache_dir", lambda *_: str(tmp_path / "counts"))
     first = tokens.op5_tokens(spark, sf).collect()
     n = spark.read.parquet(str(tmp_path / "counts")).count()
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}

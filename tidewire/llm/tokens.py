@@ -13,9 +13,9 @@ and only those that represent a missing digest are encoded, rows that repeat eac
 other once.
 
 The cache is a table of Parquet files that runs append to. Two runs at a time may
-both append a digest; it is read as one count. The registered query keeps its
-cache in the shared folder, so that a second run over the same texts encodes
-nothing.
+both append a digest; it is read as one count. The registered query keeps one cache for
+each corpus in the shared folder, so that a second run over it encodes nothing;
+``count_tokens`` takes any cache, also one that corpora share.
 
 ``PieceCounter`` encodes a text in pieces. This model never merges a space into
 the end of a piece, adds one space in front of a text and does no further
@@ -165,11 +165,11 @@ def count_tokens(docs: DataFrame, cache: str | None = None, path: Callable[[], s
     return keys.join(counts, "content", "left").select("doc_id", "n_bytes", "n_tokens")
 
 
-def cache_dir(spark: SparkSession) -> str:
-    """Where the registered query keeps its counts."""
-    return f"{shared_dir(spark)}/tidewire/token-counts"
+def cache_dir(spark: SparkSession, corpus: str) -> str:
+    """Where the registered query keeps the counts of a corpus."""
+    return f"{shared_dir(spark)}/tidewire/token-counts/{hashlib.sha256(corpus.encode()).hexdigest()[:16]}"
 
 
 def op5_tokens(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return count_tokens(docs, cache_dir(spark)).withColumn("over_limit", F.col("n_tokens") > LIMIT)
+    return count_tokens(docs, cache_dir(spark, sf_dir)).withColumn("over_limit", F.col("n_tokens") > LIMIT)
