@@ -160,3 +160,26 @@ def test_a_title_that_most_rows_share(spark):
     rows = [raw(f"c{i}", "The very same headline about things", host=f"h{i}.org", weight=1 + i % 7) for i in range(300)]
     rows += [raw("x", "The very same headline about thing", host="x.org", weight=9), raw("y", "Something else entirely", host="y.org")]
     assert urls_of(dedupe.fuzzy_winners(candidates(spark, rows))) == ["x", "y"]
+
+
+def test_places_of_large_groups(spark):
+    from tidewire.operators import ranking
+
+    d = spark.range(3000).selectExpr("id", "IF(id % 3 = 0, NULL, IF(id < 2500, 'a', 'b')) AS g", "id * 7919 % 1009 AS v")
+    order = [F.col("v").desc(), F.col("id").asc()]
+    got = {r.id: r.position for r in ranking.numbered(d, order, ("g",)).collect()}
+    groups = {}
+    for r in sorted(d.collect(), key=lambda r: (-r.v, r.id)):
+        groups.setdefault(r.g, []).append(r.id)
+    assert got == {i: k for ids in groups.values() for k, i in enumerate(ids, 1)}
+    pages = ranking.paginated(d.where("g = 'b'"), order, 20, ("g",))
+    counts = ranking.page_counts(pages, spark.createDataFrame([("a",), ("b",)], "g string"), "g").collect()
+    assert {r.g: r.pages for r in counts} == {"a": 1, "b": -(-pages.count() // 20)}
+    assert ranking.numbered(d.limit(0), order, ("g",)).count() == 0
+
+
+def test_difference_takes_nulls_as_equal(spark):
+    from tidewire.operators import dedupe
+
+    a, b = (spark.createDataFrame(x, "k int, v string") for x in ([(1, None), (1, None), (2, "x"), (None, None)], [(1, None), (None, None), (3, "x")]))
+    assert [tuple(r) for r in dedupe.difference(a, b).collect()] == [(2, "x")]

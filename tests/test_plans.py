@@ -208,3 +208,22 @@ def test_stream_equals_batch(spark, tmp_path):
     out = str(tmp_path / "funnel")
     read().withColumn("source_id", F.lit("s")).writeStream.foreachBatch(streaming.funnel_to(out)).option("checkpointLocation", str(tmp_path / "fc")).trigger(availableNow=True).start().awaitTermination()
     assert spark.read.parquet(out).agg(F.sum("new_count")).first()[0] == 40
+
+
+def test_numbers_neighbors_and_small_sinks(spark, tmp_path):
+    from tidewire.plans import readmodels, sinks
+    from tidewire.streaming.dedupe import funnel_to
+
+    got = spark.createDataFrame([(1,), (9,), (10,), (100,)], "position int").select(readmodels.two_digits(F.col("position"))).collect()
+    assert [r[0] for r in got] == ["01", "09", "10", "100"]
+    reports = spark.sql("SELECT date'2024-01-01' AS date UNION ALL SELECT date'2024-01-03'")
+    assert readmodels.neighbors_of(reports, "2024-01-03")[0].isoformat() == "2024-01-01"
+    with pytest.raises(ValueError):
+        readmodels.neighbors_of(reports, "2024-01-02")
+    assert "https://x.org/sitemap.xml" in sinks.robots("https://x.org/")
+    info = sinks.build_info(reports, F.lit("2024-02-01 00:00:00").cast("timestamp"), "abc").first()
+    assert info.reports == 2 and info.latest.isoformat() == "2024-01-03" and info.revision == "abc"
+    batch = spark.createDataFrame([("a", "2024-01-01")] * 3, "source_id string, published_at string")
+    write = funnel_to(str(tmp_path / "counts"))
+    write(batch, 4), write(batch, 4), write(batch, 5)
+    assert sorted((r.batch, r.new_count) for r in spark.read.parquet(str(tmp_path / "counts")).collect()) == [(4, 3), (5, 3)]

@@ -47,6 +47,12 @@ def first_wins(rows: DataFrame, key: str, order: list[Column]) -> DataFrame:
     return rows.withColumn("_place", F.row_number().over(w)).where("_place = 1").drop("_place")
 
 
+def difference(rows: DataFrame, other: DataFrame) -> DataFrame:
+    """Distinct rows that ``other`` does not hold; both have the same columns, and nulls are equal to each other."""
+    both = [rows[c].eqNullSafe(other[c]) for c in rows.columns]
+    return rows.distinct().join(other, both, "left_anti")
+
+
 def components(rows: DataFrame, node: str, keys: list[Column]) -> DataFrame:
     """(node, component) of rows that share any of the keys, directly or through others; null keys join nothing."""
     each = F.array(*[F.when(k.isNotNull(), F.concat(F.lit(f"{i}|"), k)) for i, k in enumerate(keys)])

@@ -4,6 +4,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewire.functions import rules, text, times
+from tidewire.plans.materialize import cut
 from tidewire.schema import RESEARCH
 
 ROLE_BONUS = {"primary": 14, "trusted_media": 8, "discovery": 0}
@@ -33,15 +34,20 @@ def candidate_score(now: Column, folded: Column | None = None) -> Column:
     ).cast("int")
 
 
+def channel_counts(candidates: DataFrame) -> DataFrame:
+    """(channel, in_channel): candidates of every channel, research left out."""
+    d = candidates.select(channel_key(F.col("category_hint")).alias("channel"))
+    return d.where("channel is not null").groupBy("channel").agg(F.count("*").alias("in_channel"))
+
+
 def scored(candidates: DataFrame, now: Column, folded: Column | None = None) -> DataFrame:
     """Adds score, scarcity (rarer channels in this list get more) and total.
 
-    Channels are a handful of values, so their counts are aggregated before they
-    are joined back; no row list of a channel is ever gathered.
+    Counts are aggregated before they are joined back, and the planner chooses how
+    by their size; no row list of a channel is ever gathered.
     """
     d = candidates.withColumn("score", candidate_score(now, folded)).withColumn("channel", channel_key(F.col("category_hint")))
-    counts = d.where("channel is not null").groupBy("channel").agg(F.count("*").alias("in_channel"))
-    d = d.join(F.broadcast(counts), "channel", "left")  # at most one row per category of the enumeration
+    d = d.join(channel_counts(candidates), "channel", "left")
     scarcity = F.when(F.col("channel").isNull(), 0).otherwise(F.greatest(F.lit(0), SCARCITY - F.least("in_channel", F.lit(SCARCITY))))
     d = d.withColumn("scarcity", scarcity.cast("int"))
     return d.withColumn("total", F.col("score") + F.col("scarcity")).drop("in_channel", "channel")
@@ -81,11 +87,14 @@ def balanced(
 
 
 def diverse(candidates: DataFrame, now: Column, limit: int, source_floor: int, folded: Column | None = None) -> DataFrame:
-    """Each source's best rows first, then the best of the rest, in rank order."""
+    """Each source's best rows first, then the best of the rest, in rank order.
+
+    No source can place more than ``limit`` rows, so a rank filter cuts every
+    source down to that in each task before the shuffle.
+    """
     if limit < 0 or source_floor <= 0:
         raise ValueError("limits must be positive")
-    d = scored(candidates, now, folded)
-    d = d.withColumn("in_source", F.row_number().over(Window.partitionBy("source_id").orderBy(*rank_order())))
+    d = _per_source(scored(candidates, now, folded), max(limit, 1))
     d = d.orderBy((F.col("in_source") > source_floor).asc(), *rank_order()).limit(limit)
     return d.withColumn("rank", F.row_number().over(Window.orderBy(*rank_order())))
 
@@ -94,13 +103,35 @@ def publish_order() -> list[Column]:
     return [F.col("importance").desc(), F.col("published_at").desc(), F.col("id").asc()]
 
 
+def numbered(df: DataFrame, order: list[Column], by: tuple[str, ...] = (), name: str = "position") -> DataFrame:
+    """Adds the place (from 1) of every row in a total order, within groups.
+
+    Rows are dealt out by ranges of group and order, so a group of any size is
+    sorted by many tasks; a row's place is its place in its range plus the rows of
+    its group in the ranges before.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = df.repartitionByRange(n, *[F.col(c) for c in by], *order).withColumn("_range", F.spark_partition_id())
+    dealt = cut(dealt, "rk-ranges")  # stored, as sampled ranges may differ from run to run
+    own = ["_range", *by]
+    sizes = dealt.groupBy(*own).agg(F.count("*").alias("_n"))
+    before = sizes.select(*own, (F.sum("_n").over(Window.partitionBy(*by).orderBy("_range")) - F.col("_n")).alias("_before")).toDF(*[f"_k{i}" for i in range(len(own))], "_before")
+    inside = dealt.withColumn("_place", F.row_number().over(Window.partitionBy(*own).orderBy(*order)))
+    d = inside.join(before, [inside[c].eqNullSafe(before[f"_k{i}"]) for i, c in enumerate(own)])
+    return d.select(*df.columns, (F.col("_before") + F.col("_place")).alias(name))
+
+
 def paginated(df: DataFrame, order: list[Column], page_size: int = 20, by: tuple[str, ...] = ()) -> DataFrame:
     """Adds position (from 1) and page in the given order."""
     if page_size < 1:
         raise ValueError("page_size must be at least one")
-    w = Window.partitionBy(*by).orderBy(*order)
-    d = df.withColumn("position", F.row_number().over(w))
-    return d.withColumn("page", (F.floor((F.col("position") - 1) / page_size) + 1).cast("int"))
+    return numbered(df, order, by).withColumn("page", (F.floor((F.col("position") - 1) / page_size) + 1).cast("int"))
+
+
+def page_counts(pages: DataFrame, groups: DataFrame, by: str) -> DataFrame:
+    """(by, pages) of every group: as many pages as its rows fill, and one empty page where it has none."""
+    last = pages.groupBy(by).agg(F.max("page").alias("_last"))
+    return groups.select(by).distinct().join(last, by, "left").select(by, F.coalesce("_last", F.lit(1)).alias("pages"))
 
 
 def source_quota_violations(items: DataFrame, most: int = 2) -> DataFrame:

@@ -172,11 +172,16 @@ def unknown_ids(analyses: DataFrame, selected: DataFrame) -> DataFrame:
     return extra.unionByName(twice)
 
 
+def not_risky(role: Column, risk: Column) -> Column:
+    """Whether an item may be published: risky marketing passes from primary sources only."""
+    return (role == "primary") | (risk != "high")
+
+
 def build_items(selected: DataFrame, analyses: DataFrame) -> DataFrame:
     """Published items: candidates with their analysis, but for risky marketing of others than primary sources."""
     a = valid_analyses(analyses)
     a = a.select("id", *[F.col(k).alias(f"a_{k}") for k in FIELDS if k not in ("id", "is_official")])
-    d = selected.join(a, "id").where((F.col("source_role") == "primary") | (F.col("a_marketing_risk") != "high"))
+    d = selected.join(a, "id").where(not_risky(F.col("source_role"), F.col("a_marketing_risk")))
     return d.select(
         "id", "canonical_url", F.col("title").alias("original_title"), F.col("source_name").alias("source"), "source_id", "source_role", "discovery_verified",
         "published_at", *[F.col(f"a_{k}").alias(k) for k in ("title", "category", "editorial_lane", "summary", "importance", "why_it_matters", "tags")],

@@ -37,6 +37,12 @@ def resolve(target: Column, path: Column, base: str) -> Column:
     return F.when(local, F.when((file == "") | file.endswith("/"), F.concat(file, F.lit("index.html"))).otherwise(file))
 
 
+def repeated_ids(pages: DataFrame) -> DataFrame:
+    """(path, code, message) of element ids that stand in a page more than once."""
+    twice = anchors(pages).groupBy("path", "id").count().where("count > 1")
+    return twice.select("path", F.lit("duplicate_id").alias("code"), F.col("id").alias("message"))
+
+
 def issues(pages: DataFrame, files: DataFrame, required: DataFrame, base: str = "/") -> DataFrame:
     """(path, code, message): missing targets, missing fragments, repeated ids, missing required files."""
     refs = references(pages).withColumn("file", resolve(F.col("target"), F.col("path"), base))
@@ -48,7 +54,7 @@ def issues(pages: DataFrame, files: DataFrame, required: DataFrame, base: str =
     named = local.where("fragment is not null and fragment <> ''").join(pages.select(F.col("path").alias("file")).distinct(), "file", "left_semi")
     known = ids.select(F.col("path").alias("file"), F.col("id").alias("fragment")).distinct()
     broken = named.join(known, ["file", "fragment"], "left_anti").select("path", F.lit("missing_fragment").alias("code"), F.col("ref").alias("message"))
-    twice = ids.groupBy("path", "id").count().where("count > 1").select("path", F.lit("duplicate_id").alias("code"), F.col("id").alias("message"))
+    twice = repeated_ids(pages)
     absent = required.select("path").join(files.select("path"), "path", "left_anti").select("path", F.lit("missing_file").alias("code"), F.col("path").alias("message"))
     out = lost.unionByName(broken).unionByName(twice).unionByName(absent).unionByName(outside)
     return out.distinct()

@@ -58,6 +58,14 @@ def edition_neighbors(reports: DataFrame) -> DataFrame:
     return reports.select("date").distinct().select("date", F.lag("date").over(w).alias("older"), F.lead("date").over(w).alias("newer"))
 
 
+def neighbors_of(reports: DataFrame, date: str) -> tuple:
+    """(older, newer) of one edition; a date without a report is an error."""
+    found = edition_neighbors(reports).where(F.col("date") == F.lit(date).cast("date")).first()
+    if found is None:
+        raise ValueError(f"no edition of {date}")
+    return found["older"], found["newer"]
+
+
 def archive(reports: DataFrame, records: DataFrame) -> DataFrame:
     """(date, status, has_report, latest_run_status) of every day from the first to the last that is known."""
     r = reports.select("date", F.lit(True).alias("_report"))
@@ -110,10 +118,11 @@ def fallback_specs(runs: DataFrame) -> DataFrame:
 
 
 def header_counts(reports: DataFrame) -> DataFrame:
-    """Sources, successful sources and items of every report, and whether a source failed."""
+    """Sources, successful sources, fresh ones (with recent items) and items of every report, and whether a source failed."""
     ok = F.size(F.filter("source_runs", lambda r: r["success"]))
+    fresh = F.size(F.filter("source_runs", lambda r: F.coalesce(r["recent_count"], F.lit(0)) > 0))
     n = F.size("source_runs")
-    return reports.select("date", n.alias("sources"), ok.alias("ok_sources"), F.size("items").alias("items"), (ok < n).alias("degraded"))
+    return reports.select("date", n.alias("sources"), ok.alias("ok_sources"), fresh.alias("fresh"), F.size("items").alias("items"), (ok < n).alias("degraded"))
 
 
 def home(items: DataFrame) -> DataFrame:
@@ -124,10 +133,15 @@ def home(items: DataFrame) -> DataFrame:
     return d.withColumn("slot", F.when(F.col("position") == 1, "lead").when(F.col("position") <= 4, "brief").otherwise("rest"))
 
 
+def two_digits(position: Column) -> Column:
+    """A position with a leading zero below ten."""
+    return F.concat(F.when(position < 10, "0").otherwise(""), position.cast("string"))
+
+
 def day_pages(items: DataFrame) -> DataFrame:
     """Items of every report in publish order, with a two-digit number."""
-    d = items.withColumn("position", F.row_number().over(Window.partitionBy("report_date").orderBy(*ranking.publish_order())))
-    return d.withColumn("number", F.lpad(F.col("position").cast("string"), 2, "0"))
+    d = ranking.numbered(items, ranking.publish_order(), ("report_date",))
+    return d.withColumn("number", two_digits(F.col("position")))
 
 
 def channel_timelines(items: DataFrame, page_size: int = PAGE_SIZE) -> DataFrame:
@@ -135,7 +149,7 @@ def channel_timelines(items: DataFrame, page_size: int = PAGE_SIZE) -> DataFrame
     d = items.withColumn("channel", channel(F.col("category"), F.col("editorial_lane"))).where("channel is not null")
     order = [F.col("published_at").desc(), F.col("id").asc(), F.col("report_date").desc()]
     d = ranking.paginated(d, order, page_size, ("channel",))
-    return d.withColumn("number", F.lpad(F.col("position").cast("string"), 2, "0"))
+    return d.withColumn("number", two_digits(F.col("position")))
 
 
 def _window(items: DataFrame, days: int) -> DataFrame:
@@ -182,7 +196,12 @@ def search(
         d = d.where(F.col("report_date") >= start)
     if end:
         d = d.where(F.col("report_date") <= end)
-    return d.orderBy(F.to_timestamp("published_at").desc(), F.col("id").asc())
+    return d.orderBy(*result_order())
+
+
+def result_order() -> list[Column]:
+    """Newest first."""
+    return [F.to_timestamp("published_at").desc(), F.col("id").asc()]
 
 
 def _norm(value: object) -> str:

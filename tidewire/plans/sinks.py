@@ -64,7 +64,7 @@ def rss_elements(entries: DataFrame) -> DataFrame:
     about = F.concat(
         F.lit("<p>"), _xml(F.col("summary")), F.lit("</p><p>"), _xml(F.col("why_it_matters")), F.lit('</p><p><a href="'), _xml(F.col("canonical_url")), F.lit('">原始来源</a></p>')
     )
-    stamp = F.date_format("published_at", "dd MMM yyyy HH:mm:ss xx")
+    stamp = F.date_format("published_at", "EEE, dd MMM yyyy HH:mm:ss xx")
     body = F.concat(
         F.lit("<item><title>"), _xml(F.col("title")), F.lit("</title><link>"), _xml(F.col("link")), F.lit('</link><guid isPermaLink="true">'), _xml(F.col("link")),
         F.lit("</guid><pubDate>"), stamp, F.lit("</pubDate><description>"), _xml(about), F.lit("</description></item>"),
@@ -79,3 +79,15 @@ def sitemap_urls(reports: DataFrame, pages: DataFrame, root: str) -> DataFrame:
     first = F.when(F.col("page") > 1, F.concat(F.lit("page/"), F.col("page").cast("string"), F.lit("/"))).otherwise("")
     channels = pages.select("channel", "page").distinct().select(F.concat(F.lit(root + "channels/"), F.col("channel"), F.lit("/"), first).alias("url"))
     return fixed.unionByName(days).unionByName(channels)
+
+
+def robots(root: str) -> str:
+    """The text of robots.txt: everything may be read, and where the sitemap is."""
+    return f"User-agent: *\nAllow: /\nSitemap: {root}sitemap.xml\n"
+
+
+def build_info(reports: DataFrame, built_at: Column, revision: str) -> DataFrame:
+    """One row: when and from what the site was built, the number of reports and the latest date."""
+    return reports.agg(F.count_distinct("date").alias("reports"), F.max("date").alias("latest")).select(
+        F.to_utc_timestamp(built_at, "UTC").alias("built_at"), F.lit(revision).alias("revision"), "reports", "latest"
+    )

@@ -12,6 +12,8 @@ from tidewire.schema import CATEGORIES
 
 NOW = "2024-01-31 00:00:00"
 RUN_DATE = "2024-01-31"
+#: What a scan keeps of an excerpt.
+MAX_EXCERPT = 4000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -56,8 +58,8 @@ def specs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def raw_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     i, k = F.col("doc_id"), F.col("k")
     d = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.substring("source", 4, 9).cast("int").alias("k"))
-    plain = F.trim(F.regexp_replace(F.regexp_replace(F.substring("text", 1, 400), r"[^ -~\n]", ""), r"\s+", " "))
-    words = F.array_join(F.slice(F.split(plain, " "), 1, 8), " ")
+    plain = F.trim(F.regexp_replace(F.regexp_replace("text", r"[^ -~\n]", ""), r"\s+", " "))
+    words = F.array_join(F.slice(F.split(plain, " ", 9), 1, 8), " ")
     page = F.when(i % 10 == 3, i - 2).otherwise(i)
     tail = F.when(i % 4 == 0, "?utm_source=x&b=2&a=1#f").when(i % 4 == 1, F.concat(F.lit("?b=2&a="), (page % 3).cast("string"))).when(i % 4 == 2, "?Ref=z&empty=").otherwise("")
     scheme = F.when(i % 89 == 0, "http").otherwise("https")
@@ -67,7 +69,7 @@ def raw_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select(
         "doc_id", F.when(k == 7, "github-k7").otherwise(F.concat(F.lit("src"), k.cast("string"))).alias("source_id"), F.concat(F.lit("Source "), k.cast("string")).alias("source_name"),
         (1 + k % 10).cast("int").alias("source_weight"), _titles(words, i % 12).alias("title"), url.alias("url"),
-        F.timestamp_seconds(F.unix_timestamp(now()) - minutes * 60).alias("published_at"), F.substring("text", 1, 900).alias("excerpt"),
+        F.timestamp_seconds(F.unix_timestamp(now()) - minutes * 60).alias("published_at"), F.substring("text", 1, MAX_EXCERPT).alias("excerpt"),
         F.get(names, k % 6).alias("category_hint"), (k % 3 == 0).alias("is_official_source"),
         F.when(k % 3 == 0, "primary").when(k % 3 == 1, "trusted_media").otherwise("discovery").alias("source_role"), (i % 2 == 0).alias("discovery_verified"),
     )
@@ -109,6 +111,13 @@ def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(date, items, source_runs): one report per day of the events, with as many items as its sources brought."""
+    run = F.struct("source_id", "success", "recent_count")
+    d = runs(spark, sf_dir).groupBy("date").agg(F.collect_list(run).alias("source_runs"), F.sum(F.coalesce("item_count", F.lit(0))).alias("n"))
+    return d.select("date", F.when(F.col("n") > 0, F.sequence(F.lit(1), F.col("n"))).otherwise(F.array().cast("array<bigint>")).alias("items"), "source_runs")
+
+
 def run_days(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(date, status) of the days with events, but for a few."""
     d = table(spark, sf_dir, "events").select(F.to_date("ts").alias("date")).distinct().where("dayofmonth(date) % 7 <> 2")
@@ -144,7 +153,7 @@ _CATS = "['大模型', 'Agent', 'Coding Agent', 'AI 工具', '开源项目', '
 RAW_SQL = rf"""
 t_doc AS (SELECT doc_id, coalesce(text, '') AS text, substr(source, 4)::INT AS k FROM documents),
 t_word AS (
-  SELECT *, array_to_string(string_split(trim(regexp_replace(regexp_replace(substr(text, 1, 400), '[^ -~\n]', '', 'g'), '\s+', ' ', 'g')), ' ')[1:8], ' ') AS w,
+  SELECT *, array_to_string(string_split(trim(regexp_replace(regexp_replace(text, '[^ -~\n]', '', 'g'), '\s+', ' ', 'g')), ' ')[1:8], ' ') AS w,
          CASE WHEN doc_id % 10 = 3 THEN doc_id - 2 ELSE doc_id END AS page
   FROM t_doc),
 raw AS (
@@ -156,7 +165,7 @@ raw AS (
     CASE WHEN doc_id % 89 = 0 THEN 'http' ELSE 'https' END || '://H' || (k % 17) || '.Example.com/p/' || page || '/' ||
       CASE WHEN doc_id % 10 = 3 THEN '' ELSE CASE doc_id % 4 WHEN 0 THEN '?utm_source=x&b=2&a=1#f' WHEN 1 THEN '?b=2&a=' || (page % 3) WHEN 2 THEN '?Ref=z&empty=' ELSE '' END END AS url,
     TIMESTAMP '{NOW}' - to_minutes(CASE WHEN doc_id % 97 = 0 THEN -90 ELSE (doc_id * 37) % 9000 END) AS published_at,
-    substr(text, 1, 900) AS excerpt, {_CATS}[k % 6 + 1] AS category_hint, k % 3 = 0 AS is_official_source,
+    substr(text, 1, {MAX_EXCERPT}) AS excerpt, {_CATS}[k % 6 + 1] AS category_hint, k % 3 = 0 AS is_official_source,
     CASE k % 3 WHEN 0 THEN 'primary' WHEN 1 THEN 'trusted_media' ELSE 'discovery' END AS source_role, doc_id % 2 = 0 AS discovery_verified
   FROM t_word)"""
 

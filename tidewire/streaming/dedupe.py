@@ -30,40 +30,40 @@ def first_titles(candidates: DataFrame, hours: int = 120) -> DataFrame:
     """(host, id, folded, source_weight): emits a row whenever its title is new at a host or outweighs the one kept.
 
     ``candidates`` has canonical_url, folded, id, source_weight and published_at.
-    State of a host is its titles with the best weight; a host that is quiet for
-    the window is forgotten.
+    State is the best weight of one title at one host, so a busy host is as many
+    small states; a title that is quiet for the window is forgotten.
     """
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
-        known = dict(zip(*state.get, strict=True)) if state.exists else {}
-        out: dict[str, tuple] = {}
+        best = state.get[0] if state.exists else None
+        out = []
         latest = state.getCurrentWatermarkMs()
         for pdf in batches:
             latest = max(latest, int(pdf["published_at"].max().timestamp() * 1000))
-            for row in pdf.sort_values(["source_weight", "id"], ascending=[False, True])[["id", "folded", "source_weight"]].itertuples(index=False):
-                if row.folded not in known or known[row.folded] < row.source_weight:
-                    known[row.folded] = int(row.source_weight)
-                    out[row.folded] = (key[0], row.id, row.folded, int(row.source_weight))
-        state.update((list(known), list(known.values())))
+            row = pdf.sort_values(["source_weight", "id"], ascending=[False, True]).iloc[0]
+            if best is None or best < row["source_weight"]:
+                best = int(row["source_weight"])
+                out = [(key[0], row["id"], key[1], best)]
+        state.update((best,))
         state.setTimeoutTimestamp(latest + hours * 3_600_000)
-        yield pd.DataFrame(list(out.values()), columns=["host", "id", "folded", "source_weight"])
+        yield pd.DataFrame(out, columns=["host", "id", "folded", "source_weight"])
 
     d = candidates.select(urls.host(F.col("canonical_url")).alias("host"), "id", "folded", "source_weight", "published_at")
     d = d.withWatermark("published_at", f"{hours} hours")
-    return d.groupBy("host").applyInPandasWithState(
-        step, "host string, id string, folded string, source_weight int", "titles array<string>, weights array<int>", "append", GroupStateTimeout.EventTimeTimeout
+    return d.groupBy("host", "folded").applyInPandasWithState(
+        step, "host string, id string, folded string, source_weight int", "weight int", "append", GroupStateTimeout.EventTimeTimeout
     )
 
 
 def funnel_to(table: str):
-    """A ``foreachBatch`` function that appends each batch's counts per source to a table."""
+    """A ``foreachBatch`` function that stores each batch's counts per source; a batch that is replayed replaces its own."""
 
     def write(batch: DataFrame, number: int) -> None:
         counts = batch.groupBy("source_id").agg(F.count("*").alias("new_count"), F.max("published_at").alias("latest_published_at"))
-        counts.withColumn("batch", F.lit(number)).write.mode("append").parquet(table)
+        counts.write.mode("overwrite").parquet(f"{table}/batch={number}")
 
     return write
 
