@@ -18,6 +18,7 @@ from tidewire.plans.materialize import cut
 
 THRESHOLD = 0.92
 TITLE_CHARS = 256
+SHARED = 10
 
 
 def preference() -> list[Column]:
@@ -108,8 +109,8 @@ def similar_pairs(titles: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     Titles x and y match at the threshold t only if at most ``(1 - t)(|x| + |y|)``
     characters stay unmatched, which is at most ``e = 2 |x| (1 - t) / t``. Each of
     these spoils at most three of the title's numbered trigrams, so of its
-    ``3 e + 1`` rarest trigrams one must be among those of its partner: only these
-    are joined (a prefix filter, which loses no pair). Lengths and edit
+    ``3 e + k`` rarest trigrams ``k`` must be among those of its partner: only these
+    are joined and counted (a prefix filter, which loses no pair). Lengths and edit
     distance are tested before the titles themselves.
     """
     t = cut(titles.select("node", "value", F.length("value").alias("n")), "fz-titles")
@@ -121,11 +122,15 @@ def similar_pairs(titles: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     ranked = each.join(df, "g", "left").withColumn("df", F.coalesce("df", F.lit(1)))
     ranked = ranked.withColumn("place", F.row_number().over(Window.partitionBy("node").orderBy("df", "g")))
     spoiled = 3 * F.floor(F.col("n") * F.lit(2 * (1 - threshold) / threshold) + 1e-9)
-    prefix = cut(ranked.where((F.col("place") <= spoiled + 1) & (F.col("df") > 1)).select("node", "n", "g"), "fz-prefix")
-    a = prefix.select(F.col("node").alias("a"), F.col("n").alias("na"), "g")
-    b = prefix.select(F.col("node").alias("b"), F.col("n").alias("nb"), "g")
+    must = F.least(F.lit(SHARED), F.greatest(F.lit(1), F.col("n") - 2 - spoiled))
+    ranked = ranked.withColumn("k", must.cast("int")).where((F.col("place") <= spoiled + F.col("k")) & (F.col("df") > 1))
+    prefix = cut(ranked.select("node", "n", "k", "g"), "fz-prefix")
+    a = prefix.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("k").alias("ka"), "g")
+    b = prefix.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("k").alias("kb"), "g")
     fits = 2 * F.least("na", "nb") >= F.lit(threshold) * (F.col("na") + F.col("nb")) - 1e-9
-    pairs = a.join(b, "g").where((F.col("a") < F.col("b")) & fits).select("a", "b").distinct()
+    met = a.join(b, "g").where((F.col("a") < F.col("b")) & fits)
+    pairs = met.groupBy("a", "b", "ka", "kb").agg(F.count("*").alias("both")).where(F.col("both") >= F.least("ka", "kb")).select("a", "b")
+    pairs = cut(pairs, "fz-pairs")
     left, right = (t.select(F.col("node").alias(x), F.col("value").alias(f"v{x}")) for x in "ab")
     both = pairs.join(left, "a").join(right, "b")
     # unmatched characters on both sides are at least as many as edits
