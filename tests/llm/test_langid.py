@@ -47,3 +47,29 @@ def test_ties_and_whole_training_texts(spark):
     assert {(r.lang_pred, r.rejected) for r in langid.identify(df, dicts).collect()} == {("aa", True)}
     long = spark.createDataFrame([(1, "word " * 9000 + "ending", "en")], "doc_id long, text string, lang string")
     assert langid.train_dictionaries(long)["en"].endswith(b"ending")
+
+
+def test_query_equals_encoding_each_document(spark, sf):
+    import math
+    import unicodedata
+    import zlib
+
+    import zstandard
+
+    table = spark.read.parquet(f"{sf}/documents.parquet")
+    dicts = langid.train_dictionaries(table.where(langid.fold(4) != 2))
+    coders = {k: zstandard.ZstdCompressor(level=langid.LEVEL, dict_data=zstandard.ZstdCompressionDict(v, dict_type=zstandard.DICT_TYPE_RAWCONTENT), write_content_size=False) for k, v in dicts.items()}
+    got = {r.doc_id: r for r in langid.op6_language(spark, sf).collect()}
+    for r in table.collect():
+        low = (r.text or "").lower()
+        kept = "".join(c if unicodedata.category(c)[0] in "LM" else " " for c in low)
+        raw = " ".join(kept.split()).encode()
+        own = got[r.doc_id]
+        assert own.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2)
+        if not raw:
+            assert own.lang_pred == "und"
+            continue
+        size = {k: sum(len(c.compress(raw[i : i + langid.CHUNK])) for i in range(0, len(raw), langid.CHUNK)) for k, c in coders.items()}
+        low = min(size.values())
+        assert size[own.lang_pred] <= low * 1.002
+        assert abs(own.score - 1 / sum(math.exp(max(-50, (low - x) / 4)) for x in size.values())) < 0.2

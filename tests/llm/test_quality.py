@@ -41,3 +41,30 @@ def test_edges(spark):
     assert len(y) == 2
     assert quality.score(docs, quality.Forest.fit(x, y)).where("score < 0.9").count() == 0
     assert quality.score(docs.limit(0), f).count() == 0
+
+
+def test_query_equals_walking_each_document(spark, sf):
+    import zlib
+
+    from pyspark.sql import functions as F
+
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    known = sorted((r.doc_id, r.quality) for r in labels.collect() if zlib.crc32(str(r.doc_id).encode()) % 5 and r.doc_id in docs and r.quality is not None)
+    narrow = lambda t: np.array(quality.statistics(t), "<f4").astype(float)
+    f = quality.Forest.fit(np.array([narrow(docs[i]) for i, _ in known]), np.array([float(q) for _, q in known]))
+    got = {r.doc_id: r for r in quality.op8_quality(spark, sf).collect()}
+    assert got.keys() == docs.keys()
+    for i, text in docs.items():
+        x, total = narrow(text), f.base
+        for feature, cut, value in zip(f.feature, f.cut, f.value, strict=True):
+            at = 0
+            while at < len(feature):
+                j = feature[at]
+                at = 2 * at + 1 + int((f.edges[j] <= x[j]).sum() > cut[at])
+            total += value[at - len(feature)]
+        want = 1 / (1 + np.exp(-total))
+        assert abs(got[i].score - want) < 1e-9 and got[i].predicted == int(got[i].score >= 0.3) and got[i].held_out == (zlib.crc32(str(i).encode()) % 5 == 0)
+    clash = spark.read.parquet(f"{sf}/documents.parquet").select("*", F.lit(1).alias("y"), F.lit("q").alias("x"), F.lit(0.5).alias("score"), F.lit(9).alias("quality"))
+    again = quality.score(clash, quality.Forest.fit(*quality.training_set(clash, labels.where(F.crc32(F.col("doc_id").cast("string")) % 5 != 0), "quality")))
+    assert {r.doc_id: round(r.score, 9) for r in again.collect()} == {i: round(r.score, 9) for i, r in got.items()}

@@ -71,8 +71,21 @@ def test_dense_groups_and_far_bits(spark):
             fps[x] = len(fps)
     pairs = [(i, f) for f, i in fps.items()]
     df = spark.createDataFrame([(i, f - (1 << 64) if f >> 63 else f) for i, f in pairs], "id long, fp long")
-    got = {r.node: r.component for r in simhash.link_components(df).collect()}
-    assert got == brute_components(pairs)
+    for per_key in (2, 3):
+        got = {r.node: r.component for r in simhash.link_components(df, per_key=per_key).collect()}
+        assert got == brute_components(pairs)
+
+
+def test_turned_bits_stay_within_the_budgets():
+    assert len(simhash._turns([13], 4, 5)) == 14 and len(simhash._turns([13, 13], 4, 5)) == 1 + 13 + 78 + 13 * 14
+
+
+def test_very_long_texts(spark):
+    text = " ".join(f"w{i % 5000}" for i in range(400_000))
+    rows = [(1, text), (2, text + " end"), (3, "x" * 2_000_000), (4, "x" * 2_000_000)]
+    got = {r.doc_id: r for r in simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[1].fp & (1 << 64) - 1 == simhash.fingerprint(text) == brute_fingerprint(text)
+    assert got[2].component == 1 and got[4].component == 3
 
 
 def test_empty_and_survivors(spark):
