@@ -139,3 +139,13 @@ def test_old_reports_get_a_lane(spark, tmp_path):
     lanes = {str(r.date): r.lane for r in d.select("date", F.expr("items[0].editorial_lane").alias("lane")).collect()}
     assert lanes == {"2026-07-20": "前沿研究", "2026-07-21": None, "2026-07-22": "平台与政策"}
     assert {r.code for r in schema.report_violations(d).collect()} == {"lane"}
+
+
+def test_reports_against_their_index(spark):
+    from tidewire.sources import tables
+
+    reports = spark.sql("SELECT date'2024-01-01' AS date, array(1, 2) AS items UNION ALL SELECT date'2024-01-02', array(1) UNION ALL SELECT date'2024-01-05', array()")
+    index = spark.sql("SELECT date'2024-01-01' AS date, 2 AS item_count UNION ALL SELECT date'2024-01-02', 3 UNION ALL SELECT date'2024-01-03', 1 UNION ALL SELECT date'2024-01-01', 2")
+    assert [r.date.day for r in tables.indexed_reports(reports, index).collect()] == [2, 1]
+    got = sorted((r.date.day, r.code) for r in tables.index_violations(reports, index).collect())
+    assert got == [(1, "duplicate_entry"), (2, "item_count"), (3, "missing_report")]

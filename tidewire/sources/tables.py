@@ -29,9 +29,9 @@ def _with_path(df: DataFrame) -> DataFrame:
 
 
 def read_run_records(spark: SparkSession, root: str) -> DataFrame:
-    """All run records below a folder, with whether the path agrees with the date."""
+    """All run records below a folder, latest first, with whether the path agrees with the date."""
     d = spark.read.schema(RUN_RECORDS).option("multiLine", True).option("recursiveFileLookup", True).json(root)
-    return _with_path(d)
+    return _with_path(d).orderBy(F.col("date").desc())
 
 
 def read_reports(spark: SparkSession, root: str) -> DataFrame:
@@ -43,6 +43,21 @@ def read_reports(spark: SparkSession, root: str) -> DataFrame:
     return _with_path(d)
 
 
+def indexed_reports(reports: DataFrame, index: DataFrame) -> DataFrame:
+    """The reports that an index of (date, item_count) lists, latest first."""
+    return reports.join(index.select("date"), "date", "left_semi").orderBy(F.col("date").desc())
+
+
+def index_violations(reports: DataFrame, index: DataFrame) -> DataFrame:
+    """(date, code): index entries without a report, with another number of items, or listed twice; any row fails a load."""
+    held = reports.select("date", F.size("items").alias("_held"))
+    both = index.join(held, "date", "left")
+    code = F.when(F.col("_held").isNull(), "missing_report").when(F.col("_held") != F.col("item_count"), "item_count")
+    wrong = both.select("date", code.alias("code")).where("code is not null")
+    twice = index.groupBy("date").count().where("count > 1").select("date", F.lit("duplicate_entry").alias("code"))
+    return wrong.unionByName(twice)
+
+
 def exploded_runs(records: DataFrame) -> DataFrame:
     """One row per run date and source."""
     return records.select("date", F.posexplode("source_runs").alias("pos", "r")).select("date", "pos", "r.*")
