@@ -143,3 +143,31 @@ def lead_feed_urls(communities: Column) -> Column:
     """The two feeds, new and top of the day, of a list of communities."""
     root = F.concat(F.lit("https://www.reddit.com/r/"), F.array_join(communities, "+"))
     return F.array(F.concat(root, F.lit("/new/.rss?limit=100")), F.concat(root, F.lit("/top/.rss?sort=top&t=day&limit=100")))
+
+
+def is_code_host(url: Column) -> Column:
+    """Whether an address is one of the code host itself."""
+    return F.coalesce(host(url) == "github.com", F.lit(False))
+
+
+def _site_path(path: Column) -> Column:
+    """A path without slashes around it; null if a part of it is a dot or two."""
+    clean = F.regexp_replace(path, "^/+|/+$", "")
+    return F.when(~F.arrays_overlap(F.split(clean, "/"), F.array(F.lit("."), F.lit(".."))), clean)
+
+
+def page_url(base: str, page: Column) -> Column:
+    """Address of a page below ``base``, which ends in a slash; null for paths that leave it."""
+    clean = _site_path(page)
+    return F.when(clean == "", base).otherwise(F.concat(F.lit(base), clean, F.lit("/")))
+
+
+def asset_url(base: str, asset: Column) -> Column:
+    """Address of an asset; null without a name and for paths that leave the folder."""
+    clean = _site_path(asset)
+    return F.when(clean != "", F.concat(F.lit(f"{base}assets/"), clean))
+
+
+def output_url(root: str, path: Column) -> Column:
+    """Public address of an output file: index pages are named by their folder."""
+    return F.concat(F.lit(root), F.regexp_replace(F.regexp_replace(path, "^/+|/+$", ""), r"(^|/)index\.html$", "$1"))

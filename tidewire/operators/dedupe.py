@@ -175,9 +175,9 @@ def fuzzy_winners(winners: DataFrame, folded: Column | None = None, threshold: f
 def deduplicate(candidates: DataFrame, history: DataFrame, max_items: int | None = None, folded: Column | None = None) -> DataFrame:
     """Second and third phase on rows whose address is not in ``history`` (canonical_url).
 
-    ``max_items`` restores the small pipeline's guard; without it the input may be of any size.
+    ``max_items`` restores the small pipeline's guard; without it the input may be of any size. Rows come in the order of their id.
     """
     if max_items is not None and candidates.count() > max_items:
         raise ValueError(f"at most {max_items} candidates")
     fresh = candidates.join(history.select("canonical_url").distinct(), "canonical_url", "left_anti")
-    return fuzzy_winners(event_winners(fresh, folded), folded)
+    return fuzzy_winners(event_winners(fresh, folded), folded).orderBy("id")

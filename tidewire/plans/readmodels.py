@@ -172,8 +172,13 @@ def search_index(items: DataFrame, base: str = "/", days: int = SEARCH_DAYS) ->
     )
 
 
+def search_sort() -> list[Column]:
+    """The order of a search index: newest first, then by report."""
+    return [F.col("published_at").desc(), F.col("report_date").desc(), F.col("id").asc()]
+
+
 def search_order(entries: DataFrame) -> DataFrame:
-    return entries.orderBy(F.col("published_at").desc(), F.col("report_date").desc(), F.col("id").asc())
+    return entries.orderBy(*search_sort())
 
 
 def search(

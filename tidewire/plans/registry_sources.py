@@ -4,16 +4,18 @@ Payloads are made of every document, and what the scanners must find in them is
 said in SQL from the document's number alone.
 """
 
+import json
 import uuid
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tidewire import schema
-from tidewire.functions import text, urls
-from tidewire.plans import analysis, readmodels, sinks, testbed
+from tidewire.functions import rules, text, urls
+from tidewire.operators import ranking
+from tidewire.plans import analysis, daily, readmodels, sinks, testbed
 from tidewire.plans.materialize import Stored, own_dir
-from tidewire.plans.registry import _ITEMS_SQL, _RUNS, day, fold, query, stamp
+from tidewire.plans.registry import _ITEMS_SQL, _PUB, _RUNS, day, fold, query, stamp
 from tidewire.plans.testbed import CAND_SQL, HISTORY_SQL
 from tidewire.sources import feeds, pages, tables
 from tidewire.streaming import dedupe as streams
@@ -211,6 +213,62 @@ def text_clean(spark, sf):
     return _documents(spark, sf).select("doc_id", text.clean_text_udf(F.concat(F.lit("&lt;p&gt;Q &amp;amp; A</p> \n"), plain, F.lit(" <br>"))).alias("cleaned"))
 
 
+@query(
+    f"""SELECT 'Doc ' || doc_id || CASE doc_id % 4 WHEN 0 THEN ' part & more' ELSE '' END AS title, 'https://f.example.com/' || doc_id AS url,
+  strftime({_DATE} + INTERVAL 8 HOURS, '%Y-%m-%d %H:%M:%S') AS published, CASE doc_id % 4 WHEN 3 THEN '' ELSE 'About ' || doc_id END AS excerpt FROM documents"""
+)
+def feed_markup_scan(spark, sf):
+    """Feeds with CDATA inside text, comments, entries taken from elsewhere, and self-closed elements."""
+    link = "<link>https://f.example.com/%1$d</link><pubDate>%2$s</pubDate>"
+    atom = '<link href="https://f.example.com/%1$d"/><published>%2$s</published>'
+    forms = [
+        "<item><title>Doc <![CDATA[%1$d part & more]]></title >" + link + "<description><![CDATA[About]]> %1$d</description></item >",
+        "<!-- <item><title>Old</title>" + link + "</item> --><item><!-- <title>Old</title> --><title>Doc %1$d</title>" + link + "<description>About %1$d</description></item>",
+        "<entry><source><title>Elsewhere</title><published>2020-01-01T00:00:00Z</published></source><title>Doc %1$d</title>" + atom + "<summary>About %1$d</summary></entry>",
+        "<item/><item><title>Doc %1$d</title>" + link + "<description/><media:title>Picture</media:title></item>",
+    ]
+    at = F.concat(day(_date()), F.lit("T10:00:00+02:00"))
+    made = [F.format_string(f"<feed>{x}</feed>", _i(), at) for x in forms]
+    body = F.when(_i() % 4 == 0, made[0]).when(_i() % 4 == 1, made[1]).when(_i() % 4 == 2, made[2]).otherwise(made[3])
+    d = feeds.parse_feeds(_documents(spark, sf).select(F.lit("feed").alias("source_id"), body.alias("payload")), _spec(spark, "feed", "feed", "https://f.example.com/"))
+    return d.select("title", "url", stamp("published_at").alias("published"), "excerpt")
+
+
+_TOPIC_TITLES = ["New LLM released", "Gardening", "Help with my LLM", "大模型 news", "I built an agent", "Claudette sings", "Rumor: GPT soon", "A self promo"]
+
+
+@query(
+    """SELECT doc_id, topic, rejected FROM documents JOIN (VALUES (0, TRUE, FALSE), (1, FALSE, FALSE), (2, TRUE, TRUE), (3, TRUE, FALSE), (4, TRUE, TRUE), (5, FALSE, FALSE), (6, TRUE, TRUE), (7, FALSE, TRUE)) v(k, topic, rejected) ON doc_id % 8 = k"""
+)
+def topic_titles(spark, sf):
+    """Titles that leads may have, by example."""
+    title = F.get(F.array(*[F.lit(t) for t in _TOPIC_TITLES]), (_i() % 8).cast("int"))
+    return _documents(spark, sf).select("doc_id", rules.is_topic(title).alias("topic"), rules.has(title, rules.REJECTED_TITLE).alias("rejected"))
+
+
+@query("SELECT p_partkey, p_partkey % 3 = 0 AS code FROM part")
+def code_host(spark, sf):
+    """Addresses of the code host itself, not of its neighbours."""
+    k = F.col("p_partkey")
+    url = F.when(k % 3 == 0, "https://GitHub.com/a/b").when(k % 3 == 1, "https://gist.github.com/a").otherwise("https://example.com/github.com")
+    return testbed.table(spark, sf, "part").select("p_partkey", urls.is_code_host(url).alias("code"))
+
+
+@query(
+    """SELECT p_partkey, '/base/days/' || p_partkey || '/' AS page, '/base/' AS home, CASE WHEN p_partkey % 2 = 0 THEN NULL ELSE '/base/assets/css/' || p_partkey || '.css' END AS asset,
+  CASE p_partkey % 3 WHEN 0 THEN 'https://site.example.com/' WHEN 1 THEN 'https://site.example.com/days/' || p_partkey || '/' ELSE 'https://site.example.com/feed.xml' END AS public FROM part"""
+)
+def site_addresses(spark, sf):
+    """Addresses of pages, assets and output files."""
+    k = F.col("p_partkey")
+    asset = F.format_string("%s/%d.css", F.when(k % 2 == 0, "css/..").otherwise("/css"), k)
+    output = F.when(k % 3 == 0, "index.html").when(k % 3 == 1, F.format_string("days/%d/index.html", k)).otherwise("/feed.xml")
+    return testbed.table(spark, sf, "part").select(
+        "p_partkey", urls.page_url("/base/", F.format_string("/days/%d", k)).alias("page"), urls.page_url("/base/", F.lit("/")).alias("home"),
+        urls.asset_url("/base/", asset).alias("asset"), urls.output_url("https://site.example.com/", output).alias("public"),
+    )
+
+
 # --- sinks and stored tables ------------------------------------------------
 
 
@@ -271,6 +329,75 @@ def search_index_parse(spark, sf):
     return readmodels.parse_search_index(stored).select("status", F.element_at("entry", "id").alias("id"))
 
 
+@query(f"WITH {_PUB} SELECT id, report_date::VARCHAR AS report_date, row_number() OVER (ORDER BY published_at DESC, report_date DESC, id) AS place FROM pub")
+def search_places(spark, sf):
+    """The place of every entry in the order of the search index."""
+    d = ranking.numbered(testbed.items(spark, sf).select("id", "report_date", "published_at"), readmodels.search_sort())
+    return d.select("id", day("report_date").alias("report_date"), F.col("position").alias("place"))
+
+
+def _put(spark, files: dict[str, str], root: str) -> None:
+    """Write a few small files below a folder that executors can read."""
+    for name, body in files.items():
+        where = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/{name}")
+        out = where.getFileSystem(spark._jsc.hadoopConfiguration()).create(where)
+        out.write(bytearray(body.encode()))
+        out.close()
+
+
+def _dates(spark, sf) -> list:
+    return sorted(r.date for r in testbed.table(spark, sf, "events").select(F.to_date("ts").alias("date")).distinct().collect())
+
+
+@query(f"WITH {_RUNS} SELECT DISTINCT date::VARCHAR AS date, 'published' AS status, day(date) % 7 <> 0 AS path_ok, 2::BIGINT AS sources FROM rn")
+def run_record_scan(spark, sf):
+    """Run records, one file a date; some lie at another date's path."""
+    root = f"{own_dir(spark)}/records-{uuid.uuid4().hex}"
+    run = [{"source_id": f"s{i}", "source_name": f"S {i}", "success": True, "item_count": i, "elapsed_ms": 5} for i in range(2)]
+    body = {"cutoff_at": "2024-01-01T15:59:59Z", "status": "published", "safe_error_code": "none", "source_runs": run}
+    path = lambda d: (d.replace(year=d.year + 50) if d.day % 7 == 0 else d).strftime("%Y/%m/%Y-%m-%d.json")
+    _put(spark, {path(d): json.dumps({"date": str(d), **body}) for d in _dates(spark, sf)}, root)
+    return tables.read_run_records(spark, root).select(day("date").alias("date"), "status", "path_ok", F.size("source_runs").alias("sources"))
+
+
+@query(
+    f"""WITH {_RUNS} SELECT DISTINCT date::VARCHAR AS date, day(date) % 3 AS version, day(date)::BIGINT AS items,
+  CASE day(date) % 3 WHEN 0 THEN CASE WHEN day(date) % 2 = 0 THEN '前沿研究' ELSE '产品工程' END WHEN 2 THEN '平台与政策' END AS lane FROM rn"""
+)
+def report_scan(spark, sf):
+    """Reports of three versions, as many items as the day says; only the oldest version gets a lane by category."""
+    root = f"{own_dir(spark)}/reports-{uuid.uuid4().hex}"
+
+    def body(d) -> str:
+        item = {"id": "0", "title": "t", "category": "论文研究" if d.day % 2 == 0 else "Agent", **({"editorial_lane": "平台与政策"} if d.day % 3 == 2 else {})}
+        return json.dumps({"schema_version": f"1.{d.day % 3}", "date": str(d), "items": [item] * d.day, "source_runs": []}, ensure_ascii=False)
+
+    _put(spark, {f"{d:%Y/%m/%Y-%m-%d}.json": body(d) for d in _dates(spark, sf)}, root)
+    d = tables.read_reports(spark, root)
+    return d.select(day("date").alias("date"), F.substring("schema_version", 3, 1).cast("long").alias("version"), F.size("items").alias("items"), F.expr("items[0].editorial_lane").alias("lane"))
+
+
+@query(
+    "SELECT * FROM (VALUES ('sources down', 'failed_before_publish', 'no_healthy_sources'), ('sources up', 'published', 'none')) v(case_name, status, code)"
+)
+def run_outcomes(spark, sf):
+    """Status and error code of a day's run over all raw items, with sources down and up."""
+    raw = Stored(testbed.raw_items(spark, sf), "q-raw").df
+    past = Stored(testbed.history(spark, sf), "q-history").df
+    names = "source_id string, source_name string, success boolean, item_count int, elapsed_ms int, error_type string"
+    up, down = (spark.createDataFrame([("src1", "Source 1", ok, 2 if ok else None, 5, None if ok else "TimeoutError")], names) for ok in (True, False))
+
+    def ask(prompt, error, answer):
+        fixed = {
+            "category": "Agent", "editorial_lane": "产品与应用", "summary": "A summary of what happened today.", "importance": 5, "why_it_matters": "It matters to readers.",
+            "tags": ["one"], "is_official": True, "marketing_risk": "low", "tracking_signal": "watch this",
+        }
+        return json.dumps([{"id": r["id"], "title": f"Title {k}", **fixed} for k, r in enumerate(prompt)], ensure_ascii=False)
+
+    out = [(name, daily.run_daily(raw, runs, past, testbed.RUN_DATE, testbed.now(), ask, "m", simple=True)) for name, runs in (("sources down", down), ("sources up", up))]
+    return spark.createDataFrame([(name, o.status, o.code) for name, o in out], "case_name string, status string, code string")
+
+
 # --- checks of responses ----------------------------------------------------
 
 

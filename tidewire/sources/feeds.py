@@ -19,9 +19,9 @@ MEDIA_FILE = r"(?i)\.(?:avif|gif|jpe?g|m4v|mov|mp4|png|webm|webp)$"
 
 
 def _tag(block: Column, name: str) -> Column:
-    """Content of the first element of a name, without a CDATA frame; null if there is none or it is blank."""
-    raw = F.regexp_extract(block, rf"(?s)<{name}(?:\s[^>]*)?>(.*?)</{name}>", 1)
-    raw = F.regexp_replace(raw, r"(?s)^\s*<!\[CDATA\[(.*?)\]\]>\s*$", "$1")
+    """Content of the first element of a name that is not self-closed, without CDATA frames; null if there is none or it is blank."""
+    raw = F.regexp_extract(block, rf"(?s)<{name}(?:\s[^>]*)?(?<!/)>(.*?)</{name}\s*>", 1)
+    raw = F.regexp_replace(raw, r"(?s)<!\[CDATA\[(.*?)\]\]>", "$1")
     return F.when(F.trim(raw) != "", raw)
 
 
@@ -34,9 +34,14 @@ def _link(block: Column) -> Column:
 
 
 def entries(payloads: DataFrame) -> DataFrame:
-    """(source_id, pos, block) of every RSS item and Atom entry, in order."""
-    blocks = F.regexp_extract_all("payload", F.lit(r"(?s)<(?:item|entry)(?:\s[^>]*)?>.*?</(?:item|entry)>"), F.lit(0))
-    return payloads.select("source_id", F.posexplode(blocks).alias("pos", "block"))
+    """(source_id, pos, block) of every RSS item and Atom entry, in order.
+
+    Comments outside CDATA go, and so does what an entry says of the feed that it was taken from.
+    """
+    plain = F.regexp_replace("payload", r"(?s)<!--.*?-->|(<!\[CDATA\[.*?\]\]>)", "$1")
+    blocks = F.regexp_extract_all(plain, F.lit(r"(?s)<(?:item|entry)(?:\s[^>]*)?(?<!/)>.*?</(?:item|entry)\s*>"), F.lit(0))
+    own = F.transform(blocks, lambda b: F.regexp_replace(b, r"(?s)<source\b[^>]*(?<!/)>.*?</source\s*>", ""))
+    return payloads.select("source_id", F.posexplode(own).alias("pos", "block"))
 
 
 def _https(url: Column) -> Column:
