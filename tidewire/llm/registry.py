@@ -7,6 +7,7 @@ from tidewire.llm.licenses import op4_licenses
 from tidewire.llm.linededup import op10_lines
 from tidewire.llm.mixing import OP3_SQL, op3_mixing
 from tidewire.llm.pii import op1_pii
+from tidewire.llm.prefixtrie import OP13_SQL, op13_conversations
 from tidewire.llm.quality import op8_quality
 from tidewire.llm.simhash import op2_simhash
 from tidewire.llm.tokens import op5_tokens
@@ -22,6 +23,7 @@ QUERIES = {
     "op8_quality": op8_quality,
     "op9_decontaminate": op9_decontaminate,
     "op10_lines": op10_lines,
+    "op13_conversations": op13_conversations,
 }
 
-SQL = {"op3_mixing": OP3_SQL, "op7_embeddings": OP7_SQL, "op9_decontaminate": OP9_SQL}
+SQL = {"op3_mixing": OP3_SQL, "op7_embeddings": OP7_SQL, "op9_decontaminate": OP9_SQL, "op13_conversations": OP13_SQL}
