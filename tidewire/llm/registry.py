@@ -10,6 +10,7 @@ from tidewire.llm.pii import op1_pii
 from tidewire.llm.prefixtrie import OP13_SQL, op13_conversations
 from tidewire.llm.quality import op8_quality
 from tidewire.llm.simhash import op2_simhash
+from tidewire.llm.spelling import OP12_SQL, op12_spelling
 from tidewire.llm.tokens import op5_tokens
 
 QUERIES = {
@@ -23,7 +24,8 @@ QUERIES = {
     "op8_quality": op8_quality,
     "op9_decontaminate": op9_decontaminate,
     "op10_lines": op10_lines,
+    "op12_spelling": op12_spelling,
     "op13_conversations": op13_conversations,
 }
 
-SQL = {"op3_mixing": OP3_SQL, "op7_embeddings": OP7_SQL, "op9_decontaminate": OP9_SQL, "op13_conversations": OP13_SQL}
+SQL = {"op3_mixing": OP3_SQL, "op7_embeddings": OP7_SQL, "op9_decontaminate": OP9_SQL, "op12_spelling": OP12_SQL, "op13_conversations": OP13_SQL}
