@@ -1,0 +1,111 @@
+import html
+import random
+import re
+
+import duckdb
+import pytest
+
+from tidewire.llm import markup, pagetext
+
+WORDS = "river stone garden letter winter market signal copper violet harbor method engine".split()
+
+
+def sentence(rng, n=12):
+    return " ".join(rng.choice(WORDS) for _ in range(n)).capitalize() + "."
+
+
+def semantic(rng, i, title, paras):
+    return f"""<html><head><title>{title} | Site</title><script>if (a < b) document.write("<p>no</p>")</script></head><body class="has-sidebar">
+    <header><a href=/>Site</a></header><nav><ul><li><a href=/a>A</a><li><a href=/b>B</a></ul></nav><div class="cookie-notice">We use cookies {i}</div>
+    <main><article><header><h1>{title}</h1></header>{"".join(f"<p>{html.escape(p)}" for p in paras)}<aside>Advert {i}</aside><section id="comments"><p>{sentence(rng, 40)}</section></article></main>
+    <form>Search <input name=q></form><footer>&copy; {sentence(rng, 5)}</footer></body></html>"""
+
+
+def plain_divs(rng, i, title, paras):
+    """No telling names: only the shared template says where the article is and which words are the site's own."""
+    links = "".join(f"<li><a href='/{rng.random()}'>{sentence(rng, 4)}</a></li>" for _ in range(rng.randint(5, 9)))
+    return f"""<div class="x1"><div class="x2">Daily bulletin</div><ul class="x3">{links}</ul></div>
+    <div class="x4"><h1>{title}</h1><div class="x5">{"".join(f"<p>{html.escape(p)}</p>" for p in paras)}</div><p class="x6">Printed in the north</p></div><div class="x7">Box {i}</div>"""
+
+
+def site(layout, name, n, seed, paras=None):
+    rng = random.Random(seed)
+    rows, want = [], {}
+    for i in range(n):
+        ps = [sentence(rng, rng.choice([1, 10, 30, 60])) + (" <b> & 'x'" if rng.random() < 0.2 else "") for _ in range(rng.choice([1, 1, 3, 9]))] if paras is None else paras(rng, i)
+        title = f"{sentence(rng, 5)} {i}"
+        rows.append((seed * 1000 + i, f"https://{name}/p/{i}?q=1", layout(rng, i, title, ps), "x", "y", 1))
+        want[seed * 1000 + i] = "\n".join([title, *ps])
+    return rows, want
+
+
+def texts(spark, rows):
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, text string, host string, chain int")
+    return {(r.page_id, r.url): r.text for r in pagetext.main_text(df).collect()}
+
+
+def test_layouts_of_many_hosts(spark):
+    rows, want = [], {}
+    for k, (layout, n) in enumerate([(semantic, 30), (plain_divs, 40), (semantic, 1), (semantic, 2)]):
+        r, w = site(layout, f"h{k}.example", n, k + 1)
+        rows, want = rows + r, want | w
+    got = {i: t for (i, _), t in texts(spark, rows).items()}
+    assert got == want
+
+
+def test_pages_that_share_their_text_keep_it(spark):
+    same = [sentence(random.Random(1), 40), sentence(random.Random(2), 30)]
+    rows, want = site(semantic, "copies.example", 12, 1, lambda rng, i: same)
+    got = texts(spark, rows + rows[:1] * 30)
+    assert {i: t for (i, _), t in got.items()} == want
+
+
+def test_edge_cases(spark):
+    long = "word " * 300_000
+    rows = [
+        (1, None, "<p>a</p><p>b", None, None, None), (2, "https://x.example/", None, None, None, None), (3, "not a url", "", None, None, None),
+        (4, "https://x.example/1", "<article>" + f"<p>{long}</p>" * 2, None, None, None), (None, "https://x.example/2", "plain &lt; text &amp no tags", None, None, None),
+        (6, "https://x.example/3", "<article><p>cut of", None, None, None), (7, "https://x.example/4", "<article></article><nav>menu</nav>", None, None, None),
+        (8, "https://x.example/5", "<div " * 2000, None, None, None), (9, "https://x.example/6", "<div>" * 20_000 + "deep", None, None, None), (6, "https://x.example/3", "<article><p>cut of", None, None, None),
+    ]
+    got = texts(spark, rows)
+    assert got[1, None] == "a\nb" and got[2, "https://x.example/"] == got[3, "not a url"] == got[7, "https://x.example/4"] == ""
+    assert got[4, "https://x.example/1"] == "\n".join([long.strip()] * 2) and got[None, "https://x.example/2"] == "plain < text & no tags"
+    assert got[6, "https://x.example/3"] == "cut of" and got[9, "https://x.example/6"] == "deep" and got[8, "https://x.example/5"] == ""
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, text string, host string, chain int")
+    assert pagetext.main_text(df).count() == len(rows)
+    assert pagetext.main_text(df.limit(0)).count() == 0
+
+
+def test_blocks_and_references():
+    page = "<article><p>a  b<br>c&nbsp;d<b>e</b>f<p>x &quot;q&quot; &#65;&#x42; &am<ul><li>1<li>2<ul><li>3</ul></ul><table><tr><td>m<td>n</table>tail</b></i></article>"
+    assert pagetext.extract(page, [markup.ROOT], set()).split("\n") == ["a b c def", 'x "q" AB &am', "1", "2", "3", "m", "n", "tail"]
+
+
+@pytest.mark.parametrize("name", ["has-ads", "no-comments", "article-body", "readable", "adage"])
+def test_names_that_are_not_chrome(name):
+    assert pagetext.extract(f'<div class="{name}">kept</div>', [markup.ROOT], set()) == "kept"
+
+
+@pytest.mark.parametrize("tag", ['div class="ad"', 'div id="commentList"', 'div class="siteFooter x"', 'ul role="navigation"', "div hidden", 'p style="display: none"', "noscript", "header", 'section class="Cookie-Banner"'])
+def test_chrome(tag):
+    assert pagetext.extract(f"<div>kept</div><{tag}>gone</{tag.split()[0]}>", [markup.ROOT], set()) == "kept"
+
+
+def test_vectors_decide_what_is_template(spark):
+    """A text on every page of a host goes with the template's class; one on most pages, in no class with an element, stays."""
+    rows = []
+    for i in range(12):
+        common = "<p>Common remark</p>" if i % 3 else ""
+        rows.append((i, f"http://v.example/{i}", f"<body><article><h2>Fixed heading</h2>{common}<p>{sentence(random.Random(i), 30)} {i}</p></article></body>", None, None, None))
+    got = texts(spark, rows)
+    assert all("Fixed heading" not in t and ("Common remark" in t) == bool(i % 3) for (i, _), t in got.items())
+
+
+def test_given_pages_against_a_plain_reading(spark, sf):
+    rows = duckdb.sql(f"select page_id, html from '{sf}/pages.parquet'").fetchall()
+    got = {r.page_id: r.text for r in pagetext.op11_pages(spark, sf).collect()}
+    for i, page in rows:
+        body = re.search(r"<article>(.*?)(</article>|\Z)", page, re.S)[1]
+        lines = [" ".join(html.unescape(re.sub("<[^>]*>", "", x.replace("<br>", " "))).split()) for x in re.split(r"</?(?:p|h1)>", body)]
+        assert got[i] == "\n".join(x for x in lines if x)
