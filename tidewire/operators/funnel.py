@@ -53,15 +53,27 @@ def active_reports(reports: DataFrame, records: DataFrame) -> DataFrame:
 
 def funnel_counts(raw: DataFrame, history: DataFrame, now: Column, simple: bool = False) -> DataFrame:
     """Per source: latest publication of all rows, and rows recent, new and eligible, before any dedupe."""
+    return admitted_counts(admitted(raw, history, now, simple))
+
+
+def admitted(raw: DataFrame, history: DataFrame, now: Column, simple: bool = False) -> DataFrame:
+    """Raw items with a publication time as candidates, with _recent, _new and _eligible.
+
+    All that counters and selection ask of raw items is answered in this one pass, which a run stores; metrics
+    gathered on the side would count rows again when a lost task is repeated. Editorial rules run on new rows alone.
+    """
     d = to_candidates_flagged(raw, simple)
     seen = history.select("canonical_url").distinct().withColumn("_seen", F.lit(True))
     d = d.join(seen, "canonical_url", "left")
-    in_time = F.col("_ok") & times.in_window(F.col("published_at"), now)
-    new = in_time & F.col("_seen").isNull()
-    n = lambda cond, name: F.count_if(F.coalesce(cond, F.lit(False))).alias(name)
-    return d.groupBy("source_id").agg(
-        F.max("published_at").alias("latest_published_at"), n(in_time, "recent_count"), n(new, "new_count"), n(new & eligible_here(), "eligible_count")
-    )
+    recent_now = F.coalesce(F.col("_ok") & times.in_window(F.col("published_at"), now), F.lit(False))
+    d = d.withColumn("_recent", recent_now).withColumn("_new", F.col("_recent") & F.col("_seen").isNull())
+    return d.withColumn("_eligible", F.when(F.col("_new"), F.coalesce(eligible_here(), F.lit(False))).otherwise(False)).drop("_seen", "_ok")
+
+
+def admitted_counts(rows: DataFrame) -> DataFrame:
+    """The counters of ``funnel_counts`` from admitted rows."""
+    n = [F.count_if(f"_{x}").alias(f"{x}_count") for x in ("recent", "new", "eligible")]
+    return rows.groupBy("source_id").agg(F.max("published_at").alias("latest_published_at"), *n)
 
 
 def to_candidates_flagged(raw: DataFrame, simple: bool = False) -> DataFrame:
@@ -97,8 +109,18 @@ def select_candidates(
 
     ``trim`` is the small pipeline's bound on the rows that reach the fuzzy phase; None lifts it.
     """
-    folded = text.fold_ascii(F.col("title")) if simple else text.fold_title(F.col("title"))
     fresh = without_history(recent(to_candidates(raw, simple), now), history)
+    return _selected(fresh, now, trim, simple)
+
+
+def select_admitted(rows: DataFrame, now: Column, trim: int | None = DEDUPE_LIMIT, simple: bool = False) -> DataFrame:
+    """The daily selection from admitted rows."""
+    fresh = rows.where("_new").withColumn("id", urls.url_id(F.col("canonical_url"))).withColumn("url", F.col("canonical_url"))
+    return _selected(fresh.drop("_recent", "_new", "_eligible"), now, trim, simple)
+
+
+def _selected(fresh: DataFrame, now: Column, trim: int | None, simple: bool) -> DataFrame:
+    folded = text.fold_ascii(F.col("title")) if simple else text.fold_title(F.col("title"))
     winners = cut(dedupe.exact_winners(fresh, folded), "fn-exact")
     if trim is not None:
         winners = ranking.diverse(winners, now, trim, SOURCE_FLOOR, folded).select(*winners.columns)

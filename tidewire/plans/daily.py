@@ -2,7 +2,9 @@
 
 Only bounded things pass through the driver: the rows that an analyzer gets to
 see (at most ``funnel.POOL``), its response, and counts. Every end of a run has a
-status and a safe error code; a run that fails still leaves its record.
+status and a safe error code, and leaves its record: a published day stores report,
+record and index entry in one commit, any other only its record, so a report of an earlier run of
+the same day stays.
 """
 
 from collections.abc import Callable
@@ -12,8 +14,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewire.operators import funnel, ranking
-from tidewire.plans import analysis, sinks
+from tidewire.plans import analysis
 from tidewire.plans.materialize import cut
+from tidewire.plans.snapshots import Snapshots
 from tidewire.schema import RUN_RECORDS, SOURCE_RUN
 
 SCHEMA_VERSION = "1.3"
@@ -110,36 +113,51 @@ def report_row(items: DataFrame, source_runs: DataFrame, run_date: str, now, mod
     )
 
 
-def run_daily(
-    raw: DataFrame, runs: DataFrame, history: DataFrame, run_date: str, now, ask: Ask | None, model: str,
-    path: str | None = None, trim: int | None = funnel.DEDUPE_LIMIT, simple: bool = False,
-) -> Outcome:
-    """Select, analyze, build and store one day.
+@dataclass
+class Prepared:
+    """What the selection of a day leaves: candidates and counters per source, or the code of the failure."""
 
-    ``runs`` has one row per enabled source (source_id, source_name, success, item_count, elapsed_ms, error_type), ``raw``
-    the items of the sources that succeeded, ``history`` the addresses published before. With ``path`` report and record
-    are stored together; a failed run stores nothing there and its record is returned.
+    candidates: DataFrame | None
+    counts: DataFrame | None
+    code: str | None
+
+
+def prepare(raw: DataFrame, runs: DataFrame, history: DataFrame, now, trim: int | None = funnel.DEDUPE_LIMIT, simple: bool = False) -> Prepared:
+    """The selection over the items of healthy sources; raw items are read and judged once for counters and selection."""
+    if runs.where("success").isEmpty():
+        return Prepared(None, None, "no_healthy_sources")
+    try:
+        admitted = cut(funnel.admitted(raw, history, now, simple), "dy-admitted")
+        counts = cut(funnel.admitted_counts(admitted), "dy-counts")
+        candidates = cut(funnel.select_admitted(admitted, now, trim, simple), "dy-candidates")
+    except Exception:
+        return Prepared(None, None, "candidate_preparation_failed")
+    return Prepared(candidates, counts, None)
+
+
+def index_rows(report: DataFrame) -> DataFrame:
+    """The index entry of a report."""
+    return report.select("date", "generated_at", F.size("items").alias("item_count"))
+
+
+def conclude(prepared: Prepared, runs: DataFrame, run_date: str, now, ask: Ask | None, model: str, store: Snapshots | None = None) -> Outcome:
+    """Analyze, build and store a prepared day; every end has a record, and with ``store`` leaves it there.
+
+    Where storing a report fails, the day ends as ``persistence_failed`` and that record is stored instead; where even a
+    record can't be stored, an error of that code is raised.
     """
-    if not model:
-        raise ValueError("model is required")
-    spark = raw.sparkSession
-    counts = candidates = chosen = report = None
+    spark = runs.sparkSession
+    chosen = report = None
     try:
-        if runs.where("success").isEmpty():
-            raise RunError("no_healthy_sources")
-        try:
-            candidates = cut(funnel.select_candidates(raw, history, now, trim, simple), "dy-candidates")
-            counts = cut(funnel.funnel_counts(raw, history, now, simple), "dy-counts")
-        except Exception as failure:
-            counts = None
-            raise RunError("candidate_preparation_failed") from failure
-        n = candidates.count()
+        if prepared.code:
+            raise RunError(prepared.code)
+        n = prepared.candidates.count()
         if not n:
-            chosen = candidates
+            chosen = prepared.candidates
             raise RunError("no_eligible_candidates")
         if ask is None:
             raise RunError("configuration_failed")
-        items = cut(analysis.build_items(candidates, analyze(candidates, ask)), "dy-items")
+        items = cut(analysis.build_items(prepared.candidates, analyze(prepared.candidates, ask)), "dy-items")
         chosen = items
         reasons = [r["reason"] for r in analysis.publishable(items).collect()]
         if reasons:
@@ -147,13 +165,36 @@ def run_daily(
         status, code = "published", "none"
     except RunError as error:
         status, code = error.status, error.code
-    snapshot = cut(_snapshot(runs, counts, candidates, chosen), "dy-runs")
+    snapshot = cut(_snapshot(runs, prepared.counts, prepared.candidates, chosen), "dy-runs")
     record = record_row(spark, run_date, now, status, code, snapshot)
     if status == "published":
         report = report_row(items, snapshot, run_date, now, model, n)
-        if path:
-            try:
-                sinks.publish(report, record, path)
-            except Exception as failure:
-                raise RunError("persistence_failed") from failure
+        if store is None:
+            return Outcome(status, code, report, record)
+        try:
+            store.commit({"reports": report, "run_records": record, "index": index_rows(report)})
+            return Outcome(status, code, report, record)
+        except Exception:
+            failed = RunError("persistence_failed")
+            status, code, report = failed.status, failed.code, None
+            record = record_row(spark, run_date, now, status, code, snapshot)
+    if store is not None:
+        try:
+            store.commit({"run_records": record})
+        except Exception as failure:
+            raise RunError("persistence_failed", "the run record could not be stored") from failure
     return Outcome(status, code, report, record)
+
+
+def run_daily(
+    raw: DataFrame, runs: DataFrame, history: DataFrame, run_date: str, now, ask: Ask | None, model: str,
+    store: Snapshots | None = None, trim: int | None = funnel.DEDUPE_LIMIT, simple: bool = False,
+) -> Outcome:
+    """Select, analyze, build and store one day.
+
+    ``runs`` has one row per enabled source (source_id, source_name, success, item_count, elapsed_ms, error_type), ``raw``
+    the items of the sources that succeeded, ``history`` the addresses published before.
+    """
+    if not model:
+        raise ValueError("model is required")
+    return conclude(prepare(raw, runs, history, now, trim, simple), runs, run_date, now, ask, model, store)

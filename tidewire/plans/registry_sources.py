@@ -6,16 +6,19 @@ said in SQL from the document's number alone.
 
 import json
 import uuid
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidewire import schema
 from tidewire.functions import rules, text, urls
-from tidewire.operators import ranking
+from tidewire.operators import funnel, ranking
 from tidewire.plans import analysis, daily, readmodels, sinks, testbed
-from tidewire.plans.materialize import Stored, own_dir
+from tidewire.plans.materialize import Stored, cut, own_dir
 from tidewire.plans.registry import _ITEMS_SQL, _PUB, _RUNS, day, fold, query, stamp
+from tidewire.plans.snapshots import Snapshots
 from tidewire.plans.testbed import CAND_SQL, HISTORY_SQL
 from tidewire.sources import feeds, pages, tables
 from tidewire.streaming import dedupe as streams
@@ -377,15 +380,30 @@ def report_scan(spark, sf):
     return d.select(day("date").alias("date"), F.substring("schema_version", 3, 1).cast("long").alias("version"), F.size("items").alias("items"), F.expr("items[0].editorial_lane").alias("lane"))
 
 
+_ENDS = {
+    "sources down": ("failed_before_publish", "no_healthy_sources"),
+    "no times": ("failed_before_publish", "candidate_preparation_failed"),
+    "all known": ("no_eligible_content", "no_eligible_candidates"),
+    "no analyzer": ("failed_before_publish", "configuration_failed"),
+    "silent analyzer": ("failed_before_publish", "analysis_failed"),
+    "full disk": ("failed_before_publish", "persistence_failed"),
+    "good day": ("published", "none"),
+}
+
+
 @query(
-    "SELECT * FROM (VALUES ('sources down', 'failed_before_publish', 'no_healthy_sources'), ('sources up', 'published', 'none')) v(case_name, status, code)"
+    f"""WITH {CAND_SQL}, {HISTORY_SQL}, n AS (SELECT count(*) AS new_rows FROM cand WHERE published_at BETWEEN TIMESTAMP '{testbed.NOW}' - INTERVAL 120 HOURS AND TIMESTAMP '{testbed.NOW}' AND canonical_url NOT IN (SELECT canonical_url FROM hist))
+SELECT case_name, status, code, CASE WHEN case_name IN ('sources down', 'no times') THEN NULL WHEN case_name = 'all known' THEN 0 ELSE new_rows END::BIGINT AS new_rows,
+  (status = 'published')::BIGINT AS reports FROM n, (VALUES {", ".join(f"('{k}', '{a}', '{b}')" for k, (a, b) in _ENDS.items())}) v(case_name, status, code)"""
 )
 def run_outcomes(spark, sf):
-    """Status and error code of a day's run over all raw items, with sources down and up."""
+    """The ends of a day's run over all raw items (but the last check of a report, which only a faulty analysis step reaches): status, code and new rows of the stored record, and whether a report was stored."""
     raw = Stored(testbed.raw_items(spark, sf), "q-raw").df
     past = Stored(testbed.history(spark, sf), "q-history").df
-    names = "source_id string, source_name string, success boolean, item_count int, elapsed_ms int, error_type string"
-    up, down = (spark.createDataFrame([("src1", "Source 1", ok, 2 if ok else None, 5, None if ok else "TimeoutError")], names) for ok in (True, False))
+    named = raw.select("source_id", "source_name").distinct()
+    runs = cut(named.select("*", F.lit(True).alias("success"), F.lit(2).alias("item_count"), F.lit(5).alias("elapsed_ms"), F.lit(None).cast("string").alias("error_type")), "q-runs")
+    down = runs.withColumn("success", F.lit(False))
+    known = funnel.to_candidates(raw, simple=True).select("canonical_url")
 
     def ask(prompt, error, answer):
         fixed = {
@@ -394,8 +412,41 @@ def run_outcomes(spark, sf):
         }
         return json.dumps([{"id": r["id"], "title": f"Title {k}", **fixed} for k, r in enumerate(prompt)], ensure_ascii=False)
 
-    out = [(name, daily.run_daily(raw, runs, past, testbed.RUN_DATE, testbed.now(), ask, "m", simple=True)) for name, runs in (("sources down", down), ("sources up", up))]
-    return spark.createDataFrame([(name, o.status, o.code) for name, o in out], "case_name string, status string, code string")
+    class FullDisk(Snapshots):
+        def stage(self, rows):
+            if "reports" in rows:
+                raise OSError("no space left")
+            return super().stage(rows)
+
+    now = testbed.now()
+    good = daily.prepare(raw, runs, past, now, simple=True)
+    days = {
+        "sources down": (daily.prepare(raw, down, past, now, simple=True), ask), "no times": (daily.prepare(raw.drop("published_at"), runs, past, now, simple=True), ask),
+        "all known": (daily.prepare(raw, runs, known, now, simple=True), ask), "no analyzer": (good, None), "silent analyzer": (good, lambda *_: ""),
+        "full disk": (good, ask), "good day": (good, ask),
+    }
+    out = []
+    for name, (prepared, asked) in days.items():
+        store = (FullDisk if name == "full disk" else Snapshots)(spark, f"{own_dir(spark)}/days-{uuid.uuid4().hex}")
+        daily.conclude(prepared, down if name == "sources down" else runs, testbed.RUN_DATE, now, asked, "m", store)
+        held = store.read("run_records", schema.RUN_RECORDS)
+        total = F.expr("aggregate(source_runs, cast(null as bigint), (a, r) -> if(r.new_count is null, a, coalesce(a, 0) + r.new_count))")
+        found = held.select(F.lit(name).alias("case_name"), "status", F.col("safe_error_code").alias("code"), total.alias("new_rows"))
+        out.append(found.withColumn("reports", F.lit(len([1 for t, _ in store.manifest() if t == "reports"]))))
+    return reduce(lambda a, b: a.unionByName(b), out)
+
+
+@query(f"WITH {_RUNS} SELECT date::VARCHAR AS date, CASE WHEN day(date) % 2 = 0 THEN 'second' ELSE 'first' END AS status, count(*) AS sources FROM rn GROUP BY date")
+def snapshot_commit(spark, sf):
+    """Run records of all days in a first commit, of even days in a second, and a third that was never published and is swept."""
+    rows = testbed.runs(spark, sf).groupBy("date").agg(F.count("*").alias("sources"))
+    rows = cut(rows, "q-days")
+    store = Snapshots(spark, f"{own_dir(spark)}/snap-{uuid.uuid4().hex}")
+    store.commit({"run_records": rows.withColumn("status", F.lit("first"))})
+    store.commit({"run_records": rows.where("day(date) % 2 = 0").withColumn("status", F.lit("second"))})
+    store.stage({"run_records": rows.withColumn("status", F.lit("lost"))})
+    store.sweep()
+    return store.read("run_records", T.StructType([T.StructField("date", T.DateType()), T.StructField("status", T.StringType()), T.StructField("sources", T.LongType())])).withColumn("date", day("date"))
 
 
 # --- checks of responses ----------------------------------------------------
