@@ -32,6 +32,16 @@ def preference() -> list[Column]:
     ]
 
 
+def preference_key() -> Column:
+    """The order of ``preference`` as an array of texts and one of numbers, smaller first, for code that compares rows one by one."""
+    role = F.when(F.col("source_role") == "primary", 0).when(F.col("source_role") == "trusted_media", 1).otherwise(2)
+    trimmed = F.length(F.regexp_replace("excerpt", r"(?U)^\s+|\s+$", ""))
+    down = [F.col("is_official_source").cast("long"), F.col("discovery_verified").cast("long"), F.col("source_weight").cast("long"), trimmed.cast("long"), F.unix_micros("published_at")]
+    last = F.lit(2**62)  # nulls come last where larger values come first
+    text = [F.coalesce(F.concat(F.lit("+"), F.col(c)), F.lit("")) for c in ("id", "source_id", "source_name", "title", "excerpt", "category_hint", "url")]
+    return F.struct(F.array(role.cast("long"), *[F.coalesce(-x, last) for x in down]).alias("n"), F.array(*text).alias("t"))
+
+
 def preferred(rows: DataFrame, *group: str) -> DataFrame:
     """The preferred row of every group.
 

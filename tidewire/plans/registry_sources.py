@@ -17,7 +17,7 @@ from tidewire.functions import rules, text, urls
 from tidewire.operators import funnel, ranking
 from tidewire.plans import analysis, daily, readmodels, sinks, testbed
 from tidewire.plans.materialize import Stored, cut, own_dir
-from tidewire.plans.registry import _ITEMS_SQL, _PUB, _RUNS, day, fold, query, stamp
+from tidewire.plans.registry import _ITEMS_SQL, _PUB, _RUNS, SQL, day, fold, query, stamp
 from tidewire.plans.snapshots import Snapshots
 from tidewire.plans.testbed import CAND_SQL, HISTORY_SQL
 from tidewire.sources import feeds, pages, tables
@@ -495,9 +495,10 @@ def unknown_analyses(spark, sf):
 # --- streams ----------------------------------------------------------------
 
 
-def _streamed(spark, source: Stored, build, out: str):
-    """Run a stream over a stored table to its end, into a table."""
-    d = build(spark.readStream.schema(source.df.schema).parquet(source.path))
+def _streamed(spark, source: Stored, build, out: str, files: int | None = None):
+    """Run a stream over a stored table to its end, ``files`` at a time, into a table."""
+    read = spark.readStream.schema(source.df.schema)
+    d = build((read if files is None else read.option("maxFilesPerTrigger", files)).parquet(source.path))
     w = d.writeStream.format("parquet").option("path", f"{out}/data").option("checkpointLocation", f"{out}/state").outputMode("append")
     w.trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(d.schema).parquet(f"{out}/data")
@@ -519,6 +520,21 @@ def stream_titles(spark, sf):
     return rows.groupBy("host", "folded").agg(F.max("source_weight").alias("source_weight"))
 
 
+@query(SQL["exact_winners"])
+def stream_winners(spark, sf):
+    """The winners of the first phase from the changes that a stream of four batches announces and takes back."""
+    source = Stored(testbed.candidates(spark, sf).drop("doc_id").repartition(4), "st-in")
+    was = {k: spark.conf.get(k, None) for k in streams.STATE_STORE}
+    for k, v in streams.STATE_STORE.items():
+        spark.conf.set(k, v)
+    try:
+        rows = _streamed(spark, source, lambda d: streams.exact_changes(d, fold()), f"{own_dir(spark)}/st-{uuid.uuid4().hex}", 1)
+    finally:
+        for k, v in was.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    return streams.settled_changes(rows).select("id", "source_id")
+
+
 @query(f"WITH {CAND_SQL} SELECT source_id, count(*) AS new_count, strftime(max(published_at), '%Y-%m-%d %H:%M:%S') AS latest FROM cand GROUP BY source_id")
 def stream_funnel(spark, sf):
     """Counts per source from the batches of a stream, one of which is replayed."""

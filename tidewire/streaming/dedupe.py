@@ -1,19 +1,27 @@
 """Streaming forms of admission and deduplication.
 
 Late rows fall out by watermark, as the batch window drops them; an address seen
-within the watermark is dropped; and per host, the preferred row of equal title
-is kept in keyed state that times out. Edges of the first phase never leave a
-host, so state per host is exact.
+within the watermark is dropped. ``exact_changes`` is the whole first phase on a stream: rows of
+equal address, or of equal title at one host, are one group, also through others, and a group's preferred row is
+announced, and taken back when a better one comes or two groups turn out to be one.
+Edges of the first phase never leave a host, so state per host is exact.
 """
 
+import json
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tidewire.functions import urls
+from tidewire.operators.dedupe import preference_key
+
+#: The state store that ``exact_changes`` needs: settings of the session.
+STATE_STORE = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"}
 
 
 def admit(candidates: DataFrame, hours: int = 120) -> DataFrame:
@@ -42,7 +50,8 @@ def first_titles(candidates: DataFrame, hours: int = 120) -> DataFrame:
         out = []
         latest = state.getCurrentWatermarkMs()
         for pdf in batches:
-            latest = max(latest, int(pdf["published_at"].max().timestamp() * 1000))
+            if pdf["published_at"].notna().any():
+                latest = max(latest, int(pdf["published_at"].max().timestamp() * 1000))
             row = pdf.sort_values(["source_weight", "id"], ascending=[False, True]).iloc[0]
             if best is None or best < row["source_weight"]:
                 best = int(row["source_weight"])
@@ -58,6 +67,96 @@ def first_titles(candidates: DataFrame, hours: int = 120) -> DataFrame:
     )
 
 
+def _place(sort: str) -> tuple[list[int], list[str]]:
+    both = json.loads(sort)
+    return both["n"], both["t"]
+
+
+class _Groups(StatefulProcessor):
+    """Groups of one host: which group an address or a title belongs to, and each group's preferred row.
+
+    A group is a number; where groups merge, one points to the other. Rows come as
+    (canonical_url, folded, sort, row): ``sort`` is the place in the order of preference as JSON, ``row`` all columns as JSON.
+    """
+
+    def __init__(self, ttl_ms: int | None):
+        self.ttl = ttl_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        def of(*fields: tuple[str, T.DataType]) -> T.StructType:
+            return T.StructType([T.StructField(n, t) for n, t in fields])
+
+        number, named = of(("g", T.LongType())), of(("name", T.StringType()))
+        self.addresses = handle.getMapState("addresses", named, number, self.ttl)
+        self.titles = handle.getMapState("titles", named, number, self.ttl)
+        self.groups = handle.getMapState("groups", number, of(("parent", T.LongType()), ("sort", T.StringType()), ("row", T.StringType())), self.ttl)
+        self.last = handle.getValueState("last", number, self.ttl)
+
+    def _group(self, held, name: str | None) -> int | None:
+        """The group that an address or title belongs to by now."""
+        if name is None or not held.containsKey((name,)):
+            return None
+        g = held.getValue((name,))[0]
+        while self.groups.containsKey((g,)):
+            parent = self.groups.getValue((g,))[0]
+            if parent == g:
+                return g
+            g = parent
+        return None
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        said: dict[str, int] = {}
+        last = self.last.get()[0] if self.last.exists() else 0
+        for pdf in rows:
+            for address, title, sort, row in pdf[["canonical_url", "folded", "sort", "row"]].itertuples(index=False):
+                title = None if pd.isna(title) else title
+                met = sorted({g for g in (self._group(self.addresses, address), self._group(self.titles, title)) if g is not None})
+                last += not met
+                g = met[0] if met else last
+                old = [self.groups.getValue((x,))[1:] for x in met]
+                best = min([*old, (sort, row)], key=lambda r: _place(r[0]))
+                for x in met[1:]:
+                    self.groups.updateValue((x,), (g, None, None))
+                self.groups.updateValue((g,), (g, *best))
+                self.addresses.updateValue((address,), (g,))
+                if title is not None:
+                    self.titles.updateValue((title,), (g,))
+                for _, gone in old:
+                    said[gone] = said.get(gone, 0) - 1
+                said[best[1]] = said.get(best[1], 0) + 1
+        self.last.update((last,))
+        changes = [(row, n) for row, n in said.items() if n]
+        yield pd.DataFrame(changes, columns=["row", "change"]).astype({"row": "object", "change": "int64"})
+
+    def close(self) -> None:
+        pass
+
+
+def exact_changes(candidates: DataFrame, folded, ttl_hours: int | None = None) -> DataFrame:
+    """Changes to the winners of the first phase: all columns, and ``change``, 1 for a new winner and -1 for one taken back.
+
+    Equal rows are one. Of all batches together, whatever their order, the rows whose changes add up to 1 are those that
+    ``dedupe.exact_winners`` keeps; ``settled_changes`` adds them up. Addresses and titles that are quiet for ``ttl_hours`` are
+    forgotten; a stream with that setting goes on with empty batches until it is stopped. All rows of a host are one task's, read from its state store one by one; nothing of a host is held in memory.
+    """
+    columns = candidates.columns
+    key = F.to_json(preference_key())
+    rows = candidates.select(
+        F.coalesce(urls.host(F.col("canonical_url")), F.lit("")).alias("host"), "canonical_url", folded.alias("folded"), key.alias("sort"),
+        F.to_json(F.struct(*columns), {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "ignoreNullFields": "false"}).alias("row"),
+    )
+    ttl = None if ttl_hours is None else ttl_hours * 3_600_000
+    found = rows.groupBy("host").transformWithStateInPandas(_Groups(ttl), "row string, change long", "Append", "ProcessingTime" if ttl else "None")
+    parsed = F.from_json("row", candidates.schema, {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"})
+    return found.select(parsed.alias("r"), "change").select(*[F.col("r")[c].alias(c) for c in columns], "change")
+
+
+def settled_changes(changes: DataFrame) -> DataFrame:
+    """The winners that stand after all changes."""
+    columns = [c for c in changes.columns if c != "change"]
+    return changes.groupBy(*columns).agg(F.sum("change").alias("change")).where("change > 0").drop("change")
+
+
 def funnel_to(table: str):
     """A ``foreachBatch`` function that stores each batch's counts per source; a batch that is replayed replaces its own."""
 
