@@ -110,10 +110,14 @@ def host(url: Column) -> Column:
     return F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1))
 
 
+def bare_host(name: Column) -> Column:
+    """A host in lower case, without final dots and a leading www."""
+    return F.regexp_replace(F.regexp_replace(F.lower(name), r"\.+$", ""), r"^www\.", "")
+
+
 def domain_matches(name: Column, domain: Column) -> Column:
-    """Whether a host is a domain or lies under it; a leading www. counts on neither side."""
-    bare = lambda x: F.regexp_replace(F.regexp_replace(F.lower(x), r"\.+$", ""), r"^www\.", "")
-    return (bare(name) == bare(domain)) | bare(name).endswith(F.concat(F.lit("."), bare(domain)))
+    """Whether a host is a domain or lies under it; for a few fixed domains, ``operators.domains`` joins tables of them."""
+    return (bare_host(name) == bare_host(domain)) | bare_host(name).endswith(F.concat(F.lit("."), bare_host(domain)))
 
 
 def allowed_url(value: object, base: str, hosts: set[str]) -> str | None:

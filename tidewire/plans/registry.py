@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidewire import schema
 from tidewire.functions import rules, text, times, urls
 from tidewire.operators import dedupe, funnel, graph, ranking
+from tidewire.operators.domains import matches
 from tidewire.plans import analysis, integrity, readmodels, sinks, testbed
 from tidewire.plans.testbed import CAND_SQL, HISTORY_SQL, NOW, RAW_SQL, RUN_DATE, SCORE_SQL, ranked_sql
 from tidewire.sources import feeds, pages
@@ -575,7 +576,7 @@ SELECT DISTINCT page_id, domain FROM h, d WHERE regexp_replace(host, '^www\.', '
 def domain_suffix_match(spark, sf):
     domains = spark.createDataFrame([("example.com",), ("www.org",), ("net",), ("example.org",)], "domain string")
     hosts = testbed.table(spark, sf, "pages").select("page_id", urls.host(F.col("url")).alias("host"))
-    return hosts.join(domains, urls.domain_matches(F.col("host"), F.col("domain"))).select("page_id", "domain").distinct()
+    return hosts.join(matches(hosts, "host", domains), "host").select("page_id", "domain").distinct()
 
 
 @query(

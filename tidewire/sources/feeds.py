@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewire.functions import rules, text, times, urls
+from tidewire.operators.domains import under
 
 MAX_LEADS = 100
 MAX_ARTICLES = 8
@@ -126,7 +127,7 @@ def choose_leads(new: DataFrame, best: DataFrame, domains: DataFrame, most: int
 
     both = new.withColumn("seq", F.struct(F.lit(0).alias("f"), F.col("pos").alias("p"))).unionByName(best.withColumn("seq", F.struct(F.lit(1).alias("f"), F.col("pos").alias("p"))))
     both = both.withColumn("canonical", urls.canonical_url(F.col("external_url"))).where("canonical is not null").withColumn("host", urls.host(F.col("external_url")))
-    allowed = both.join(domains, urls.domain_matches(F.col("host"), F.col("domain")), "left_semi")
+    allowed = under(both, "host", domains)
     first = allowed.withColumn("_n", F.row_number().over(Window.partitionBy("source_id", "canonical").orderBy("seq"))).where("_n = 1")
     kept = first.withColumn("_n", F.row_number().over(Window.partitionBy("source_id").orderBy("seq"))).where(F.col("_n") <= most)
     return kept.select("source_id", "community", "post_id", "title", "external_url", "canonical", "posted_at", F.col("_n").alias("place"))
@@ -137,7 +138,7 @@ def verified_leads(leads: DataFrame, articles: DataFrame, specs: DataFrame, doma
     a = articles.where("title <> '' and excerpt <> '' and published_at is not null").withColumn("canonical", urls.canonical_url(F.col("url")))
     a = a.where(rules.is_topic(F.concat_ws(" ", "title", "excerpt"))).select("canonical", "title", "published_at", "excerpt")
     d = leads.select("source_id", "community", "canonical").join(a, "canonical")
-    d = d.withColumn("host", urls.host(F.col("canonical"))).join(domains, urls.domain_matches(F.col("host"), F.col("domain")), "left_semi")
+    d = under(d.withColumn("host", urls.host(F.col("canonical"))), "host", domains)
     d = with_source(d.select("source_id", "community", "title", F.col("canonical").alias("url"), "published_at", "excerpt").drop("community"), specs).join(
         d.select("source_id", F.col("canonical").alias("url"), "community"), ["source_id", "url"]
     )
