@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidewire.functions import rules, text, urls
+from tidewire.operators import grouping, ranking
 from tidewire.operators.graph import connected_components
 from tidewire.plans.materialize import cut
 
@@ -155,31 +156,15 @@ def fuzzy_winners(winners: DataFrame, folded: Column | None = None, threshold: f
 
     A later row of a title always ends in the group of the first, so each title is
     first cut down to its preferred row; a title that a third of all rows share is
-    one row from then on. Only titles of one component of similar ones can share a
-    group, and the greedy grouping runs on each component by itself.
+    one row from then on. The greedy grouping works on links of similar titles, in rounds.
     """
     folded = text.fold_title(F.col("title")) if folded is None else folded
     rows = cut(preferred(_numbered(winners.withColumn("_folded", F.substring(folded, 1, TITLE_CHARS))), "_folded"), "fz-rows")
-    pairs = similar_pairs(rows.select(F.col("_row").alias("node"), F.col("_folded").alias("value")), threshold)
-    parts = cut(connected_components(pairs, "a", "b"), "fz-parts").withColumnRenamed("node", "_row")
-    alone = rows.join(parts, "_row", "left_anti")
-    mixed = rows.join(parts, "_row").withColumn("_order", F.row_number().over(Window.partitionBy("component").orderBy(*preference())))
-
-    def group(pdf: pd.DataFrame) -> pd.DataFrame:
-        groups: list[list[str]] = []
-        out = []
-        for row, value in pdf.sort_values("_order")[["_row", "_folded"]].itertuples(index=False):
-            for g in groups:
-                if all(similar(value, other, threshold) for other in g):
-                    g.append(value)
-                    break
-            else:
-                groups.append([value])
-                out.append(row)
-        return pd.DataFrame({"_row": out})
-
-    heads = mixed.select("component", "_row", "_folded", "_order").groupBy("component").applyInPandas(group, "_row long")
-    return alone.unionByName(rows.join(heads, "_row", "left_semi").select(*alone.columns)).drop("_row", "_folded")
+    rows = cut(ranking.numbered(rows, preference(), name="_place"), "fz-placed")
+    pairs = cut(similar_pairs(rows.select(F.col("_place").cast("long").alias("node"), F.col("_folded").alias("value")), threshold), "fz-links")
+    parts = cut(connected_components(pairs, "a", "b"), "fz-parts")
+    later = grouping.greedy_heads(pairs, parts).where("row <> head").select(F.col("row").alias("_place"))
+    return rows.join(later, "_place", "left_anti").drop("_row", "_folded", "_place")
 
 
 def deduplicate(candidates: DataFrame, history: DataFrame, max_items: int | None = None, folded: Column | None = None) -> DataFrame:
