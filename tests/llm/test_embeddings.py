@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 
 from tidewire.llm import embeddings
 
@@ -67,3 +68,41 @@ def test_work_for_each_vector_grows_slower_than_the_table(spark):
         filed = where.groupBy("list").agg(F.count_if("filed").alias("home"), F.count("*").alias("looks"))
         met.append(filed.agg(F.sum(F.col("home") * F.col("looks"))).first()[0] / n)
     assert met[1] < 2 * met[0]
+
+
+def unit(v):
+    return v / np.linalg.norm(v, axis=1, keepdims=True)
+
+
+def partners(v, cosine, rng):
+    side = rng.normal(size=v.shape)
+    side = unit(side - (side * v).sum(1, keepdims=True) * v)
+    return cosine * v + np.sqrt(1 - cosine**2) * side
+
+
+@pytest.mark.parametrize("clustered", [False, True])
+@pytest.mark.parametrize("dim", [16, 64, 768])
+@pytest.mark.parametrize("n", [200, 3_000, 300_000, 30_000_000, 3_000_000_000])
+def test_recall_does_not_fall_with_the_table(n, dim, clustered):
+    """Planted pairs under the plan of a table of n vectors: depths 1 to 5 are asked for."""
+    rng = np.random.default_rng(dim)
+    centres = rng.normal(size=(40, dim))
+    sample = unit(rng.normal(size=(1024, dim)) if not clustered else centres[rng.integers(0, 40, 1024)] + 0.6 * rng.normal(size=(1024, dim)))
+    pivots = embeddings._spread(sample, 256)
+    depth, width, least = embeddings.plan_lists(n, pivots, sample)
+    v = unit(rng.normal(size=(1500, dim)) if not clustered else centres[rng.integers(0, 40, 1500)] + 0.6 * rng.normal(size=(1500, dim)))
+    for cosine in (0.951, 0.97, 0.99):
+        a, b = (np.argsort(-(x @ pivots.T), axis=1, kind="stable")[:, : max(embeddings.PREFIX, width)] for x in (v, partners(v, cosine, rng)))
+        one, two = (embeddings._lists(x, depth, width, dim) for x in (a, b))
+        met = (one[:, :1] == two).any(1) | (two[:, :1] == one).any(1)
+        common = (a[:, : embeddings.PREFIX, None] == b[:, None, : embeddings.PREFIX]).any(2).sum(1)
+        assert (met & (common >= least)).mean() >= 0.92
+
+
+def test_planted_pairs_of_a_table_of_two_depths(spark):
+    rng = np.random.default_rng(11)
+    v = unit(rng.normal(size=(1500, 32)))
+    both = np.concatenate([v, partners(v, 0.955, rng)])
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(both)], "vec_id long, embedding array<double>")
+    got = {r.vec_id: r.component for r in embeddings.near_duplicates(df).collect()}
+    assert sum(got[1500 + i] == i for i in range(1500)) >= 0.93 * 1500

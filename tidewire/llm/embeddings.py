@@ -3,9 +3,11 @@
 A vector is described by the order of its nearest pivots, the reference points
 that the index was fitted with. Inverted lists are kept per set of ``depth``
 pivots: a vector is filed under its ``depth`` nearest ones and looks for partners
-under every such set of its ``depth + 2`` nearest. The depth follows from the number
-of vectors, so that there are about as many lists as vectors and the vectors that
-one is compared with do not grow with the table. Two vectors that meet in a list
+under every such set of its ``width`` nearest. The depth wanted follows from the number
+of vectors, so that there are about as many lists as vectors. How far to look for that is measured: the pivots' sample
+is given partners at the very threshold, and the width is the smallest at which ``TARGET`` of these pairs meet and pass; where
+that takes more than ``MOST_LISTS`` lists, the depth is lowered. So recall does not fall as tables grow; it is the number of
+looks that grows. Two vectors that meet in a list
 are compared by the number of pivots that their ``prefix`` nearest share; those
 with at least ``shared`` are verified by their cosine in double precision.
 
@@ -45,6 +47,8 @@ PIVOTS = 256
 PREFIX = 10
 SHARED = 3
 TILE = 1024
+#: Measured share of sampled pairs at the threshold that must be found, and most lists that a vector may look in for it.
+TARGET, MOST_LISTS = 0.97, 256
 
 
 def usable(vector):
@@ -62,8 +66,39 @@ def depth_for(n: int, pivots: int) -> int:
     return depth
 
 
-def fit_pivots(classes: DataFrame, n: int = PIVOTS) -> dict[int, tuple[np.ndarray, int]]:
-    """Unit pivots and the depth of the lists by vector length, from about 4 n vectors that a hash of the id picks."""
+def plan_lists(n: int, pivots: np.ndarray, sample: np.ndarray, threshold: float = THRESHOLD, prefix: int = PREFIX, shared: int = SHARED) -> tuple[int, int, int]:
+    """(depth, width, least): how lists are named, how far to look and how many pivots to share, so that sampled pairs at the threshold are found."""
+    rng = np.random.default_rng(7)
+
+    def beside(v: np.ndarray, cosine: float) -> np.ndarray:
+        side = rng.normal(size=v.shape)
+        side -= (side * v).sum(1, keepdims=True) * v
+        return cosine * v + np.sqrt(1 - cosine**2) * side / np.linalg.norm(side, axis=1, keepdims=True)
+
+    if sample.shape[1] == 1:
+        return 1, len(pivots), 1
+    # first a step aside, as some of the sample are pivots themselves
+    v = beside(np.repeat(sample, max(1, 400 // len(sample)), axis=0), (1 + threshold) / 2)
+    other = beside(v, threshold)
+    reach = min(len(pivots), max(prefix, 16))
+    a, b = (np.argsort(-(x @ pivots.T), axis=1, kind="stable")[:, :reach] for x in (v, other))
+    # the place among the other's nearest pivots of each of one's own, or past the end
+    there = [np.where((x[:, :, None] == y[:, None, :]).any(2), (x[:, :, None] == y[:, None, :]).argmax(2), reach) for x, y in ((a, b), (b, a))]
+    common = (there[0][:, :prefix] < prefix).sum(1)
+    least = next((s for s in range(min(shared, len(pivots)), 1, -1) if (common >= s).mean() >= (1 + TARGET) / 2), 1)
+    for depth in range(depth_for(n, len(pivots)), 0, -1):
+        # how far the other must look to meet one's own list
+        far = np.minimum(*[x[:, :depth].max(1) for x in there])
+        for width in range(min(reach, max(depth + 2, 5)), reach + 1):
+            if comb(width, depth) > MOST_LISTS:
+                break
+            if ((far < width) & (common >= least)).mean() >= TARGET:
+                return depth, width, least
+    return 1, reach, least
+
+
+def fit_pivots(classes: DataFrame, n: int = PIVOTS, threshold: float = THRESHOLD) -> dict[int, tuple[np.ndarray, int, int, int]]:
+    """Unit pivots, depth and width of the lists, and least pivots to share, by vector length, from about 4 n vectors that a hash of the id picks."""
     counts = {r["dim"]: r["n"] for r in classes.groupBy("dim").agg(F.count("*").alias("n")).collect()}
     if not counts:
         return {}
@@ -75,8 +110,9 @@ def fit_pivots(classes: DataFrame, n: int = PIVOTS) -> dict[int, tuple[np.ndarra
         own = [r["vector"] for r in sorted((r for r in rows if r["dim"] == dim), key=lambda r: (r["place"], r["vector"]))]
         if not own:  # none of few rows was picked
             own = [r["vector"] for r in classes.where(F.col("dim") == dim).orderBy("rep", "vector").limit(n).collect()]
-        p = _spread(_unit(np.array(own, float).reshape(-1, dim)), n)
-        out[dim] = (p, depth_for(counts[dim], len(p)))
+        sample = _unit(np.array(own, float).reshape(-1, dim))
+        p = _spread(sample, n)
+        out[dim] = (p, *plan_lists(counts[dim], p, sample, threshold))
     return out
 
 
@@ -96,10 +132,10 @@ def _spread(v: np.ndarray, n: int) -> np.ndarray:
     return v[(taken + late)[:n]]
 
 
-def _lists(order: np.ndarray, depth: int, dim: int) -> np.ndarray:
+def _lists(order: np.ndarray, depth: int, width: int, dim: int) -> np.ndarray:
     """The lists under which each row is filed (the first) and looks, as hashes of sets of its nearest pivots."""
     out = []
-    for some in combinations(range(min(order.shape[1], max(5, depth + 2) if depth == 1 else depth + 2)), depth):
+    for some in combinations(range(min(order.shape[1], width)), depth):
         h = np.full(len(order), dim, np.uint64)
         for c in np.sort(order[:, some], axis=1).T:
             h = (h ^ (c.astype(np.uint64) + np.uint64(1))) * np.uint64(0x9E3779B97F4A7C15)
@@ -108,7 +144,7 @@ def _lists(order: np.ndarray, depth: int, dim: int) -> np.ndarray:
     return np.stack(out, 1)
 
 
-def describe(classes: DataFrame, pivots: dict[int, tuple[np.ndarray, int]], prefix: int = PREFIX, shared: int = SHARED) -> DataFrame:
+def describe(classes: DataFrame, pivots: dict[int, tuple[np.ndarray, int, int, int]], prefix: int = PREFIX) -> DataFrame:
     """(cls, copies, unit, mask, least, near): unit vector, set of nearest pivots as bits, how many must be shared, and lists, home first."""
     held = classes.sparkSession.sparkContext.broadcast(pivots)
 
@@ -118,13 +154,13 @@ def describe(classes: DataFrame, pivots: dict[int, tuple[np.ndarray, int]], pref
             for dim in np.unique(dims):
                 part = b.filter(pa.array(dims == dim))
                 v = _unit(part.column(3).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, dim))
-                p, depth = held.value[int(dim)]
-                order = np.argsort(-(v @ p.T), axis=1, kind="stable")[:, : max(prefix, depth + 2)]
+                p, depth, width, shared = held.value[int(dim)]
+                order = np.argsort(-(v @ p.T), axis=1, kind="stable")[:, : max(prefix, width)]
                 bits = np.zeros((len(v), -(-len(p) // 64) * 64), np.uint8)
                 np.put_along_axis(bits, order[:, :prefix], 1, axis=1)
                 masks = np.packbits(bits, axis=1)
-                near = pa.array(list(_lists(order, depth, int(dim))), pa.list_(pa.int64()))
-                least = pa.array([min(shared, len(p))] * len(v), pa.int32())
+                near = pa.array(list(_lists(order, depth, width, int(dim))), pa.list_(pa.int64()))
+                least = pa.array([shared] * len(v), pa.int32())
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), part.column(1), pa.array([x.tobytes() for x in v]), pa.array([x.tobytes() for x in masks]), least, near],
                     ["cls", "copies", "unit", "mask", "least", "near"],
@@ -211,7 +247,7 @@ def near_duplicates(table: DataFrame, threshold: float = THRESHOLD, id_col: str
     classes = good.groupBy("vector").agg(F.min("id").alias("rep"), F.count("*").alias("copies"))
     # numbered as stored: several classes may have the same smallest id
     classes = cut(classes.withColumn("dim", F.size("vector")).withColumn("cls", F.monotonically_increasing_id()), "emb-classes")
-    described = cut(describe(classes, fit_pivots(classes, n_pivots)), "emb-index")
+    described = cut(describe(classes, fit_pivots(classes, n_pivots, threshold)), "emb-index")
     found = cut(links(described, threshold), "emb-links")
     n = found.where("n is not null").groupBy("cls").agg(F.sum("n").alias("linked"))
     parts = connected_components(found.where("other is not null"), "cls", "other").withColumnRenamed("node", "cls")
