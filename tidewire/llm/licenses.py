@@ -149,13 +149,15 @@ def _notice_places(w, index: Index, min_cover: float):
     begin = F.array(*[F.lit(a) for a, _ in index.keys])
     labels = _strings(index.labels)
     hits = F.filter(F.transform(w, lambda x, i: F.struct(x.alias("x"), i.alias("i"))), lambda s: s["x"].isin(rare))
-    starts = F.array_distinct(
-        F.flatten(F.transform(hits, lambda s: F.transform(F.element_at(lists, s["x"]), lambda p: F.struct(p["t"].alias("t"), (s["i"] - p["q"]).alias("o")))))
-    )
+    # a start is a notice and a place, packed into one number: numbers are made distinct by hash, structs by comparing all
+    longest, many = max(map(len, index.words)), len(index.words)
+    packed = F.transform(hits, lambda s: F.transform(F.element_at(lists, s["x"]), lambda p: (s["i"] - p["q"] + longest).cast("long") * many + p["t"]))
+    starts = F.transform(F.array_distinct(F.flatten(packed)), lambda z: F.struct((z % many).cast("int").alias("t"), (F.floor(z / many) - longest).cast("int").alias("o")))
 
     def keyed(s):
-        key, a = F.get(keys, s["t"]), s["o"] + F.get(begin, s["t"])
-        return (a >= 0) & (F.slice(w, F.greatest(a, F.lit(0)) + 1, F.size(key)) == key)
+        # word by word: a slice of the array would copy all of it for every start
+        a = s["o"] + F.get(begin, s["t"])
+        return (a >= 0) & F.forall(F.transform(F.get(keys, s["t"]), lambda x, j: F.coalesce(F.get(w, a + j) == x, F.lit(False))), lambda same: same)
 
     def cover(s):
         return F.aggregate(
