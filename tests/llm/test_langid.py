@@ -43,8 +43,8 @@ def test_ties_and_whole_training_texts(spark):
     rows = [(i, "same words here", "bb") for i in range(3)] + [(10 + i, "same words here", "aa") for i in range(3)] + [(20, "x" * 70_000, "zz")]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     dicts = langid.train_dictionaries(df)
-    assert list(dicts) == ["aa", "bb"] and dicts["aa"] == dicts["bb"]
-    assert {(r.lang_pred, r.rejected) for r in langid.identify(df, dicts).collect()} == {("aa", True)}
+    assert list(dicts) == ["aa", "bb", "zz"] and dicts["aa"] == dicts["bb"] and len(dicts["zz"]) == 70_000
+    assert {(r.lang_pred, r.rejected) for r in langid.identify(df.where("doc_id < 20"), dicts).collect()} == {("aa", True)}
     long = spark.createDataFrame([(1, "word " * 9000 + "ending", "en")], "doc_id long, text string, lang string")
     assert langid.train_dictionaries(long)["en"].endswith(b"ending")
 

@@ -7,13 +7,13 @@ their letters and the marks on them first, and encoded in chunks, so that a long
 against the dictionary rather than against its own beginning. Where the runner-up comes closer
 than ``margin`` (a share of the smallest encoding) the document is rejected.
 
-The sample is bounded: per language about ``sample_docs`` documents of at most
-``doc_chars`` characters, picked by a hash of their id and used whole, until a
-dictionary holds ``dict_chars`` characters. Prediction encodes whole texts.
+The sample is bounded: per language about ``sample_docs`` documents picked by a hash of their id,
+whole and of any length, in that order until a dictionary holds ``dict_chars`` characters. So the driver gets
+so many characters and one document more per language. Prediction encodes whole texts.
 
 Edge cases: a null text, or one without letters (Unicode category L), is ``und``
-with score 0 and is rejected; a language all of whose labelled documents are
-longer than ``doc_chars`` is not learned; equal sizes go to the language with more sample documents, then by
+with score 0 and is rejected; a language is learned from one document
+if that is long enough; equal sizes go to the language with more sample documents, then by
 name; without any labelled row every text is ``und``; repeated rows get equal
 results; an empty table gives an empty result; other columns are ignored.
 """
@@ -24,11 +24,10 @@ from collections.abc import Iterator
 import pyarrow as pa
 import regex
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 SAMPLE_DOCS = 400
-DOC_CHARS = 65_536
 DICT_CHARS = 400_000
 LEVEL = 6
 CHUNK = 2048
@@ -47,10 +46,10 @@ def letters(text: str) -> bytes:
 
 
 def train_dictionaries(
-    labelled: DataFrame, sample_docs: int = SAMPLE_DOCS, doc_chars: int = DOC_CHARS, dict_chars: int = DICT_CHARS
+    labelled: DataFrame, sample_docs: int = SAMPLE_DOCS, dict_chars: int = DICT_CHARS
 ) -> dict[str, bytes]:
     """Language to dictionary content, most frequent language first, from (doc_id, text, lang) rows."""
-    known = labelled.where(F.col("lang").isNotNull() & (F.length("text") <= doc_chars))
+    known = labelled.where("lang is not null and text is not null")
     counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not counts:
         return {}
@@ -59,13 +58,12 @@ def train_dictionaries(
     picked = known.where(place < F.element_at(share, F.col("lang"))).select(
         "lang", place.alias("place"), F.col("text").cast("string").alias("text")
     ).distinct()  # copies of a row count once
+    own = Window.partitionBy("lang").orderBy("place", "text")
+    before = F.sum(F.length("text")).over(own) - F.length("text")
+    used = picked.withColumn("before", before).withColumn("nth", F.row_number().over(own)).where((F.col("before") < dict_chars) & (F.col("nth") <= sample_docs))
     parts: dict[str, list[bytes]] = {k: [] for k in sorted(counts, key=lambda k: (-counts[k], k))}
-    size = dict.fromkeys(parts, 0)
-    for r in sorted(picked.collect(), key=lambda r: (r["place"], r["text"])):
-        lang, text = r["lang"], r["text"]
-        if len(parts[lang]) < sample_docs and size[lang] + len(text) <= max(dict_chars, len(text)):
-            parts[lang].append(letters(text))
-            size[lang] += len(text)
+    for r in sorted(used.collect(), key=lambda r: r["nth"]):
+        parts[r["lang"]].append(letters(r["text"]))
     return {k: b" ".join(v) for k, v in parts.items() if v}
 
 
