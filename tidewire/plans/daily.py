@@ -129,7 +129,8 @@ def prepare(raw: DataFrame, runs: DataFrame, history: DataFrame, now, trim: int
     try:
         admitted = cut(funnel.admitted(raw, history, now, simple), "dy-admitted")
         counts = cut(funnel.admitted_counts(admitted), "dy-counts")
-        candidates = cut(funnel.select_admitted(admitted, now, trim, simple), "dy-candidates")
+        new = counts.agg(F.sum("new_count")).first()[0]
+        candidates = cut(funnel.select_admitted(admitted, now, trim, simple), "dy-candidates") if new else admitted.limit(0)
     except Exception:
         return Prepared(None, None, "candidate_preparation_failed")
     return Prepared(candidates, counts, None)

