@@ -20,7 +20,7 @@ from tidewire.plans.materialize import Stored, cut, own_dir
 from tidewire.plans.registry import _ITEMS_SQL, _PUB, _RUNS, SQL, day, fold, query, stamp
 from tidewire.plans.snapshots import Snapshots
 from tidewire.plans.testbed import CAND_SQL, HISTORY_SQL
-from tidewire.sources import feeds, pages, tables
+from tidewire.sources import embedded, feeds, pages, tables
 from tidewire.streaming import dedupe as streams
 
 
@@ -107,24 +107,98 @@ def post_scan(spark, sf):
     return _scanned(spark, sf, "tencent_hunyuan", "https://www.tencent.com/n", F.concat(F.format_string(post, _i(), number, F.lit("混元")), F.format_string(post, _i(), number, F.lit("Games"))))
 
 
-@query(
-    _found_sql(
-        f"'豆包 ' || doc_id AS title, 'https://www.volcengine.com/b/' || doc_id AS url, strftime({_DATE}::TIMESTAMP, '%Y-%m-%d %H:%M:%S') AS published, '' AS excerpt",
-        f"'ARK ' || doc_id AS title, 'https://www.volcengine.com/news/detail/' || doc_id AS url, {_CHINA} AS published, 'About ' || doc_id AS excerpt",
-    )
-)
+def _filled(template: str):
+    """A page template with the document's number for {n} and its date for {d}, for Spark and for SQL."""
+    return F.replace(F.replace(F.lit(template), F.lit("{n}"), _i().cast("string")), F.lit("{d}"), day(_date()))
+
+
+def _templates_sql(templates: list[str]) -> str:
+    cases = " ".join(f"WHEN {k} THEN '" + t.replace("'", "''") + "'" for k, t in enumerate(templates))
+    return f"replace(replace(CASE doc_id % {len(templates)} {cases} END, '{{n}}', doc_id::VARCHAR), '{{d}}', {_DATE}::VARCHAR)"
+
+
+def _templates(templates: list[str]) -> Column:
+    page = _filled(templates[-1])
+    for k in range(len(templates) - 2, -1, -1):
+        page = F.when(_i() % len(templates) == k, _filled(templates[k])).otherwise(page)
+    return page
+
+
+def _router(banner: str, rows: str) -> str:
+    return '<script>window._ROUTER_DATA = {"loaderData":{"__ssr_without_user/news/page":{"banner":' + banner + ',"listOnlineArticle":{"List":' + rows + "}}}};</script>"
+
+
+_ROUTER_PAGES = [
+    _router('{"title":"豆包 {n}","link":"/b/{n}#top","date":"{d} 08:00"}', '[{"DocumentID":{n},"Title":"ARK {n}","Summary":"About <b>{n}</b> &amp; more","CreatedTime":"{d}"},{"DocumentID":true,"Title":"Doubao bad"},{"DocumentID":8,"Title":"cars","CreatedTime":"{d}"}]'),
+    _router("null", '[{"DocumentID":" {n} ","title":"Doubao {n}","description":"low","date":"{d}T10:00:00+02:00"},"text",7,{"DocumentID":{n},"Title":"ARK again","CreatedTime":"{d}"}]'),
+    _router('"text"', '[{"Title":7,"title":"ARK unseen","DocumentID":1,"CreatedTime":"{d}"},{"Title":"ARK {n}","Summary":["x"],"Link":"https://other.example/x","CreatedTime":"{d}"},{"Title":"ARK {n}","Link":"https://WWW.volcengine.com/p/{n}?q=1","UpdatedTime":"{d}"}]'),
+    _router("{}", '{"Title":"no list"}'),
+    _router("{}", '[{"Title":"broken {n}",]'),
+    "<html>Please verify you are human</html>",
+]
+#: The first of two spellings that holds something counts, whatever its type; only strings are texts.
+_ROUTER_SQL = rf"""
+WITH p AS (SELECT doc_id, {_templates_sql(_ROUTER_PAGES)} AS page FROM documents),
+j AS (SELECT doc_id, TRY_CAST(nullif(regexp_extract(page, 'window\._ROUTER_DATA\s*=\s*(\{{.*\}})\s*;?\s*</script>', 1), '') AS JSON) -> '$.loaderData."__ssr_without_user/news/page"' AS s FROM p),
+ok AS (SELECT doc_id, s FROM j WHERE json_type(s -> '$.listOnlineArticle.List') = 'ARRAY'),
+r AS (SELECT doc_id, 0 AS nr, s -> '$.banner' AS e FROM ok
+  UNION ALL SELECT doc_id, i, s -> ('$.listOnlineArticle.List[' || (i - 1) || ']') FROM (SELECT doc_id, s, unnest(range(1, 1 + json_array_length(s -> '$.listOnlineArticle.List')::BIGINT)) AS i FROM ok)),
+f AS (SELECT doc_id, nr, CASE WHEN coalesce(e ->> '$.Title', '') <> '' THEN CASE WHEN json_type(e -> '$.Title') = 'VARCHAR' THEN e ->> '$.Title' END ELSE e ->> '$.title' END AS title,
+    CASE WHEN json_type(e -> '$.DocumentID') IN ('VARCHAR', 'UBIGINT', 'BIGINT') THEN trim(e ->> '$.DocumentID') END AS number, coalesce(e ->> '$.link', e ->> '$.Link') AS link,
+    coalesce(e ->> '$.CreatedTime', e ->> '$.date', e ->> '$.UpdatedTime') AS at_time,
+    CASE WHEN json_type(e -> '$.Summary') = 'VARCHAR' THEN e ->> '$.Summary' WHEN json_type(e -> '$.Summary') IS NULL THEN e ->> '$.description' END AS about
+  FROM r WHERE json_type(e) = 'OBJECT'),
+u AS (SELECT doc_id, nr, title, CASE WHEN number IS NOT NULL THEN 'https://www.volcengine.com/news/detail/' || number WHEN link LIKE '/%' THEN 'https://www.volcengine.com' || split_part(link, '#', 1)
+      WHEN lower(link) LIKE 'https://www.volcengine.com/%' THEN 'https://www.volcengine.com' || substr(link, 27) END AS url,
+    CASE WHEN at_time LIKE '%+02:00' THEN at_time[:19]::TIMESTAMP - INTERVAL 2 HOURS ELSE at_time::TIMESTAMP - INTERVAL 8 HOURS END AS t,
+    trim(replace(regexp_replace(coalesce(about, ''), '<[^>]*>', '', 'g'), '&amp;', '&')) AS excerpt
+  FROM f WHERE regexp_matches(title, '豆包|大模型|Doubao|ARK')),
+g AS (SELECT *, row_number() OVER (PARTITION BY doc_id, url ORDER BY nr) AS n FROM u WHERE url IS NOT NULL AND t IS NOT NULL)
+SELECT row_number() OVER (PARTITION BY doc_id ORDER BY nr) - 1 AS pos, title, url, strftime(t, '%Y-%m-%d %H:%M:%S') AS published, excerpt, NULL AS error FROM g WHERE n = 1
+UNION ALL SELECT NULL, NULL, NULL, NULL, NULL, 'PageStructureError' FROM j WHERE doc_id NOT IN (SELECT doc_id FROM ok)"""
+
+
+def _embedded(spark, sf, scan, adapter: str, base: str, templates: list[str]):
+    staged = _documents(spark, sf).select(F.lit(adapter).alias("source_id"), _templates(templates).alias("payload"), F.lit(base).alias("base"))
+    found = scan(staged, pages.ADAPTERS[adapter][1])
+    return found.select(F.col("pos").cast("long").alias("pos"), "title", "url", stamp("published_at").alias("published"), "excerpt", "error")
+
+
+@query(_ROUTER_SQL)
 def router_json_scan(spark, sf):
-    """Banner and list of the router state; rows without the brand or with a bad number are left out."""
-    rows = '{"DocumentID":%1$d,"Title":"ARK %1$d","Summary":"About %1$d","CreatedTime":"%2$s"},{"DocumentID":true,"Title":"Doubao bad"},{"DocumentID":8,"Title":"cars","CreatedTime":"%2$s"}'
-    page = '<script>window._ROUTER_DATA = {"loaderData":{"__ssr_without_user/news/page":{"banner":{"title":"豆包 %1$d","link":"/b/%1$d","date":"%2$s 08:00"},"listOnlineArticle":{"List":[' + rows + "]}}}};</script>"
-    return _scanned(spark, sf, "volcengine_doubao", "https://www.volcengine.com/n", F.format_string(page, _i(), day(_date())))
-
-
-@query(_found_sql(f"'文心 ' || doc_id AS title, 'https://cloud.baidu.com/news/news_' || doc_id AS url, {_CHINA} AS published, 'About ' || doc_id AS excerpt"))
+    """Banner and list of the router state in pages of six shapes: fields of other types and spellings, repeated addresses, foreign hosts, no list, broken JSON, a challenge."""
+    return _embedded(spark, sf, embedded.router_pages, "volcengine_doubao", "https://www.volcengine.com/n", _ROUTER_PAGES)
+
+
+def _listing(rows: str) -> str:
+    return '<script id="__NEXT_DATA__" type="x">{"props":{"pageProps":{"pageData":{"listData":{"result":' + rows + "}}}}}</script>"
+
+
+_LISTING_PAGES = [
+    _listing('[{"newsId":{n},"title":"文心 {n}","time":"{d}","abstract":"About {n}"},{"newsId":4,"title":"Cloud","time":"{d}"}]'),
+    _listing('[{"newsId":"{n}","title":"News {n}","time":"{d} 12:30:00","abstract":"","content":"on ERNIE"},{"newsId":{n},"title":"文心 twice","time":"{d}"},null,{"newsId":false,"title":"文心","time":"{d}"}]'),
+    _listing('[{"newsId":5,"title":"Plain","keywords":"千帆","time":"{d}","contentEtl":7,"content":"unseen"},{"newsId":6,"title":"文心 soon","time":"soon"},{"newsId":1.5,"title":"文心 half","time":"{d}"}]'),
+    _listing('"none"'),
+    "<html>no data</html>",
+]
+_LISTING_SQL = rf"""
+WITH p AS (SELECT doc_id, {_templates_sql(_LISTING_PAGES)} AS page FROM documents),
+j AS (SELECT doc_id, TRY_CAST(nullif(regexp_extract(page, '<script id="__NEXT_DATA__"[^>]*>(.*)</script>', 1), '') AS JSON) -> '$.props.pageProps.pageData.listData.result' AS s FROM p),
+ok AS (SELECT doc_id, s FROM j WHERE json_type(s) = 'ARRAY'),
+r AS (SELECT doc_id, i AS nr, s -> ('$[' || i || ']') AS e FROM (SELECT doc_id, s, unnest(range(0, json_array_length(s)::BIGINT)) AS i FROM ok)),
+f AS (SELECT doc_id, nr, e ->> '$.title' AS title, CASE WHEN json_type(e -> '$.newsId') IN ('VARCHAR', 'UBIGINT', 'BIGINT') THEN trim(e ->> '$.newsId') END AS number, e ->> '$.keywords' AS keywords,
+    coalesce(CASE WHEN coalesce(e ->> '$.abstract', '') <> '' THEN e ->> '$.abstract' WHEN (e -> '$.contentEtl') IS NOT NULL THEN CASE WHEN json_type(e -> '$.contentEtl') = 'VARCHAR' THEN e ->> '$.contentEtl' END ELSE e ->> '$.content' END, '') AS about,
+    TRY_CAST(e ->> '$.time' AS TIMESTAMP) - INTERVAL 8 HOURS AS t
+  FROM r WHERE json_type(e) = 'OBJECT'),
+g AS (SELECT *, row_number() OVER (PARTITION BY doc_id, number ORDER BY nr) AS n FROM f WHERE number IS NOT NULL AND t IS NOT NULL AND regexp_matches(concat_ws(' ', title, about, keywords), '文心|ERNIE|千帆'))
+SELECT row_number() OVER (PARTITION BY doc_id ORDER BY nr) - 1 AS pos, title, 'https://cloud.baidu.com/news/news_' || number AS url, strftime(t, '%Y-%m-%d %H:%M:%S') AS published, about AS excerpt, NULL AS error FROM g WHERE n = 1
+UNION ALL SELECT NULL, NULL, NULL, NULL, NULL, 'PageStructureError' FROM j WHERE doc_id NOT IN (SELECT doc_id FROM ok)"""
+
+
+@query(_LISTING_SQL)
 def listing_json_scan(spark, sf):
-    rows = '{"newsId":%1$d,"title":"文心 %1$d","time":"%2$s","abstract":"About %1$d"},{"newsId":4,"title":"Cloud","time":"%2$s"}'
-    page = '<script id="__NEXT_DATA__">{"props":{"pageProps":{"pageData":{"listData":{"result":[' + rows + "]}}}}}</script>"
-    return _scanned(spark, sf, "baidu_ernie", "https://cloud.baidu.com/n", F.format_string(page, _i(), day(_date())))
+    """A news list in pages of five shapes: ids and texts of other types, repeated addresses, bad times, no list, no data."""
+    return _embedded(spark, sf, embedded.listing_pages, "baidu_ernie", "https://cloud.baidu.com/n", _LISTING_PAGES)
 
 
 @query(

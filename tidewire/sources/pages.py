@@ -289,8 +289,12 @@ def entries_of(markup: str, adapter: str, base: str) -> list[Entry]:
 def scan_pages(pages: DataFrame, specs: DataFrame) -> DataFrame:
     """(source_id, pos, title, url, published_at, excerpt, error) of index pages (source_id, payload).
 
-    A page that cannot be read gives one row with the error and nothing else.
+    A page that cannot be read gives one row with the error and nothing else. Pages that carry their entries as JSON
+    are read by expressions (``embedded``), all others in an Arrow function.
     """
+    from tidewire.sources import embedded  # which takes its patterns from here
+
+    native = {"volcengine_doubao": embedded.router_pages, "baidu_ernie": embedded.listing_pages}
     d = pages.join(specs.where("kind = 'official_page'").select(F.col("id").alias("source_id"), "adapter", F.col("url").alias("base")), "source_id")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -304,8 +308,13 @@ def scan_pages(pages: DataFrame, specs: DataFrame) -> DataFrame:
                     out.append((source, None, None, None, None, None, type(error).__name__))
             yield pd.DataFrame(out, columns=["source_id", "pos", "title", "url", "at", "excerpt", "error"]).astype({"pos": "Int32", "at": "datetime64[us]"})
 
-    found = d.select("source_id", "payload", "adapter", "base").mapInPandas(run, "source_id string, pos int, title string, url string, at timestamp_ntz, excerpt string, error string")
-    return found.withColumn("published_at", F.to_timestamp(F.concat(F.date_format("at", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), F.lit("+00:00")))).drop("at")
+    rest = d.where(~F.col("adapter").isin(list(native)) | F.col("adapter").isNull())
+    found = rest.select("source_id", "payload", "adapter", "base").mapInPandas(run, "source_id string, pos int, title string, url string, at timestamp_ntz, excerpt string, error string")
+    found = found.withColumn("published_at", F.to_timestamp(F.concat(F.date_format("at", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), F.lit("+00:00")))).drop("at")
+    listed = specs.where("kind = 'official_page'").select("adapter").distinct().collect()  # no more than there are scanners
+    for adapter in sorted({r["adapter"] for r in listed} & native.keys()):
+        found = found.unionByName(native[adapter](d.where(F.col("adapter") == adapter), ADAPTERS[adapter][1]))
+    return found
 
 
 def page_items(entries: DataFrame, details: DataFrame, specs: DataFrame) -> DataFrame:
