@@ -1,8 +1,11 @@
 import json
 import random
+import re
 
 from pyspark.sql import functions as F
 
+from tidewire.functions.text import clean_text
+from tidewire.functions.urls import allowed_url
 from tidewire.sources import embedded, pages
 
 HOSTS = {"volcengine.com", "www.volcengine.com"}
@@ -46,25 +49,63 @@ def native(spark, markups, scan, base, hosts):
     return {tuple(r) for r in found.select("source_id", "pos", "title", "url", F.date_format("published_at", "yyyy-MM-dd HH:mm:ss"), "excerpt", "error").collect()}
 
 
-def plain(markups, adapter, base):
+def said(row, *names):
+    """The text under the first of these names that holds anything."""
+    held = [row[n] for n in names if row.get(n)]
+    return clean_text(held[0]) if held else ""
+
+
+def rows_of(markup, mark, path):
+    """All rows below a path of the JSON that starts at a mark, and what stands beside them; None where there is no such list."""
+    if pages.is_challenge(markup) or mark not in markup:
+        return None
+    try:
+        at = json.JSONDecoder().raw_decode(markup.split(mark, 1)[1].lstrip())[0]
+        for name in path[:-1]:
+            at = at[name]
+        return (at if path[0] == "loaderData" else {}), at[path[-1]] if path[-1] != "listOnlineArticle" else at[path[-1]]["List"]
+    except (KeyError, TypeError, ValueError):
+        return None
+
+
+def plain(markups, kind, base, hosts):
+    """The entries of pages by plain loops over parsed JSON."""
     out = set()
     for i, m in enumerate(markups):
-        try:
-            out |= {(str(i), n, t, u, f"{w:%Y-%m-%d %H:%M:%S}", e, None) for n, (t, u, w, e) in enumerate(pages.entries_of(m, adapter, base))}
-        except pages.PageStructureError as error:
-            out.add((str(i), None, None, None, None, None, type(error).__name__))
+        path = ["loaderData", "__ssr_without_user/news/page", "listOnlineArticle"] if kind == "router" else ["props", "pageProps", "pageData", "listData", "result"]
+        found = rows_of(m, "_ROUTER_DATA =" if kind == "router" else '"__NEXT_DATA__">', path)
+        if found is None or not isinstance(found[1], list):
+            out.add((str(i), None, None, None, None, None, "PageStructureError"))
+            continue
+        taken = set()
+        for r in [found[0].get("banner"), *found[1]]:
+            if not isinstance(r, dict):
+                continue
+            key = r.get("DocumentID" if kind == "router" else "newsId")
+            key = "" if isinstance(key, bool) or not isinstance(key, (str, int)) else str(key).strip()
+            if kind == "router":
+                title, about, when = said(r, "Title", "title"), said(r, *embedded.ROUTER_ABOUT), said(r, *embedded.ROUTER_TIME)
+                named = " ".join(clean_text(r.get(k)) for k in embedded.ROUTER_BRANDED)
+                link, brand = f"/news/detail/{key}" if key else next((r[k] for k in ("link", "Link") if r.get(k)), None), pages.ROUTER_BRAND
+            else:
+                title, about, when = clean_text(r.get("title")), said(r, *embedded.LISTING_ABOUT), clean_text(r.get("time"))
+                named, link, brand = f"{title} {about} {clean_text(r.get('keywords'))}", key and f"/news/news_{key}", pages.LISTING_BRAND
+            url, at = allowed_url(link, base, hosts), pages.zoned(when, pages.CHINA)
+            if title and url and at and re.search(brand, named) and url not in taken:
+                out.add((str(i), len(taken), title, url, f"{at:%Y-%m-%d %H:%M:%S}", about, None))
+                taken.add(url)
     return out
 
 
 def test_router_pages_of_any_shape(spark):
     made = some_pages("router")
-    assert native(spark, made, embedded.router_pages, BASE, HOSTS) == plain(made, "volcengine_doubao", BASE)
+    assert native(spark, made, embedded.router_pages, BASE, HOSTS) == plain(made, "router", BASE, HOSTS)
 
 
 def test_listing_pages_of_any_shape(spark):
     made = some_pages("listing", 121)
     base = "https://cloud.baidu.com/n"
-    assert native(spark, made, embedded.listing_pages, base, {"cloud.baidu.com"}) == plain(made, "baidu_ernie", base)
+    assert native(spark, made, embedded.listing_pages, base, {"cloud.baidu.com"}) == plain(made, "listing", base, {"cloud.baidu.com"})
 
 
 def test_through_the_dispatch(spark):

@@ -83,13 +83,12 @@ PAGES = {
 
 
 @pytest.mark.parametrize("adapter", PAGES)
-def test_page_scanners(adapter):
+def test_page_scanners(spark, adapter):
     base, markup, want = PAGES[adapter]
-    got = pages.entries_of(markup, adapter, base)
-    assert [(t, u, at.replace(tzinfo=None), e) for t, u, at, e in got] == want
-    for bad in ("<html><body>Please verify you are human</body></html>", "<p>nothing</p>"):
-        with pytest.raises(pages.PageStructureError):
-            pages.entries_of(bad, adapter, base)
+    bad = ("<html><body>Please verify you are human</body></html>", "<p>nothing</p>")
+    found = pages.scan_pages(payload(spark, *[("s", x) for x in (markup, *bad)]), spec(spark, ("s", "official_page", base, adapter, [], "primary"))).orderBy("pos").collect()
+    assert [(r.title, r.url, r.published_at, r.excerpt) for r in found if not r.error] == want
+    assert [r.error for r in found if r.error] == ["PageStructureError"] * 2
 
 
 def test_pages_to_items(spark):

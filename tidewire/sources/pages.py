@@ -208,73 +208,18 @@ def post_articles(markup: str, base: str, hosts: set[str]) -> list[Entry]:
     return _distinct(entry(c) for c in cards)
 
 
-def _identifier(value: object) -> str:
-    return str(value).strip() if isinstance(value, (str, int)) and not isinstance(value, bool) else ""
-
-
-def _pick(row: dict, *names: str) -> object:
-    return next((row[n] for n in names if row.get(n)), None)
-
-
-def router_json(markup: str, base: str, hosts: set[str]) -> list[Entry]:
-    """A banner and a list in the page's embedded router state."""
-    at = re.search(r"window\._ROUTER_DATA\s*=\s*", markup)
-    try:
-        state, _ = json.JSONDecoder().raw_decode(markup[at.end() :].lstrip())
-        page = state["loaderData"]["__ssr_without_user/news/page"]
-        rows = page["listOnlineArticle"]["List"]
-        if not isinstance(rows, list):
-            raise TypeError
-    except (AttributeError, KeyError, TypeError, ValueError):
-        raise PageStructureError("router data missing") from None
-    banner = page.get("banner")
-    rows = ([banner] if isinstance(banner, dict) and banner else []) + [r for r in rows if isinstance(r, dict)]
-
-    def entry(r: dict) -> Entry | None:
-        shown = ("Title", "title", "Summary", "summary", "Description", "description", "TagName", "tag", "CategoryCodeName", "category")
-        if not re.search(ROUTER_BRAND, " ".join(clean_text(r.get(k)) for k in shown)):
-            return None
-        number = _identifier(r.get("DocumentID"))
-        link = f"/news/detail/{number}" if number else _pick(r, "link", "Link")
-        about = clean_text(_pick(r, "Summary", "summary", "Description", "description"))
-        when = clean_text(_pick(r, "CreatedTime", "date", "Date", "UpdatedTime"))
-        return clean_text(_pick(r, "Title", "title")), allowed_url(link, base, hosts), zoned(when, CHINA), about
-
-    return _distinct(entry(r) for r in rows)
-
-
-def listing_json(markup: str, base: str, hosts: set[str]) -> list[Entry]:
-    """A news list in the page's embedded data script."""
-    script = next((s for s in parse(markup).all("script") if s.attrs.get("id") == "__NEXT_DATA__"), None)
-    try:
-        rows = json.loads(script.raw())["props"]["pageProps"]["pageData"]["listData"]["result"]
-        if not isinstance(rows, list):
-            raise TypeError
-    except (AttributeError, KeyError, TypeError, ValueError):
-        raise PageStructureError("listing data missing") from None
-
-    def entry(r: dict) -> Entry | None:
-        title, number = clean_text(r.get("title")), _identifier(r.get("newsId"))
-        about = clean_text(_pick(r, "abstract", "contentEtl", "content"))
-        if not number or not re.search(LISTING_BRAND, " ".join((title, about, clean_text(r.get("keywords"))))):
-            return None
-        return title, allowed_url(f"/news/news_{number}", base, hosts), zoned(clean_text(r.get("time")), CHINA), about
-
-    return _distinct(entry(r) for r in rows if isinstance(r, dict))
-
-
 Scanner = Callable[[str, str, set[str]], list[Entry]]
 
-# Adapter names of the manifest, with their scanner and hosts.
-ADAPTERS: dict[str, tuple[Scanner, set[str]]] = {
+# Adapter names of the manifest, with their scanner and hosts; those without one are read by ``embedded``.
+ADAPTERS: dict[str, tuple[Scanner | None, set[str]]] = {
     "anthropic_news": (link_cards, {"anthropic.com", "www.anthropic.com"}),
     "meta_ai_blog": (dated_links, {"ai.meta.com"}),
     "deepseek_news": (hero_cards, {"deepseek.com", "www.deepseek.com"}),
     "zhipu_releases": (update_blocks, {"docs.bigmodel.cn"}),
     "minimax_releases": (card_sections, {"minimaxi.com", "platform.minimaxi.com", "www.minimaxi.com"}),
     "tencent_hunyuan": (post_articles, {"tencent.com", "www.tencent.com"}),
-    "volcengine_doubao": (router_json, {"volcengine.com", "www.volcengine.com"}),
-    "baidu_ernie": (listing_json, {"cloud.baidu.com"}),
+    "volcengine_doubao": (None, {"volcengine.com", "www.volcengine.com"}),
+    "baidu_ernie": (None, {"cloud.baidu.com"}),
 }
 
 
