@@ -169,3 +169,14 @@ def test_two_writers(spark, tmp_path):
     with pytest.raises(Conflict):
         one.commit({"a": dated(spark, d1="mine")})
     assert held(two)[1] == "theirs"
+
+
+def test_a_roll_up_opens_as_many_folders_however_long_the_past(spark, tmp_path):
+    store = Snapshots(spark, str(tmp_path))
+    opened = []
+    for day in range(1, 13):
+        store.commit({"a": dated(spark, **{f"d{day}": f"row {day}"}).coalesce(1)})
+        last = store.recent("a", SHAPE, 7)
+        opened.append(len(last.inputFiles()))
+        assert {r.date.day for r in last.collect()} == set(range(max(1, day - 6), day + 1))
+    assert opened == [min(d, 7) for d in range(1, 13)] and store.recent("none", SHAPE, 7).isEmpty()

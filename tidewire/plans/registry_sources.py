@@ -526,6 +526,18 @@ def snapshot_commit(spark, sf):
     return store.read("run_records", T.StructType([T.StructField("date", T.DateType()), T.StructField("status", T.StringType()), T.StructField("sources", T.LongType())])).withColumn("date", day("date"))
 
 
+@query(SQL["source_status_7run"])
+def source_status_committed(spark, sf):
+    """The roll-up of the last seven run dates from committed runs: the folders of older days are not opened."""
+    runs = Stored(testbed.runs(spark, sf), "q-runs").df
+    store = Snapshots(spark, f"{own_dir(spark)}/snap-{uuid.uuid4().hex}")
+    store.commit({"source_runs": runs.where("day(date) % 2 = 0")})
+    store.commit({"source_runs": runs.where("day(date) % 2 = 1")})
+    last = store.recent("source_runs", runs.schema, readmodels.ROLL_UP_DATES)
+    d = readmodels.source_statuses(testbed.specs(spark, sf), last)
+    return d.select("source_id", "request_status", "item_count", stamp("latest_published_at").alias("latest"), "recent_count", "new_count", "candidate_count", "diagnostic_label")
+
+
 # --- checks of responses ----------------------------------------------------
 
 
