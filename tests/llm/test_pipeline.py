@@ -25,7 +25,7 @@ def test_stages_keep_columns_and_run(spark, sf):
 
 
 def test_registered():
-    assert sorted(registry.QUERIES) == sorted(f"op{n}_{x}" for n, x in enumerate(["pii", "simhash", "mixing", "licenses", "tokens", "language", "embeddings", "quality", "decontaminate", "lines"], 1))
+    assert sorted(registry.QUERIES) == sorted(f"op{n}_{x}" for n, x in enumerate(["pii", "simhash", "mixing", "licenses", "tokens", "language", "embeddings", "quality", "decontaminate", "lines", "pages", "spelling", "conversations"], 1))
 
 
 def fixture_rows():
