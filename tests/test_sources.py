@@ -148,3 +148,50 @@ def test_reports_against_their_index(spark):
     assert [r.date.day for r in tables.indexed_reports(reports, index).collect()] == [2, 1]
     got = sorted((r.date.day, r.code) for r in tables.index_violations(reports, index).collect())
     assert got == [(1, "duplicate_entry"), (2, "item_count"), (3, "missing_report")]
+
+
+WHEN = "<published>2026-07-25T10:00:00Z</published>"
+FEEDS = {  # payload -> (title, url, excerpt) of its entries
+    f"<a:feed xmlns:a='http://www.w3.org/2005/Atom'><a:entry><a:title>Pre &amp; <![CDATA[a <a:b> c]]></a:title><a:link href='https://x.example/1?p=1&amp;q=2'/>{WHEN.replace('<', '<a:').replace('<a:/', '</a:')}<a:summary type='html'>&lt;i&gt;One&lt;/i&gt;</a:summary></a:entry></a:feed>": [
+        ("Pre & a c", "https://x.example/1?p=1&q=2", "One")
+    ],
+    f"\ufeff\n<?xml version='1.0' encoding='utf-8'?><rss><channel><item><title>Cut</title><link><![CDATA[https://x.example/2]]></link>{WHEN}<description><![CDATA[<p>in </item> and </description> here</p>]]></description></item></channel></rss>": [
+        ("Cut", "https://x.example/2", "in and here")
+    ],
+    f"<feed><entry><title type='xhtml'><div>Rich <b>title</b></div></title><link rel='self' href='https://x.example/s'/><link rel='alternate' href='https://x.example/3'/>{WHEN}<content type='xhtml'><div xmlns='h'><p>Rich <i>text</i></p></div></content></entry></feed>": [
+        ("Rich title", "https://x.example/3", "Rich text")
+    ],
+    f"<rdf:RDF xmlns:rdf='r'><channel><title>C</title></channel><item><title> </title><title>First</title><title>Second</title><link>https://x.example/4</link>{WHEN}</item><item><title>None</title><link/></item></rdf:RDF>": [
+        ("First", "https://x.example/4", "")
+    ],
+    f"<rss><channel><item><title>Nb&nbsp;sp</title><link>https://x.example/5?a=1&amp;b=2</link>{WHEN}<description>&lt;b&gt;kept&lt;/b&gt;</description></item><item><title>open</channel>": [
+        ("Nb sp", "https://x.example/5?a=1&b=2", "kept")
+    ],
+    f"<rss><channel><item><title>Use &amp;lt;div&amp;gt;</title><link>https://x.example/6</link>{WHEN}</item><!-- <item><title>x</title></item> --></channel></rss>": [
+        ("Use <div>", "https://x.example/6", "")
+    ],
+    "<rss><channel><description><![CDATA[<item><title>x</title></item>]]></description></channel></rss>": [],
+    "": [],
+    "<": [],
+}
+
+
+def test_feeds_as_xml(spark):
+    s = spec(spark, *[(f"f{i}", "feed", "https://x.example", None, [], "primary") for i in range(len(FEEDS) + 1)])
+    rows = payload(spark, *[(f"f{i}", body) for i, body in enumerate(FEEDS)], (f"f{len(FEEDS)}", None))
+    got = {}
+    for r in feeds.parse_feeds(rows, s).collect():
+        got.setdefault(r.source_id, []).append((r.title, r.url, r.excerpt))
+    assert got == {f"f{i}": want for i, want in enumerate(FEEDS.values()) if want}
+    assert feeds.parse_feeds(rows.limit(0), s).count() == 0
+
+
+def test_leads_of_a_prefixed_feed(spark):
+    s = spec(spark, ("com", "reddit_rss", None, None, ["localai"], "discovery"))
+    import re
+
+    prefixed = re.sub(r"<(/?)(?=[a-z])", r"<\1n:", LEADS).replace("xmlns=", "xmlns:n=")
+    plain = [tuple(r) for r in feeds.parse_leads(payload(spark, ("com", LEADS)), s).collect()]
+    assert plain and [tuple(r) for r in feeds.parse_leads(payload(spark, ("com", prefixed)), s).collect()] == plain
+    broken = LEADS.replace("<entry>", "<entry><br>", 1)
+    assert [tuple(r) for r in feeds.parse_leads(payload(spark, ("com", broken)), s).collect()] == plain

@@ -291,11 +291,11 @@ def text_clean(spark, sf):
 
 
 @query(
-    f"""SELECT 'Doc ' || doc_id || CASE doc_id % 4 WHEN 0 THEN ' part & more' ELSE '' END AS title, 'https://f.example.com/' || doc_id AS url,
-  strftime({_DATE} + INTERVAL 8 HOURS, '%Y-%m-%d %H:%M:%S') AS published, CASE doc_id % 4 WHEN 3 THEN '' ELSE 'About ' || doc_id END AS excerpt FROM documents"""
+    f"""SELECT 'Doc ' || doc_id || CASE doc_id % 8 WHEN 0 THEN ' part & more' ELSE '' END AS title, 'https://f.example.com/' || doc_id AS url,
+  strftime({_DATE} + INTERVAL 8 HOURS, '%Y-%m-%d %H:%M:%S') AS published, CASE doc_id % 8 WHEN 3 THEN '' ELSE 'About ' || doc_id END AS excerpt FROM documents"""
 )
 def feed_markup_scan(spark, sf):
-    """Feeds with CDATA inside text, comments, entries taken from elsewhere, and self-closed elements."""
+    """Feeds with CDATA inside text, comments, borrowed entries, self-closed elements, a prefix, end tags inside CDATA, inline markup, and broken ones."""
     link = "<link>https://f.example.com/%1$d</link><pubDate>%2$s</pubDate>"
     atom = '<link href="https://f.example.com/%1$d"/><published>%2$s</published>'
     forms = [
@@ -303,10 +303,15 @@ def feed_markup_scan(spark, sf):
         "<!-- <item><title>Old</title>" + link + "</item> --><item><!-- <title>Old</title> --><title>Doc %1$d</title>" + link + "<description>About %1$d</description></item>",
         "<entry><source><title>Elsewhere</title><published>2020-01-01T00:00:00Z</published></source><title>Doc %1$d</title>" + atom + "<summary>About %1$d</summary></entry>",
         "<item/><item><title>Doc %1$d</title>" + link + "<description/><media:title>Picture</media:title></item>",
+        "<a:entry><a:title>Doc %1$d</a:title>" + atom.replace("</", "</a:").replace("<link", "<a:link").replace("<pub", "<a:pub") + "<a:summary>About &lt;i&gt;%1$d&lt;/i&gt;</a:summary></a:entry>",
+        "<item><title>Doc %1$d</title>" + link + "<description><![CDATA[About </item></description><b>%1$d</b>]]></description></item>",
+        '<entry><title type="xhtml"><div>Doc <b>%1$d</b></div></title>' + atom + '<content type="xhtml"><div>About <i>%1$d</i></div></content></entry>',
+        "<item><title>Doc&nbsp;%1$d</title>" + link + "<description>About &lt;b&gt;%1$d&lt;/b&gt;</description></item><item><title>Open",
     ]
+    roots = ["feed"] * 4 + ["a:feed", "feed", "feed", "feed"]
     at = F.concat(day(_date()), F.lit("T10:00:00+02:00"))
-    made = [F.format_string(f"<feed>{x}</feed>", _i(), at) for x in forms]
-    body = F.when(_i() % 4 == 0, made[0]).when(_i() % 4 == 1, made[1]).when(_i() % 4 == 2, made[2]).otherwise(made[3])
+    made = [F.format_string(f"<{r}>{x}</{r}>", _i(), at) for r, x in zip(roots, forms, strict=True)]
+    body = F.get(F.array(*made), (_i() % 8).cast("int"))
     d = feeds.parse_feeds(_documents(spark, sf).select(F.lit("feed").alias("source_id"), body.alias("payload")), _spec(spark, "feed", "feed", "https://f.example.com/"))
     return d.select("title", "url", stamp("published_at").alias("published"), "excerpt")
 

@@ -1,7 +1,7 @@
 """RSS and Atom feeds from staged payloads of (source_id, payload), wholly as expressions.
 
-Entries are cut out of the payload by tag and read field by field, so feeds of
-any number of sources are one scan. A bad entry is skipped and the rest kept.
+Payloads are parsed by Spark's XML functions, so feeds of any number of sources
+are one scan. A bad entry is skipped and the rest kept.
 """
 
 from pyspark.sql import Column, DataFrame
@@ -19,30 +19,84 @@ SHORTENERS = ["bit.ly", "buff.ly", "goo.gl", "ow.ly", "shorturl.at", "t.co", "ti
 MEDIA_FILE = r"(?i)\.(?:avif|gif|jpe?g|m4v|mov|mp4|png|webm|webp)$"
 
 
-def _tag(block: Column, name: str) -> Column:
-    """Content of the first element of a name that is not self-closed, without CDATA frames; null if there is none or it is blank."""
-    raw = F.regexp_extract(block, rf"(?s)<{name}(?:\s[^>]*)?(?<!/)>(.*?)</{name}\s*>", 1)
-    raw = F.regexp_replace(raw, r"(?s)<!\[CDATA\[(.*?)\]\]>", "$1")
-    return F.when(F.trim(raw) != "", raw)
+# The elements of an entry that are read, as texts.
+TEXTS = ["id", "title", "pubDate", "published", "dc:date", "updated", "created", "description", "summary", "content:encoded", "content"]
+_ENTRY = "struct<" + ",".join(f"`{t}`:array<string>" for t in TEXTS)
+_ENTRY += ",link:array<struct<_VALUE:string,_href:string,_rel:string>>,category:array<struct<_term:string>>>"
+_FEED = f"struct<channel:array<struct<item:array<{_ENTRY}>>>,item:array<{_ENTRY}>,entry:array<{_ENTRY}>,_broken:string>"
 
 
-def _link(block: Column) -> Column:
-    """RSS link text, or the alternate (or first) Atom link's address."""
-    alternate = F.regexp_extract(block, r"(?s)<link\b(?=[^>]*\brel=[\"']alternate[\"'])[^>]*\bhref=[\"']([^\"']+)[\"']", 1)
-    first = F.regexp_extract(block, r"(?s)<link\b[^>]*\bhref=[\"']([^\"']+)[\"']", 1)
-    found = F.coalesce(_tag(block, "link"), F.when(alternate != "", alternate), F.when(first != "", first))
-    return F.replace(found, F.lit("&amp;"), F.lit("&"))
+def _unprefixed(payload: Column) -> Column:
+    """The payload without what stands before its first tag; the prefix of a prefixed root goes from all tags outside CDATA."""
+    payload = F.regexp_replace(payload, r"^[\s\uFEFF]+", "")
+    prefix = F.regexp_extract(payload, r"^(?:<\?[^>]*>\s*|<!--(?s:.*?)-->\s*|<!DOCTYPE[^>]*>\s*)*<([A-Za-z_][\w.-]*):(?:feed|rss)\b", 1)
+    tags = F.concat(F.lit(r"(<!\[CDATA\[(?s:.*?)\]\]>)|(</?)"), prefix, F.lit(":"))
+    return F.when(prefix == "", payload).otherwise(F.regexp_replace(payload, tags, F.lit("$1$2")))
+
+
+def _loose(payload: Column) -> Column:
+    """Entries of a payload that is no well-formed XML, cut out by tag and read field by field."""
+    plain = F.regexp_replace(payload, r"(?s)<!--.*?-->|(<!\[CDATA\[.*?\]\]>)", "$1")
+    blocks = F.regexp_extract_all(plain, F.lit(r"(?s)<(?:item|entry)(?:\s[^>]*)?(?<!/)>.*?</(?:item|entry)\s*>"), F.lit(0))
+    own = F.transform(blocks, lambda b: F.regexp_replace(b, r"(?s)<source\b[^>]*(?<!/)>.*?</source\s*>", ""))
+
+    def values(block: Column, tag: str) -> Column:
+        found = F.regexp_extract_all(block, F.lit(rf"(?s)<{tag}(?:\s[^>]*)?(?<!/)>(.*?)</{tag}\s*>"), F.lit(1))
+        framed = lambda v: F.regexp_replace(v, r"(?s)<!\[CDATA\[(.*?)\]\]>", "$1")
+        return F.transform(found, lambda v: F.when(v.contains("<![CDATA["), framed(v)).otherwise(_decoded(v)))
+
+    def attribute(element: Column, name: str) -> Column:
+        found = F.regexp_extract(element, rf"(?s)^[^>]*\s{name}\s*=\s*[\"']([^\"']*)[\"']", 1)
+        return F.when(found != "", _decoded(found))
+
+    def entry(block: Column) -> Column:
+        texts = F.transform(values(block, "link"), lambda v: F.struct(v.alias("_VALUE"), F.lit(None).cast("string").alias("_href"), F.lit(None).cast("string").alias("_rel")))
+        tags = lambda tag: F.regexp_extract_all(block, F.lit(rf"(?s)<{tag}\s[^>]*>"), F.lit(0))
+        links = F.transform(tags("link"), lambda t: F.struct(F.lit(None).cast("string").alias("_VALUE"), attribute(t, "href").alias("_href"), attribute(t, "rel").alias("_rel")))
+        terms = F.transform(tags("category"), lambda t: F.struct(attribute(t, "term").alias("_term")))
+        return F.struct(*[values(block, t).alias(t) for t in TEXTS], F.concat(texts, links).alias("link"), terms.alias("category"))
+
+    return F.transform(own, entry)
+
+
+def _decoded(value: Column) -> Column:
+    for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&#39;", "'"), ("&#32;", " "), ("&amp;", "&")):
+        value = F.replace(value, F.lit(entity), F.lit(char))
+    return value
 
 
 def entries(payloads: DataFrame) -> DataFrame:
-    """(source_id, pos, block) of every RSS item and Atom entry, in order.
+    """(source_id, pos, e) of every RSS item and Atom entry, in order; ``e`` holds its elements by name.
 
-    Comments outside CDATA go, and so does what an entry says of the feed that it was taken from.
+    Payloads are parsed as XML. One that is not well-formed is searched for its
+    entries tag by tag instead, so that what can be read of it is not lost.
     """
-    plain = F.regexp_replace("payload", r"(?s)<!--.*?-->|(<!\[CDATA\[.*?\]\]>)", "$1")
-    blocks = F.regexp_extract_all(plain, F.lit(r"(?s)<(?:item|entry)(?:\s[^>]*)?(?<!/)>.*?</(?:item|entry)\s*>"), F.lit(0))
-    own = F.transform(blocks, lambda b: F.regexp_replace(b, r"(?s)<source\b[^>]*(?<!/)>.*?</source\s*>", ""))
-    return payloads.select("source_id", F.posexplode(own).alias("pos", "block"))
+    parsed = F.from_xml("_payload", _FEED, {"columnNameOfCorruptRecord": "_broken", "mode": "PERMISSIVE"})
+    d = payloads.select("source_id", _unprefixed(F.col("payload")).alias("_payload")).select("source_id", "_payload", parsed.alias("_x"))
+    none = F.array().cast(f"array<{_ENTRY}>")
+    items = F.flatten(F.transform(F.col("_x.channel"), lambda c: F.coalesce(c["item"], none)))
+    strict = F.concat(*[F.coalesce(c, none) for c in (items, F.col("_x.item"), F.col("_x.entry"))])
+    found = F.when(F.col("_x._broken").isNotNull(), _loose(F.col("_payload")).cast(f"array<{_ENTRY}>")).otherwise(strict)
+    return d.select("source_id", F.posexplode(found).alias("pos", "e"))
+
+
+def _value(*tags: str) -> Column:
+    """The first of an entry's elements of these names, in this order, that is not blank."""
+    return F.coalesce(*[F.get(F.filter(F.col("e")[t], lambda v: F.trim(v) != ""), 0) for t in tags])
+
+
+def _markup(*tags: str) -> Column:
+    """Like ``_value``, escaped once, as the cleaning functions expect it."""
+    return F.replace(F.replace(_value(*tags), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
+
+
+def _link() -> Column:
+    """RSS link text, or the alternate (or first) Atom link's address."""
+    first = lambda found, field: F.get(F.transform(found, lambda k: k[field]), 0)
+    links = F.col("e.link")
+    text_ = F.filter(links, lambda k: F.trim(k["_VALUE"]) != "")
+    addressed = F.filter(links, lambda k: F.trim(k["_href"]) != "")
+    return F.coalesce(first(text_, "_VALUE"), first(F.filter(addressed, lambda k: k["_rel"] == "alternate"), "_href"), first(addressed, "_href"))
 
 
 def _https(url: Column) -> Column:
@@ -65,11 +119,9 @@ def with_source(rows: DataFrame, specs: DataFrame) -> DataFrame:
 
 def parse_feeds(payloads: DataFrame, specs: DataFrame) -> DataFrame:
     """Raw items of RSS and Atom payloads; entries need a title, an https link and a zoned time."""
-    b = F.col("block")
-    when = F.coalesce(*[_tag(b, t) for t in ("pubDate", "published", "dc:date", "updated", "created")])
-    about = F.coalesce(*[_tag(b, t) for t in ("description", "summary", "content:encoded", "content")])
+    when, about = _value("pubDate", "published", "dc:date", "updated", "created"), _markup("description", "summary", "content:encoded", "content")
     d = entries(payloads).select(
-        "source_id", text.clean_text_udf(_tag(b, "title")).alias("title"), _https(_link(b)).alias("url"), times.feed_timestamp(when).alias("published_at"),
+        "source_id", text.clean_text_udf(_markup("title")).alias("title"), _https(_link()).alias("url"), times.feed_timestamp(when).alias("published_at"),
         text.clean_text_udf(about).alias("excerpt"),
     )
     return with_source(d.where("title <> '' and url is not null and published_at is not null"), specs)
@@ -77,10 +129,9 @@ def parse_feeds(payloads: DataFrame, specs: DataFrame) -> DataFrame:
 
 def parse_preprints(payloads: DataFrame, specs: DataFrame) -> DataFrame:
     """Like ``parse_feeds`` for preprint listings: ISO times only, markup cleaned to the depth."""
-    b = F.col("block")
     d = entries(payloads).select(
-        "source_id", text.clean_markup_udf(_tag(b, "title")).alias("title"), _https(_link(b)).alias("url"), times.strict_timestamp(_tag(b, "published")).alias("published_at"),
-        text.clean_markup_udf(_tag(b, "summary")).alias("excerpt"),
+        "source_id", text.clean_markup_udf(_markup("title")).alias("title"), _https(_link()).alias("url"), times.strict_timestamp(_value("published")).alias("published_at"),
+        text.clean_markup_udf(_markup("summary")).alias("excerpt"),
     )
     return with_source(d.where("title <> '' and url is not null and published_at is not null"), specs)
 
@@ -94,20 +145,18 @@ def parse_leads(payloads: DataFrame, specs: DataFrame) -> DataFrame:
 
     A payload that is no Atom feed raises. Rows: source_id, pos, community, post_id, title, external_url, posted_at.
     """
-    checked = payloads.withColumn("payload", F.when(F.col("payload").rlike(r"(?s)<feed\b[^>]*Atom"), F.col("payload")).otherwise(F.raise_error(F.lit("not an Atom feed"))))
+    feed = F.col("payload").rlike(r"(?s)<(?:[A-Za-z_][\w.-]*:)?feed\b[^>]*Atom")
+    checked = payloads.withColumn("payload", F.when(feed, F.col("payload")).otherwise(F.raise_error(F.lit("not an Atom feed"))))
     d = entries(checked).where(F.col("pos") < MAX_LEADS).join(specs.select(F.col("id").alias("source_id"), "communities"), "source_id")
-    b = F.col("block")
-    title = text.clean_text_udf(_tag(b, "title"))
-    markup = F.coalesce(_tag(b, "content"), _tag(b, "summary"))
-    for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&#32;", " "), ("&amp;", "&")):
-        markup = F.replace(markup, F.lit(entity), F.lit(char))
-    url = F.replace(F.regexp_extract(markup, r"(?is)<a\b[^>]*\bhref=[\"']([^\"']+)[\"'][^>]*>\s*\[link\]\s*</a>", 1), F.lit("&amp;"), F.lit("&"))
-    terms = F.regexp_extract_all(b, F.lit(r"(?s)<category\b[^>]*\bterm=[\"']([^\"']+)[\"']"), F.lit(1))
-    linked = F.regexp_extract(_link(b), r"/r/([A-Za-z0-9_]{2,21})(?:/|$)", 1)
+    title = text.clean_text_udf(_markup("title"))
+    anchor = F.regexp_extract(_value("content", "summary"), r"(?is)<a\b[^>]*\bhref=[\"']([^\"']+)[\"'][^>]*>\s*\[link\]\s*</a>", 1)
+    url = F.replace(anchor, F.lit("&amp;"), F.lit("&"))
+    terms = F.coalesce(F.filter(F.col("e.category._term"), lambda t: t.isNotNull()), F.array().cast("array<string>"))
+    linked = F.regexp_extract(F.coalesce(_link(), F.lit("")), r"/r/([A-Za-z0-9_]{2,21})(?:/|$)", 1)
     names = F.transform(F.concat(terms, F.array(linked)), lambda x: F.lower(x))
     community = F.get(F.flatten(F.transform(names, lambda n: F.filter("communities", lambda c: F.lower(c) == n))), 0)
-    posted = times.feed_timestamp(F.coalesce(_tag(b, "published"), _tag(b, "updated")))
-    d = d.select("source_id", "pos", community.alias("community"), F.trim(_tag(b, "id")).alias("post_id"), title.alias("title"), url.alias("external_url"), posted.alias("posted_at"))
+    posted = times.feed_timestamp(_value("published", "updated"))
+    d = d.select("source_id", "pos", community.alias("community"), F.trim(_value("id")).alias("post_id"), title.alias("title"), url.alias("external_url"), posted.alias("posted_at"))
     host, path = urls.host(F.col("external_url")), F.regexp_extract("external_url", r"^[^:]+://[^/?#]*([^?#]*)", 1)
     ok = F.col("external_url").rlike(r"^https://[^/@\s]+(?:/|\?|#|$)") & _outside(host) & ~path.rlike(MEDIA_FILE) & ~F.col("external_url").rlike(r"^https://[^/?#]*:(?!443(?:[/?#]|$))")
     d = d.where("title <> '' and post_id is not null and community is not null and posted_at is not null").where(ok)
