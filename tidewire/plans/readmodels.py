@@ -182,17 +182,22 @@ def search_order(entries: DataFrame) -> DataFrame:
 
 
 def search(
-    entries: DataFrame, query: str = "", channel_: str = "", source: str = "", start: str = "", end: str = "", recent_window: bool = True, ascii_only: bool = False
-) -> DataFrame:
-    """Search entries that hold a text, in a channel, of a source, between two days; newest first."""
-    fold = (lambda *c: F.lower(F.trim(F.concat_ws("\n", *c)))) if ascii_only else texts.search_text
-    norm = lambda v: _norm(v)
+    entries: DataFrame, query: str = "", channel_: str = "", source: str = "", start: str = "", end: str = "", recent_window: bool = True, ascii_only: bool = False,
+    among: DataFrame | None = None,
+) -> DataFrame:
+    """Search entries that hold a text, in a channel, of a source, between two days; newest first.
+
+    ``among`` has the columns of the entries' key, (slot, id), and names the only entries to look at.
+    """
+    fold, norm = _folding(ascii_only), folded_query
     d = entries
     if not start and not end and recent_window:
         latest = entries.agg(F.max(F.to_date("report_date")).alias("_latest"))
         d = d.join(F.broadcast(latest)).where(F.col("report_date") >= F.date_format(F.date_sub("_latest", RECENT_DAYS - 1), "yyyy-MM-dd")).drop("_latest")
+    if among is not None:
+        d = d.join(among, among.columns, "left_semi")
     if norm(query):
-        d = d.where(fold(F.col("title"), F.col("summary"), F.col("why_it_matters"), F.col("source"), F.array_join("tags", "\n")).contains(norm(query)))
+        d = d.where(searched_text(ascii_only).contains(norm(query)))
     if norm(channel_):
         d = d.where(fold(F.col("display_category")) == norm(channel_))
     if norm(source):
@@ -209,7 +214,16 @@ def result_order() -> list[Column]:
     return [F.to_timestamp("published_at").desc(), F.col("id").asc()]
 
 
-def _norm(value: object) -> str:
+def _folding(ascii_only: bool):
+    return (lambda *c: F.lower(F.trim(F.concat_ws("\n", *c)))) if ascii_only else texts.search_text
+
+
+def searched_text(ascii_only: bool = False) -> Column:
+    """The folded text of an entry that searches look in."""
+    return _folding(ascii_only)(F.col("title"), F.col("summary"), F.col("why_it_matters"), F.col("source"), F.array_join("tags", "\n"))
+
+
+def folded_query(value: object) -> str:
     import unicodedata
 
     return unicodedata.normalize("NFKC", str(value or "")).strip().lower()

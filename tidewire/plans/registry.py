@@ -1,5 +1,6 @@
 """All registered queries outside the corpus operators, with their SQL."""
 
+import uuid
 from functools import wraps
 
 from pyspark.sql import Window
@@ -9,7 +10,7 @@ from tidewire import schema
 from tidewire.functions import rules, text, times, urls
 from tidewire.operators import dedupe, funnel, graph, ranking
 from tidewire.operators.domains import matches
-from tidewire.plans import analysis, integrity, readmodels, sinks, testbed
+from tidewire.plans import analysis, integrity, materialize, readmodels, searchindex, sinks, testbed
 from tidewire.plans.testbed import CAND_SQL, HISTORY_SQL, NOW, RAW_SQL, RUN_DATE, SCORE_SQL, ranked_sql
 from tidewire.sources import feeds, pages
 from tidewire.streaming.dedupe import windowed_counts
@@ -516,6 +517,18 @@ def search_query(spark, sf):
     return readmodels.search(index, query=" MARY 1", channel_="agent", ascii_only=True).select("id", "title", "report_date")
 
 
+@query(
+    f"""WITH {_PUB}, f AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY report_date DESC) AS r FROM pub WHERE channel IS NOT NULL AND report_date >= (SELECT max(report_date) FROM pub) - 180),
+x AS (SELECT * FROM f WHERE r = 1)
+SELECT id, title, report_date::VARCHAR AS report_date FROM x WHERE channel = 'agent' AND contains(lower(title || E'\\n' || summary || E'\\n' || why), 'mary 1')"""
+)
+def search_postings(spark, sf):
+    """The same search over all days, through stored trigram postings."""
+    where = f"{materialize.own_dir(spark)}/search-{uuid.uuid4().hex}"
+    searchindex.write(readmodels.search_index(testbed.items(spark, sf)), where, buckets=16, ascii_only=True)
+    return searchindex.search(spark, where, " MARY 1", channel_="agent", recent_window=False).select("id", "title", "report_date")
+
+
 @query(
     f"""WITH {_PUB}, f AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY report_date DESC) AS r FROM pub WHERE channel IS NOT NULL AND report_date >= (SELECT max(report_date) FROM pub) - 180)
 SELECT id, report_date::VARCHAR AS report_date, row_number() OVER (ORDER BY published_at DESC, id) AS place FROM f
