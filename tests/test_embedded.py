@@ -114,3 +114,55 @@ def test_through_the_dispatch(spark):
     staged = spark.createDataFrame([("v", router([{"Title": "ARK", "DocumentID": 1, "CreatedTime": "2026-07-01"}])), ("b", listing([{"title": "文心", "newsId": 2, "time": "2026-07-01"}])), ("z", update), ("b", "none")], "source_id string, payload string")
     got = {(r.source_id, r.url, r.error) for r in pages.scan_pages(staged, specs).collect()}
     assert got == {("v", "https://www.volcengine.com/news/detail/1", None), ("b", "https://cloud.baidu.com/news/news_2", None), ("z", "https://docs.bigmodel.cn/a", None), ("b", None, "PageStructureError")}
+
+
+def text_entries(markup, kind, base, hosts):
+    """The entries of a text page by plain loops; None where it has another structure."""
+    parts = re.split(r"(?m)^##\s+(.+?)\s*$", markup)
+    name = "Update" if kind == "update" else "Card"
+    blocks = lambda text: re.findall(rf"(?is)<{name}\b([^>]*)>(.*?)</{name}>", text)
+    if pages.is_challenge(markup) or not blocks(markup) or (kind == "card" and len(parts) < 3):
+        return None
+    dated = [(None, b) for b in blocks(markup)]
+    if kind == "card":
+        dates = [re.fullmatch(pages.CJK_DATE, h.strip()) for h in parts[1::2]]
+        dated = [("-".join(d.groups()), b) for d, text in zip(dates, parts[2::2], strict=True) if d for b in blocks(text)]
+    out = {}
+    for date, (attributes, body) in dated:
+        a = dict(re.findall(r'([A-Za-z][A-Za-z0-9_-]*)="([^"]*)"', attributes))
+        if kind == "update":
+            title, link, date, named = clean_text(a.get("description", "")), re.search(r"\[[^]]+]\((https://[^)]+)\)", body), a.get("label", ""), pages.UPDATE_TITLE
+            link = link[1] if link else None
+            about = re.sub(r"(?m)^\s*[-+]\s*", "", re.sub(r"[*_`#>💬]", " ", re.sub(r"\[([^]]+)]\(https://[^)]+\)", r"\1", body)))
+        else:
+            title, link, named = clean_text(a.get("title", "")), a.get("href"), pages.CARD_TITLE
+            about = re.sub(r"[*_`#>]", " ", re.sub(r"\[([^]]+)]\([^)]+\)", r"\1", body))
+        url, at = allowed_url(link, base, hosts), pages.zoned(date, pages.CHINA)
+        if title and re.search(named, title) and url and at:
+            out.setdefault(url, (title, url, f"{at:%Y-%m-%d %H:%M:%S}", clean_text(about)))
+    return list(out.values())
+
+
+def test_text_pages_of_any_shape(spark):
+    rng = random.Random(8)
+    titles = ["GLM 5", "新模型 &amp; more", "Office", "MiniMax M9", "H2 &lt;b&gt;x&lt;/b&gt;", "", "agent beta"]
+    links = ["https://docs.bigmodel.cn/a#x", "https://docs.bigmodel.cn/a?b=1", "https://other.example/", "/m/1", "/m/2#y", "http://docs.bigmodel.cn/p", "//docs.bigmodel.cn/q", "https://u@docs.bigmodel.cn/"]
+    labels = ["2026-07-24", "July 4, 2026", "2026-07-24T10:00:00Z", "2026-07-24 08:30", "soon", ""]
+    bodies = ["\n- **Text** [doc]({l}) more\n+ and [two](/y)\n", "`x` [a]({l}) &lt;i&gt;q&lt;/i&gt; <b>bold</b> 💬 > z", "no link", "# Head\n\n  - [k]({l})", ""]
+    heads = ["## 2026 年 7 月 24 日", "## 2026年7月2日  ", "## 2026 年 7 月", "##\n2026 年 1 月 3 日", "### 2026 年 7 月 1 日", "text"]
+    updates, cards = [], []
+    for _ in range(300):
+        u, c = [], []
+        for _ in range(rng.choice([0, 4, 8, 12])):
+            title, link, body = rng.choice(titles), rng.choice(links[:2] * 3 + links[2:]).replace('/a', f'/a{rng.randrange(4)}'), rng.choice(bodies)
+            u.append(f'''<{rng.choice(["Update", "update"])} {rng.choice(["", 'x=1 data-label="no" '])}label="{rng.choice(labels)}" description="{title}">{body.replace("{l}", link)}</Update>''')
+            c.append(rng.choice(heads) + f'''\n<Card title="{title}" {rng.choice(["", 'title="H7" '])}href="{link}">{body.replace("{l}", link)}</Card>''' * rng.randrange(3))
+        updates.append(rng.choice(["", "intro\n"]) + "\n".join(u) + rng.choice(["", "", "", "", "", "\n<Update label=", "captcha"]))
+        cards.append("\n".join(c) + rng.choice(["", "\n## tail", "\n<Card title="]))
+    for kind, markups, scan in (("update", updates, embedded.update_pages), ("card", cards, embedded.card_pages)):
+        want = set()
+        for i, m in enumerate(markups):
+            found = text_entries(m, kind, "https://docs.bigmodel.cn/x", {"docs.bigmodel.cn"})
+            want |= {(str(i), None, None, None, None, None, "PageStructureError")} if found is None else {(str(i), n, *e, None) for n, e in enumerate(found)}
+        assert len([w for w in want if w[2]]) > 100 and len([w for w in want if w[6]]) > 20
+        assert native(spark, markups, scan, "https://docs.bigmodel.cn/x", {"docs.bigmodel.cn"}) == want

@@ -1,10 +1,11 @@
-"""Index pages that carry their entries as JSON in a script, read as VARIANT without leaving the JVM.
+"""Index pages that carry their entries as JSON in a script or as components of a Markdown text, read without leaving the JVM.
 
-Fields of such pages change case, type and presence, so nothing is declared: a field is taken by
-path from whatever the page holds, and counts as text only where it is a string. A page whose JSON
-is missing, broken or of another structure gives one row with an error, as the other scanners do.
+Fields of JSON pages change case, type and presence, so nothing is declared: a field is taken as VARIANT by
+path from whatever the page holds, and counts as text only where it is a string. A page whose JSON or
+components are missing, broken or of another structure gives one row with an error, as the other scanners do.
 
-Times are ISO dates or times with or without a zone, also with slashes or a space; others make no entry.
+Times are ISO dates or times with or without a zone, also with slashes or a space, and dates with the English name of a month;
+others make no entry. Links are addresses or paths from the site's root.
 """
 
 from pyspark.sql import Column, DataFrame
@@ -22,7 +23,13 @@ ROUTER_BRANDED = ["Title", "title", "Summary", "summary", "Description", "descri
 ROUTER_ABOUT, ROUTER_TIME, ROUTER_LINK = ["Summary", "summary", "Description", "description"], ["CreatedTime", "date", "Date", "UpdatedTime"], ["link", "Link"]
 LISTING_ABOUT = ["abstract", "contentEtl", "content"]
 ENTITIES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&nbsp;", " ")]
-TIME_FORMATS = ["yyyy-M-d", "yyyy-M-d H:m:s", "yyyy-M-d H:m", "yyyy/M/d", "yyyy/M/d H:m:s", "yyyy/M/d H:m", "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd'T'HH:mm", "yyyy-MM-dd'T'HH:mm:ss.SSS"]
+TIME_FORMATS = ["yyyy-M-d", "yyyy-M-d H:m:s", "yyyy-M-d H:m", "yyyy/M/d", "yyyy/M/d H:m:s", "yyyy/M/d H:m", "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd'T'HH:mm", "yyyy-MM-dd'T'HH:mm:ss.SSS", "MMMM d, yyyy", "MMM d, yyyy", "d MMMM yyyy", "d MMM yyyy"]
+# Components of the text pages, their attributes, links, list marks and headings.
+UPDATE, CARD = r"(?is)<Update\b[^>]*>.*?</Update>", r"(?is)<Card\b[^>]*>.*?</Card>"
+ATTRIBUTE = r'([A-Za-z][A-Za-z0-9_-]*)="([^"]*)"'
+WEB_LINK, ANY_LINK = r"\[([^\]]+)\]\((https://[^)]+)\)", r"\[([^\]]+)\]\(([^)]+)\)"
+UPDATE_MARKS, CARD_MARKS, BULLET = r"[*_`#>💬]", r"[*_`#>]", r"(?mdU)^\s*[-+]\s*"
+HEADING = r"(?mdU)^##\s+(.+?)\s*$"
 
 
 def _decoded(text: Column) -> Column:
@@ -86,9 +93,9 @@ def _allowed(link: Column, base: Column, hosts: set[str]) -> Column:
     return F.when(host.isin(sorted(hosts)), F.concat(F.lit("https://"), F.lower(at), F.when(path == "", "/").otherwise(path), F.regexp_replace(rest, r"^[^?]*", "")))
 
 
-def _scanned(staged: DataFrame, json: Column, rows_of, entry_of) -> DataFrame:
+def _scanned(staged: DataFrame, state: Column, rows_of, entry_of) -> DataFrame:
     """Entries in page order, each address once, or one row with the error of a page; nothing is shuffled."""
-    d = staged.select("source_id", "payload", "base", F.try_parse_json(json).alias("state")).withColumn("rows", rows_of(F.col("state")))
+    d = staged.select("source_id", "payload", "base", state.alias("state")).withColumn("rows", rows_of(F.col("state")))
     wrong = F.col("rows").isNull() | F.coalesce(pages.challenge(F.col("payload")), F.lit(True))
     made = F.filter(F.transform("rows", lambda row: F.struct(*entry_of(row, F.col("base")))), lambda e: (e["title"] != "") & e["url"].isNotNull() & e["published_at"].isNotNull())
     # arrays of one bind the entries and their addresses once
@@ -118,7 +125,7 @@ def router_pages(staged: DataFrame, hosts: set[str]) -> DataFrame:
         when = _zoned(_clean(_first(row, ROUTER_TIME)), pages.CHINA)
         return [F.when(branded, title).alias("title"), _allowed(link, base, hosts).alias("url"), when.alias("published_at"), _clean(_first(row, ROUTER_ABOUT)).alias("excerpt")]
 
-    return _scanned(staged, F.regexp_extract("payload", ROUTER_MARK, 1), rows, entry)
+    return _scanned(staged, F.try_parse_json(F.regexp_extract("payload", ROUTER_MARK, 1)), rows, entry)
 
 
 def listing_pages(staged: DataFrame, hosts: set[str]) -> DataFrame:
@@ -133,4 +140,49 @@ def listing_pages(staged: DataFrame, hosts: set[str]) -> DataFrame:
         url = _allowed(F.concat(F.lit("/news/news_"), number), base, hosts)
         return [F.when(branded, title).alias("title"), url.alias("url"), _zoned(_clean(_text(row, "time")), pages.CHINA).alias("published_at"), about.alias("excerpt")]
 
-    return _scanned(staged, F.regexp_extract("payload", LISTING_MARK, 1), rows, entry)
+    return _scanned(staged, F.try_parse_json(F.regexp_extract("payload", LISTING_MARK, 1)), rows, entry)
+
+
+def _attribute(component: Column, name: str) -> Column:
+    """An attribute of a component's tag; the last one if it is repeated."""
+    tag = F.regexp_extract(component, r"(?s)^<[A-Za-z]+([^>]*)>", 1)
+    names = F.regexp_extract_all(tag, F.lit(ATTRIBUTE), F.lit(1))
+    return F.try_element_at(F.filter(F.regexp_extract_all(tag, F.lit(ATTRIBUTE), F.lit(2)), lambda v, i: F.get(names, i) == name), F.lit(-1))
+
+
+def _body(component: Column) -> Column:
+    return F.regexp_extract(component, r"(?s)^<[^>]*>(.*)</[A-Za-z]+>$", 1)
+
+
+def update_pages(staged: DataFrame, hosts: set[str]) -> DataFrame:
+    """``<Update label=date description=title>`` components that name a release and link to it."""
+
+    def rows(page: Column) -> Column:
+        found = F.regexp_extract_all(page, F.lit(UPDATE), F.lit(0))
+        return F.when(F.size(found) > 0, found)
+
+    def entry(row: Column, base: Column) -> list[Column]:
+        title, body = _clean(_attribute(row, "description")), _body(row)
+        plain = F.regexp_replace(F.regexp_replace(F.regexp_replace(body, WEB_LINK, "$1"), UPDATE_MARKS, " "), BULLET, "")
+        link, when = F.regexp_extract(body, WEB_LINK, 2), _zoned(F.trim(_attribute(row, "label")), pages.CHINA)
+        return [F.when(title.rlike(pages.UPDATE_TITLE), title).alias("title"), _allowed(link, base, hosts).alias("url"), when.alias("published_at"), _clean(plain).alias("excerpt")]
+
+    return _scanned(staged, F.col("payload"), rows, entry)
+
+
+def card_pages(staged: DataFrame, hosts: set[str]) -> DataFrame:
+    """``<Card title href>`` components below headings that are full dates."""
+
+    def rows(page: Column) -> Column:
+        headings, sections = F.regexp_extract_all(page, F.lit(HEADING), F.lit(1)), F.split(page, HEADING, -1)
+        dates = F.transform(headings, lambda h: F.regexp_replace(F.regexp_extract(h, rf"^\s*{pages.CJK_DATE}\s*$", 0), rf"^\s*{pages.CJK_DATE}\s*$", "$1-$2-$3"))
+        cards = F.transform(dates, lambda d, i: F.transform(F.when(d != "", F.regexp_extract_all(F.get(sections, i + 1), F.lit(CARD), F.lit(0))), lambda c: F.struct(d.alias("date"), c.alias("card"))))
+        return F.when((F.size(headings) > 0) & page.rlike(CARD), F.flatten(F.filter(cards, lambda c: c.isNotNull())))
+
+    def entry(row: Column, base: Column) -> list[Column]:
+        title = _clean(_attribute(row["card"], "title"))
+        about = _clean(F.regexp_replace(F.regexp_replace(_body(row["card"]), ANY_LINK, "$1"), CARD_MARKS, " "))
+        url = _allowed(_attribute(row["card"], "href"), base, hosts)
+        return [F.when(title.rlike(pages.CARD_TITLE), title).alias("title"), url.alias("url"), _zoned(row["date"], pages.CHINA).alias("published_at"), about.alias("excerpt")]
+
+    return _scanned(staged, F.col("payload"), rows, entry)

@@ -145,50 +145,6 @@ def hero_cards(markup: str, base: str, hosts: set[str]) -> list[Entry]:
     return _distinct(entry(c) for c in cards)
 
 
-def _marks(text: str, bullets: bool) -> str:
-    text = re.sub(r"\[([^]]+)]\([^)]+\)", r"\1", text)
-    text = re.sub(r"[*_`#>💬]" if bullets else r"[*_`#>]", " ", text)
-    return clean_text(re.sub(r"(?m)^\s*[-+]\s*", "", text) if bullets else text)
-
-
-def _attributes(text: str) -> dict[str, str]:
-    return dict(re.findall(r'([A-Za-z][A-Za-z0-9_-]*)="([^"]*)"', text))
-
-
-def update_blocks(markup: str, base: str, hosts: set[str]) -> list[Entry]:
-    """``<Update label=date description=title>`` blocks of a Markdown page."""
-    blocks = re.findall(r"(?is)<Update\b([^>]*)>(.*?)</Update>", markup)
-    if not blocks:
-        raise PageStructureError("update blocks missing")
-
-    def entry(attrs: str, body: str) -> Entry | None:
-        a = _attributes(attrs)
-        title, link = clean_text(a.get("description", "")), re.search(r"\[[^]]+]\((https://[^)]+)\)", body)
-        if link is None or not re.search(UPDATE_TITLE, title):
-            return None
-        return title, allowed_url(link[1], base, hosts), zoned(a.get("label", ""), CHINA), _marks(body, True)
-
-    return _distinct(entry(a, b) for a, b in blocks)
-
-
-def card_sections(markup: str, base: str, hosts: set[str]) -> list[Entry]:
-    """``<Card title href>`` blocks under headings that are full dates."""
-    parts = re.split(r"(?m)^##\s+(.+?)\s*$", markup)
-    if len(parts) < 3 or not re.search(r"(?is)<Card\b[^>]*>.*?</Card>", markup):
-        raise PageStructureError("release sections missing")
-
-    def found() -> Iterator[Entry | None]:
-        for heading, section in zip(parts[1::2], parts[2::2], strict=True):
-            date = re.fullmatch(CJK_DATE, heading.strip())
-            for attrs, body in re.findall(r"(?is)<Card\b([^>]*)>(.*?)</Card>", section) if date else ():
-                a = _attributes(attrs)
-                title = clean_text(a.get("title", ""))
-                if re.search(CARD_TITLE, title):
-                    yield title, allowed_url(a.get("href"), base, hosts), zoned("-".join(date.groups()), CHINA), _marks(body, False)
-
-    return _distinct(found())
-
-
 def post_articles(markup: str, base: str, hosts: set[str]) -> list[Entry]:
     """Newsroom posts that name the brand."""
     cards = [n for n in parse(markup).all("article") if n.attrs.get("id", "").startswith("post-")]
@@ -215,8 +171,8 @@ ADAPTERS: dict[str, tuple[Scanner | None, set[str]]] = {
     "anthropic_news": (link_cards, {"anthropic.com", "www.anthropic.com"}),
     "meta_ai_blog": (dated_links, {"ai.meta.com"}),
     "deepseek_news": (hero_cards, {"deepseek.com", "www.deepseek.com"}),
-    "zhipu_releases": (update_blocks, {"docs.bigmodel.cn"}),
-    "minimax_releases": (card_sections, {"minimaxi.com", "platform.minimaxi.com", "www.minimaxi.com"}),
+    "zhipu_releases": (None, {"docs.bigmodel.cn"}),
+    "minimax_releases": (None, {"minimaxi.com", "platform.minimaxi.com", "www.minimaxi.com"}),
     "tencent_hunyuan": (post_articles, {"tencent.com", "www.tencent.com"}),
     "volcengine_doubao": (None, {"volcengine.com", "www.volcengine.com"}),
     "baidu_ernie": (None, {"cloud.baidu.com"}),
@@ -234,12 +190,15 @@ def entries_of(markup: str, adapter: str, base: str) -> list[Entry]:
 def scan_pages(pages: DataFrame, specs: DataFrame) -> DataFrame:
     """(source_id, pos, title, url, published_at, excerpt, error) of index pages (source_id, payload).
 
-    A page that cannot be read gives one row with the error and nothing else. Pages that carry their entries as JSON
-    are read by expressions (``embedded``), all others in an Arrow function.
+    A page that cannot be read gives one row with the error and nothing else. Pages that carry their entries as JSON or as
+    components of a text are read by expressions (``embedded``), all others in an Arrow function.
     """
     from tidewire.sources import embedded  # which takes its patterns from here
 
-    native = {"volcengine_doubao": embedded.router_pages, "baidu_ernie": embedded.listing_pages}
+    native = {
+        "volcengine_doubao": embedded.router_pages, "baidu_ernie": embedded.listing_pages,
+        "zhipu_releases": embedded.update_pages, "minimax_releases": embedded.card_pages,
+    }
     d = pages.join(specs.where("kind = 'official_page'").select(F.col("id").alias("source_id"), "adapter", F.col("url").alias("base")), "source_id")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
