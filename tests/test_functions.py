@@ -1,8 +1,10 @@
 import datetime as dt
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from tidewire.functions import rules, text, times, urls
 
 
@@ -138,3 +140,14 @@ def test_editorial(spark, args, want):
 def test_secrets(spark):
     got = one(spark, rules.redact(F.col("x")), "api_key: abcdefgh1 x", "see sk-abcdefghijklmnopq.", "nothing", "Authorization: Bearer abcdefgh12")
     assert got == ["[REDACTED] x", "see [REDACTED].", "nothing", "[REDACTED]"]
+
+
+@pytest.mark.parametrize("name", ["event_key"])
+def test_event_queries_end_products_as_their_sql(spark, tmp_path, name):
+    texts = {12: "gamma-4.2beta one", 312: "gamma-4.2 other two", 24: 'achen 78 token = "b64b244acde2e3b0a3add" and more'}
+    docs = spark.createDataFrame([(i, t, "src1") for i, t in texts.items()], "doc_id long, text string, source string")
+    docs.coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    got = entry.queries()[name](spark, str(tmp_path)).collect()
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    assert sorted(map(tuple, got)) == sorted(con.execute(entry.oracle_sql()[name]).fetchall())

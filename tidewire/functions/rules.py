@@ -24,7 +24,8 @@ KEYWORDS = r"\b(?:release|launch|introducing)\b|发布|推出|开源"
 EVENT_LAUNCH = r"(?:\blaunch(?:es|ed|ing)?\b|\breleas(?:e|es|ed|ing)\b|\bintroduc(?:e|es|ed|ing)\b|\bannounc(?:e|es|ed|ing)\b|\bnow available\b|正式发布|发布|推出|上线|开放)"
 EVENT_PRICE = r"(?:\bpric(?:e|es|ed|ing)\b|\bcost\b|价格|降价|费用)"
 EVENT_UPDATE = r"(?:\bupdat(?:e|es|ed|ing)\b|\bupgrad(?:e|es|ed|ing)\b|更新|升级)"
-VERSIONED_PRODUCT = r"(?<![a-z0-9])([a-z][a-z0-9]*[\s_-]*\d+(?:\.\d+)*)(?![a-z0-9])"
+NO_MORE = r"(?![a-z0-9])"
+VERSIONED_PRODUCT = r"(?<![a-z0-9])([a-z][a-z0-9]*[\s_-]*\d+(?:\.\d+)*)" + NO_MORE
 LATIN_TOKEN = r"\b[a-z][a-z0-9-]{2,}\b"
 EVENT_STOPWORDS = [
     "agent", "ai", "announce", "announced", "announces", "anthropic", "app", "assistant", "available", "enterprise", "google",
@@ -106,14 +107,17 @@ def has_keyword(folded_title: Column) -> Column:
     return folded_title.rlike("(?U)" + KEYWORDS)
 
 
-def event_key(folded: Column) -> Column:
+def event_key(folded: Column, whole: bool = True) -> Column:
     """``action|terms`` of a normalised, case-folded title, or null.
 
     Terms are the sorted set of versioned products, without bare versions; or
-    else the first two latin words that are no stop words, in order.
+    else the first two latin words that are no stop words, in order. A product
+    with letters behind its version is none, unless ``whole`` is false: then it
+    ends with the version, as in the SQL of the queries.
     """
+    product = VERSIONED_PRODUCT if whole else VERSIONED_PRODUCT.removesuffix(NO_MORE)
     action = F.when(has(folded, EVENT_LAUNCH), "launch").when(has(folded, EVENT_PRICE), "price").when(folded.rlike("(?U)" + EVENT_UPDATE), "update")
-    found = F.regexp_extract_all(folded, F.lit("(?iU)" + VERSIONED_PRODUCT), F.lit(1))
+    found = F.regexp_extract_all(folded, F.lit("(?iU)" + product), F.lit(1))
     products = F.transform(found, lambda x: F.regexp_replace(F.regexp_replace(x, r"(?U)[\s_]+", "-"), r"^-+|-+$", ""))
     products = F.sort_array(F.array_distinct(F.filter(products, lambda x: ~x.rlike(r"^v\d+(?:\.\d+)*$"))))
     words = F.regexp_extract_all(folded, F.lit("(?iU)" + LATIN_TOKEN), F.lit(0))
