@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 import xxhash
+from pyspark.sql import functions as F
 
 from tidewire.llm import simhash
 
@@ -93,3 +94,11 @@ def test_empty_and_survivors(spark):
     assert simhash.near_duplicates(none).count() == 0
     df = spark.createDataFrame([(2, "a b c d e f g"), (1, "a b c d e f g"), (3, "other words here now"), (None, "a b c d e f g")], "doc_id long, text string")
     assert sorted(r.doc_id or 0 for r in simhash.one_per_group(df).collect()) == [0, 1, 3]
+
+
+def test_probes_are_never_broadcast(spark, monkeypatch):
+    plans = []
+    found = simhash.connected_components
+    monkeypatch.setattr(simhash, "connected_components", lambda e: plans.append(e._jdf.queryExecution().executedPlan().toString()) or found(e))
+    simhash.link_components(spark.range(2000).select("id", F.xxhash64("id").alias("fp"))).count()
+    assert "SortMergeJoin" in plans[1] and "Broadcast" not in plans[1]

@@ -159,6 +159,8 @@ def link_components(fps: DataFrame, tau: int = 4, per_key: int = 2) -> DataFrame
     probe = placed.select(
         F.col("fp").alias("p_fp"), F.col("component").alias("p_component"), F.explode(_probe_keys(F.col("fp"), tau, per_key)).alias("key")
     )
+    # the planner takes an exploded table for as small as the stored one it comes from, and would broadcast the probes
+    held, span = held.hint("merge"), span.hint("merge")
     useful = probe.join(span, "key").where((F.col("low") != F.col("high")) | (F.col("low") != F.col("p_component")))
     x = F.col("fp").bitwiseXOR(F.col("p_fp"))
     pairs = (
