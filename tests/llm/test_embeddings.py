@@ -106,3 +106,15 @@ def test_planted_pairs_of_a_table_of_two_depths(spark):
     df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(both)], "vec_id long, embedding array<double>")
     got = {r.vec_id: r.component for r in embeddings.near_duplicates(df).collect()}
     assert sum(got[1500 + i] == i for i in range(1500)) >= 0.93 * 1500
+
+
+def test_rows_that_travel_hold_little_beside_the_vector(spark):
+    rng = np.random.default_rng(3)
+    rows = [(i, i, 1, 16, x.tolist()) for i, x in enumerate(rng.normal(size=(3000, 16)))]
+    classes = spark.createDataFrame(rows, "rep long, cls long, copies long, dim int, vector array<float>").cache()
+    described = embeddings.describe(classes, embeddings.fit_pivots(classes))
+    widths = [sum(len(x) * (8 if isinstance(x, list) else 1) for x in r if hasattr(x, "__len__")) for r in described.collect()]
+    assert max(widths) <= 16 * 4 + 64
+    every, full = (embeddings._looks(described, False, s) for s in (None, embeddings._full_slots(described)))
+    assert every.where("filed").count() == full.where("filed").count() == 3000
+    assert embeddings.meetings(described).join(full, ["cls", "list", "filed"]).count() == embeddings.meetings(described).count()

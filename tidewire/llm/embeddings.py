@@ -11,7 +11,8 @@ looks that grows. Two vectors that meet in a list
 are compared by the number of pivots that their ``prefix`` nearest share; those
 with at least ``shared`` are verified by their cosine in double precision.
 
-Lists are looked up by narrow rows first; vectors travel only to lists where they
+Lists are looked up by narrow rows first, those that hold nobody are mostly ruled out by a bit table of fixed size before
+any row travels; vectors, as they were given and with their nearest pivots alone, travel only to lists where they
 meet others. Small lists are worked on many at a time; a list that holds a third
 of all rows is worked on in tiles of bounded size. A tile hands on a number of
 links per vector and a star per group of linked vectors, never its pairs.
@@ -29,13 +30,15 @@ compared like others; vectors of any length are read whole; an empty table gives
 an empty result; labels and other columns are ignored.
 """
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import combinations
 from math import comb
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -47,6 +50,8 @@ PIVOTS = 256
 PREFIX = 10
 SHARED = 3
 TILE = 1024
+#: Numbers before the pivots of a vector, and bits of the table of full lists (2 MB).
+HEAD, SLOTS = 5, 1 << 24
 #: Measured share of sampled pairs at the threshold that must be found, and most lists that a vector may look in for it.
 TARGET, MOST_LISTS = 0.97, 256
 
@@ -145,7 +150,7 @@ def _lists(order: np.ndarray, depth: int, width: int, dim: int) -> np.ndarray:
 
 
 def describe(classes: DataFrame, pivots: dict[int, tuple[np.ndarray, int, int, int]], prefix: int = PREFIX) -> DataFrame:
-    """(cls, copies, unit, mask, least, near): unit vector, set of nearest pivots as bits, how many must be shared, and lists, home first."""
+    """(cls, copies, vector, head): the components as bytes, and what ``_heads`` reads: the plan of its length and its nearest pivots."""
     held = classes.sparkSession.sparkContext.broadcast(pivots)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -153,34 +158,42 @@ def describe(classes: DataFrame, pivots: dict[int, tuple[np.ndarray, int, int, i
             dims = b.column(2).to_numpy()
             for dim in np.unique(dims):
                 part = b.filter(pa.array(dims == dim))
-                v = _unit(part.column(3).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, dim))
+                v = part.column(3).flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
+                v = v if v.dtype == np.float32 else v.astype(float)
                 p, depth, width, shared = held.value[int(dim)]
-                order = np.argsort(-(v @ p.T), axis=1, kind="stable")[:, : max(prefix, width)]
-                bits = np.zeros((len(v), -(-len(p) // 64) * 64), np.uint8)
-                np.put_along_axis(bits, order[:, :prefix], 1, axis=1)
-                masks = np.packbits(bits, axis=1)
-                near = pa.array(list(_lists(order, depth, width, int(dim))), pa.list_(pa.int64()))
-                least = pa.array([shared] * len(v), pa.int32())
+                order = np.argsort(-(_unit(v.astype(float)) @ p.T), axis=1, kind="stable")[:, : max(prefix, width)]
+                head = np.empty((len(v), HEAD + order.shape[1]), np.uint16)
+                head[:, :HEAD] = depth, width, shared, min(prefix, order.shape[1]), v.dtype.itemsize
+                head[:, HEAD:] = order
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), part.column(1), pa.array([x.tobytes() for x in v]), pa.array([x.tobytes() for x in masks]), least, near],
-                    ["cls", "copies", "unit", "mask", "least", "near"],
+                    [part.column(0), part.column(1), pa.array([x.tobytes() for x in v]), pa.array([x.tobytes() for x in head])], ["cls", "copies", "vector", "head"]
                 )
 
-    schema = "cls long, copies long, unit binary, mask binary, least int, near array<long>"
-    return classes.select("cls", "copies", "dim", "vector").mapInArrow(run, schema)
+    return classes.select("cls", "copies", "dim", "vector").mapInArrow(run, "cls long, copies long, vector binary, head binary")
+
+
+def _heads(heads: Iterable[bytes], n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(depth, width, least pivots to share, prefix, bytes of a component) and the nearest pivots of each of n vectors of one length."""
+    head = np.frombuffer(b"".join(heads), np.uint16).reshape(n, -1)
+    return head[0, :HEAD].astype(int), head[:, HEAD:]
 
 
 def _compare(a: pd.DataFrame, b: pd.DataFrame, threshold: float) -> tuple[np.ndarray, np.ndarray]:
     """Positions (i in a, j in b) of the verified links of the lists of one tile; a looks, b is filed."""
     none = np.zeros(0, np.int64)
     found_i, found_j = [none], [none]
-    for dim in sorted(set(a.unit.str.len()) & set(b.unit.str.len())):  # lists of several lengths may be worked on together
-        at_a, at_b = (np.flatnonzero((x.unit.str.len() == dim).to_numpy()) for x in (a, b))
+    for dim in sorted(set(a.vector.str.len()) & set(b.vector.str.len())):  # lists of several lengths may be worked on together
+        at_a, at_b = (np.flatnonzero((x.vector.str.len() == dim).to_numpy()) for x in (a, b))
         x, y = a.iloc[at_a], b.iloc[at_b]
-        ua, ub = (np.frombuffer(b"".join(z.unit), float).reshape(len(z), -1) for z in (x, y))
-        ma, mb = (np.frombuffer(b"".join(z["mask"]), np.uint64).reshape(len(z), -1) for z in (x, y))
+        (depth, width, least, prefix, size), order_a = _heads(x["head"], len(x))
+        order_b = _heads(y["head"], len(y))[1]
+        ua, ub = (_unit(np.frombuffer(b"".join(z.vector), f"f{size}").astype(float).reshape(len(z), -1)) for z in (x, y))
+        words = max(order_a.max(), order_b.max()) // 64 + 1
+        bits = [np.zeros((len(z), words * 64), np.uint8) for z in (order_a, order_b)]
+        for m, z in zip(bits, (order_a, order_b), strict=True):
+            np.put_along_axis(m, z[:, :prefix].astype(np.int64), 1, axis=1)
+        ma, mb = (np.packbits(m, axis=1).view(np.uint64) for m in bits)
         ids_a, ids_b, list_a, list_b = x.cls.to_numpy(), y.cls.to_numpy(), x["list"].to_numpy(), y["list"].to_numpy()
-        home_a, looks_b, least = np.array([z[0] for z in x.near]), np.array(y.near.tolist()), int(x.least.iloc[0])
         for s in range(0, len(x), 256):
             i, j = np.nonzero(list_a[s : s + 256, None] == list_b[None, :])
             i += s
@@ -188,24 +201,57 @@ def _compare(a: pd.DataFrame, b: pd.DataFrame, threshold: float) -> tuple[np.nda
             i, j = i[keep], j[keep]
             keep = np.bitwise_count(ma[i] & mb[j]).sum(1) >= least
             i, j = i[keep], j[keep]
-            # a pair that also meets with roles exchanged is taken where the smaller number looks
-            back = (looks_b[j] == home_a[i][:, None]).any(1)
-            keep = ~back | (ids_a[i] < ids_b[j])
-            i, j = i[keep], j[keep]
             for t in range(0, len(i), 65536):
                 m, n = i[t : t + 65536], j[t : t + 65536]
                 ok = np.einsum("ij,ij->i", ua[m], ub[n]) >= threshold
+                m, n = m[ok], n[ok]
+                # a pair that also meets with roles exchanged is taken where the smaller number looks
+                back = (order_b[n][:, None, :width] == order_a[m][:, :depth, None]).any(2).all(1)
+                ok = ~back | (ids_a[m] < ids_b[n])
                 found_i.append(at_a[m[ok]]), found_j.append(at_b[n[ok]])
     return np.concatenate(found_i), np.concatenate(found_j)
 
 
+def _looks(described: DataFrame, homes: bool, slots: Broadcast | None = None) -> DataFrame:
+    """(cls, list, filed): the list under which each vector is filed and, unless only ``homes`` are asked for, those it looks in; of full ``slots`` alone."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sizes = pc.binary_length(b.column(1)).to_numpy(zero_copy_only=False)
+            kinds = b.column(2).to_numpy()
+            for kind in np.unique(np.stack([sizes, kinds], 1), axis=0):
+                part = b.filter(pa.array((sizes == kind[0]) & (kinds == kind[1])))
+                (depth, width, *_), order = _heads(part.column(1).to_pylist(), part.num_rows)
+                lists = _lists(order, depth, depth if homes else width, int(kind[1]))
+                ids = np.repeat(part.column(0).to_numpy(), lists.shape[1])
+                filed = np.tile(np.arange(lists.shape[1]) == 0, part.num_rows)
+                lists = lists.reshape(-1)
+                if slots:
+                    at = lists & (SLOTS - 1)
+                    full = slots.value[at >> 6] >> (at & 63) & 1 == 1
+                    ids, lists, filed = ids[full], lists[full], filed[full]
+                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(lists), pa.array(filed)], ["cls", "list", "filed"])
+
+    return described.select("cls", "head", F.octet_length("vector").alias("size")).mapInArrow(run, "cls long, list long, filed boolean")
+
+
+def _full_slots(described: DataFrame) -> Broadcast:
+    """Bits of a table of fixed size: whether any vector is filed under a list of that slot. What it wrongly lets through is dropped by the join."""
+    at = F.col("list").bitwiseAND(F.lit(SLOTS - 1))
+    bit = F.expr("shiftleft(1L, cast(list & 63 as int))")
+    found = _looks(described, True).groupBy(F.shiftright(at, 6).alias("word")).agg(F.bit_or(bit).alias("bits")).toArrow()
+    slots = np.zeros(SLOTS // 64, np.int64)
+    slots[found["word"].to_numpy()] = found["bits"].to_numpy()
+    return described.sparkSession.sparkContext.broadcast(slots)
+
+
 def meetings(described: DataFrame, tile: int = TILE) -> DataFrame:
     """(cls, list, filed, rows, cols): where each vector is filed or looks, of lists in which it can meet another."""
-    narrow = described.select("cls", F.posexplode("near").alias("at", "list"))
+    narrow = _looks(described, False, _full_slots(described))
     # one's own list is among those one looks in, so a list of one look holds nobody else
-    sizes = narrow.groupBy("list").agg(F.count_if(F.col("at") == 0).alias("home"), F.count("*").alias("looks")).where("home > 0 and looks > 1")
+    sizes = narrow.groupBy("list").agg(F.count_if("filed").alias("home"), F.count("*").alias("looks")).where("home > 0 and looks > 1")
     sizes = sizes.select("list", F.ceil(F.col("home") / tile).cast("int").alias("rows"), F.ceil(F.col("looks") / tile).cast("int").alias("cols"))
-    return narrow.join(sizes, "list").select("cls", "list", (F.col("at") == 0).alias("filed"), "rows", "cols")
+    return narrow.join(sizes, "list").select("cls", "list", "filed", "rows", "cols")
 
 
 def links(described: DataFrame, threshold: float = THRESHOLD, tile: int = TILE) -> DataFrame:
@@ -215,7 +261,7 @@ def links(described: DataFrame, threshold: float = THRESHOLD, tile: int = TILE)
     spread = F.pmod(F.xxhash64("cls"), F.lit(1 << 30))
     alone = (F.col("rows") > 1) | (F.col("cols") > 1)
     own = F.when(alone, F.col("list")).otherwise(F.pmod(F.xxhash64("list"), F.lit(parts)))
-    body = ["cls", "copies", "unit", "mask", "least", "near"]
+    body = ["cls", "copies", "vector", "head"]
     both = met.withColumn("pack", own).withColumn("alone", alone).join(described, "cls")
     one, few = spread % F.col("rows"), spread % F.col("cols")
     filed = both.where("filed").select("alone", "pack", "list", one.alias("r"), F.explode(F.sequence(F.lit(0), F.col("cols") - 1)).alias("c"), F.lit(0).alias("side"), *body)
