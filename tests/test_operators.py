@@ -183,3 +183,20 @@ def test_difference_takes_nulls_as_equal(spark):
 
     a, b = (spark.createDataFrame(x, "k int, v string") for x in ([(1, None), (1, None), (2, "x"), (None, None)], [(1, None), (None, None), (3, "x")]))
     assert [tuple(r) for r in dedupe.difference(a, b).collect()] == [(2, "x")]
+
+
+def test_pairs_of_similar_titles_are_few_before_they_are_stored(spark, monkeypatch):
+    rng = random.Random(4)
+    parts = "th er on an re he in ed nd ha at en es of or nt ea ti to it st io le is ou ar as de rt ve".split()
+    titles = ["".join(rng.choice(parts + [" "] * 6) for _ in range(rng.randint(2, 28))).strip() + " release of open models" for _ in range(700)]
+    for value in titles[:300]:
+        at = rng.randrange(len(value))
+        titles.append(value[:at] + rng.choice(["", "x", "yz "]) + value[at + rng.randint(0, 3) :])
+    titles += ["a", "ab", "abcdefghijklm", "abcdefghijklmn", "xabcdefghijklm", "", "x" * 256, "x" * 250]
+    titles = list(dict.fromkeys(titles))
+    stored, cut = {}, dedupe.cut
+    monkeypatch.setattr(dedupe, "cut", lambda d, name: stored.setdefault(name, cut(d, name)))
+    got = dedupe.similar_pairs(spark.createDataFrame(list(enumerate(titles)), "node long, value string")).collect()
+    want = {(i, j) for i, x in enumerate(titles) for j, y in enumerate(titles[:i]) if abs(len(x) - len(y)) < 24 and dedupe.similar(x, y)}
+    assert {(r.b, r.a) for r in got} == want and len(got) == len(want) > 200
+    assert stored["fz-pairs"].count() < 4 * len(titles)
