@@ -55,7 +55,11 @@ def fingerprint(text: str | None, shingle: int = 4, seed: int = 42) -> int:
     begin = [0, *(gap[: len(gap) + 1 - shingle + 1] + 1).tolist()][: len(gap) + 2 - shingle]
     end = [*gap[shingle - 1 :].tolist(), len(words)]
     digest = xxhash.xxh64_intdigest
-    hashes = np.fromiter((digest(words[a:b], seed) for a, b in zip(begin, end, strict=True)), np.uint64, len(begin))
+    return vote(np.fromiter((digest(words[a:b], seed) for a, b in zip(begin, end, strict=True)), np.uint64, len(begin)))
+
+
+def vote(hashes: np.ndarray) -> int:
+    """The bits that are set in over half of the hashes; zero for none."""
     votes = np.zeros(64, np.int64)
     for i in range(0, len(hashes), 65536):
         part = hashes[i : i + 65536].astype(">u8").view(np.uint8).reshape(-1, 8)
