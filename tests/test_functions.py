@@ -151,3 +151,19 @@ def test_event_queries_end_products_as_their_sql(spark, tmp_path, name):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
     assert sorted(map(tuple, got)) == sorted(con.execute(entry.oracle_sql()[name]).fetchall())
+
+
+def test_few_texts_of_a_batch_are_python_objects_at_once():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from tidewire.functions import text
+
+    assert text.each(pa.array(["a", None, "b"] * 200), lambda v: v and v * 2).to_pylist() == ["aa", None, "bb"] * 200
+    assert text.each(pa.array([], pa.string()), str).to_pylist() == []
+    values = pa.array(["ü" * 5000 + str(i) for i in range(4000)])  # some 20 MB as Python texts, twice that with the results
+    tracemalloc.start()
+    assert len(text.each(values, lambda v: text.squeeze(v))) == 4000
+    assert tracemalloc.get_traced_memory()[1] < 5_000_000
+    tracemalloc.stop()
