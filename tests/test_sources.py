@@ -195,3 +195,12 @@ def test_leads_of_a_prefixed_feed(spark):
     assert plain and [tuple(r) for r in feeds.parse_leads(payload(spark, ("com", prefixed)), s).collect()] == plain
     broken = LEADS.replace("<entry>", "<entry><br>", 1)
     assert [tuple(r) for r in feeds.parse_leads(payload(spark, ("com", broken)), s).collect()] == plain
+
+
+def test_cleaned_texts_that_are_filtered_are_cleaned_once(spark):
+    from tidewire.plans.registry_sources import _spec
+
+    payloads = spark.createDataFrame([], "source_id string, payload string")
+    for parse in (feeds.parse_leads, feeds.parse_releases):
+        plan = parse(payloads.union(spark.range(3).selectExpr("'x'", "repeat('y', id)")), _spec(spark, "x", "feed", None))._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("ArrowEvalPython [") == 1, plan
