@@ -89,3 +89,24 @@ def test_titles_of_rows_without_times(spark, tmp_path):
     d = streaming.first_titles(spark.readStream.schema(df.schema).parquet(f"{tmp_path}/in"))
     d.writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/state").outputMode("append").trigger(availableNow=True).start().awaitTermination()
     assert spark.read.schema(d.schema).parquet(f"{tmp_path}/out").agg(F.max("source_weight")).first()[0] == 5
+
+
+def test_no_fixed_number_of_files_holds_the_stream_of_winners(spark, sf, tmp_path, monkeypatch):
+    from tidewire.plans import registry_sources
+
+    spark.read.parquet(f"{sf}/documents.parquet").repartition(9).write.parquet(f"{tmp_path}/documents.parquet")
+    seen = []
+
+    def stop(spark, source, build, out, files=None):
+        seen.append((len(source.df.inputFiles()), files))
+        raise InterruptedError
+
+    monkeypatch.setattr(registry_sources, "_streamed", stop)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1k")
+    try:
+        for d in (str(tmp_path), sf):
+            with pytest.raises(InterruptedError):
+                registry_sources.stream_winners(spark, d)
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert seen[0][0] >= 9 and all(4 * files >= n > files for n, files in seen)
