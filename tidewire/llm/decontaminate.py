@@ -36,6 +36,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidewire.llm.batches import few
+
 WINDOW = 10
 GRAM = 5
 BLOCK_ITEMS = 20_000
@@ -196,7 +198,7 @@ def _pass(docs: DataFrame, held, extra: list[str]) -> DataFrame:
     schema = docs.select(*names).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in few(batches):
             hits, items = [], []
             at = len(extra)
             for text, old, seen in zip(b.column(at), b.column(at + 1), b.column(at + 2), strict=True):

@@ -27,6 +27,8 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewire.llm.batches import few
+
 SAMPLE_DOCS = 400
 DICT_CHARS = 400_000
 LEVEL = 6
@@ -118,7 +120,7 @@ def keep_identified(docs: DataFrame, dictionaries: dict[str, bytes], margin: flo
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coders = Coders(held.value)
-        for b in batches:
+        for b in few(batches):
             keep = pa.array([not coders.predict(t.as_py(), margin)[2] for t in b.column(at)], pa.bool_())
             yield b.filter(keep)
 

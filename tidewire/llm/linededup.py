@@ -41,6 +41,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidewire.llm.batches import SENT, few
 from tidewire.plans.materialize import cut
 
 MIN_WORDS = 30
@@ -139,7 +140,7 @@ def line_table(docs: DataFrame) -> DataFrame:
     """(doc_id, row_key, hashes, words): one row per document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in few(batches):
             found = [lines_of(t.as_py()) for t in b.column(2)]
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), b.column(1), _ints([h for h, _ in found], pa.int64()), _ints([w for _, w in found])], ["doc_id", "row_key", "hashes", "words"]
@@ -165,7 +166,7 @@ def _shared_runs(table: DataFrame, min_words: int) -> DataFrame:
     """(doc_id, row_key, h, earlier, earlier_row): the runs that several documents hold, with their first holder."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in few(batches):
             keys = [np.unique(runs(*_worded(h, w)[1:], min_words)[2]) for h, w in zip(b.column(2), b.column(3), strict=True)]
             own = np.repeat(np.arange(b.num_rows), [len(x) for x in keys])
             flat = np.concatenate([np.zeros(0, np.int64), *keys])
@@ -203,7 +204,7 @@ def _shared_lines(table: DataFrame, shared: DataFrame, min_words: int) -> DataFr
 
 def deletions(docs: DataFrame, min_words: int = MIN_WORDS) -> tuple[DataFrame, DataFrame]:
     """The line table, and (doc_id, row_key, gone, mask, earlier): deleted lines, as numbers and as flags, and the documents that keep them."""
-    table = cut(line_table(docs), "ld-lines")
+    table = cut(line_table(docs), "ld-lines", SENT)
     shared = _shared_runs(table, min_words)
     lines = _shared_lines(table, shared, min_words)
     pairs = shared.where("doc_id > earlier").select(F.col("doc_id").alias("later"), F.col("row_key").alias("later_row"), "earlier", "earlier_row").distinct()
