@@ -110,3 +110,18 @@ def test_no_fixed_number_of_files_holds_the_stream_of_winners(spark, sf, tmp_pat
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
     assert seen[0][0] >= 9 and all(4 * files >= n > files for n, files in seen)
+
+
+def test_titles_of_one_state_keep_their_own_weights(spark, tmp_path):
+    at = dt.datetime(2026, 7, 25)
+    batches = [
+        [("i2", "https://h.org/1", "t", 3, at), ("i1", "https://h.org/2", "t", 3, at), ("i3", "https://h.org/3", None, 1, at), ("i4", "https://h.org/4", "v", None, at)],
+        [("i5", "https://h.org/5", "t", 2, at), ("i6", "https://h.org/6", "u", 1, None), ("i7", "https://h.org/7", "v", 4, at), ("i8", "https://h.org/8", None, 2, at)],
+    ]
+    for n, rows in enumerate(batches):
+        spark.createDataFrame(rows, "id string, canonical_url string, folded string, source_weight int, published_at timestamp").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        read = spark.readStream.schema(spark.read.parquet(f"{tmp_path}/in").schema).parquet(f"{tmp_path}/in")
+        w = streaming.first_titles(read, parts=1).writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/state")
+        w.outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    got = [tuple(r) for r in spark.read.parquet(f"{tmp_path}/out").select("id", "folded", "source_weight").collect()]
+    assert sorted(got, key=str) == sorted([("i1", "t", 3), ("i3", None, 1), ("i4", "v", None), ("i6", "u", 1), ("i7", "v", 4), ("i8", None, 2)], key=str)
