@@ -1,10 +1,13 @@
 """Queries read whole texts, not their beginnings."""
 
+import random
+
 import duckdb
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from tidewire.functions import text
+from tidewire.operators import dedupe
 
 
 def test_text_beyond_a_prefix_counts(spark, tmp_path):
@@ -29,3 +32,24 @@ def test_search_text_has_no_white_space_at_its_ends(spark, tmp_path):
 def test_search_text_of_entries_is_stripped_in_any_script(spark):
     d = spark.createDataFrame([("\n\x1fA\t",), ("\x85Ä\u2003",)], "t string").select(text.search_text(F.col("t")).alias("t"))
     assert [r.t for r in d.collect()] == ["a", "ä"]
+
+
+def test_pairs_of_titles_of_any_length_in_small_blocks(spark, monkeypatch):
+    rng = random.Random(3)
+    letters = [chr(x) for x in range(0x4E00, 0x5600)]
+    titles = []
+    for n in (1, 6, 13, 60, 108, 110, 126, 127, 128, 129, 149, 220, 255, 256, 257, 511, 512, 600, 1100):
+        base = [rng.choice(letters[:40] if n < 150 else letters) for _ in range(n)]
+        for _ in range(5):
+            t = list(base)
+            for _ in range(rng.randint(0, n // 16)):
+                at = rng.randrange(len(t))
+                t[at : at + rng.randint(0, 1)] = rng.choice(["", "b", "yz"])
+            titles.append("".join(t))
+    titles = [t for t in dict.fromkeys(titles) if t]
+    monkeypatch.setattr(dedupe, "BLOCK_ROWS", 16)
+    monkeypatch.setattr(dedupe, "LEAST_ROWS", 4)
+    got = dedupe.similar_pairs(spark.createDataFrame(list(enumerate(titles)), "node long, value string")).collect()
+    want = {(i, j) for j, y in enumerate(titles) for i, x in enumerate(titles[:j]) if dedupe.similar(x, y)}
+    assert sorted((r.a, r.b) for r in got) == sorted(want) and len(want) > 30
+    assert max(len(titles[j]) for _, j in want) > 1000
