@@ -34,6 +34,16 @@ def test_search_text_of_entries_is_stripped_in_any_script(spark):
     assert [r.t for r in d.collect()] == ["a", "ä"]
 
 
+def test_long_titles_are_compared_whole(spark):
+    rng = random.Random(7)
+    letters = [chr(x) for x in range(0x4E00, 0x5600)]
+    long = "".join(rng.choice(letters) for _ in range(600))
+    titles = [long[:300], long[:256] + long[400:], long[:299] + "x", long]
+    cols = "id string, url string, title string, excerpt string, source_id string, source_name string, source_role string, source_weight int, published_at timestamp, category_hint string, is_official_source boolean, discovery_verified boolean"
+    df = spark.createDataFrame([(f"{i}", f"https://e.org/{i}", t, "", "s", "S", "primary", 5, None, None, True, True) for i, t in enumerate(titles)], cols)
+    assert sorted(r.id for r in dedupe.fuzzy_winners(df).collect()) == ["0", "1", "3"]
+
+
 def test_pairs_of_titles_of_any_length_in_small_blocks(spark, monkeypatch):
     rng = random.Random(3)
     letters = [chr(x) for x in range(0x4E00, 0x5600)]
